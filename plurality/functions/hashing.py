@@ -22,9 +22,23 @@ def md5_unit(*parts: Column | str | int) -> Column:
     return md5_int(*parts) / F.lit(TWO32)
 
 
-def sha_units(text: Column, n: int = 8) -> list[Column]:
-    """Up to eight uniform numbers out of one SHA-256."""
-    return [hex_int(text, 8 * i + 1) / F.lit(TWO32) for i in range(n)]
+PRIME31 = 2147483647
+
+
+def mix_state(key: Column | str, seed: Column, stream: Column) -> Column:
+    """Whole-number state of a (key, seed, stream); plain bigint arithmetic, no strings."""
+    k = F.col(key) if isinstance(key, str) else key
+    s = F.pmod(F.pmod(k, F.lit(PRIME31)) * 1000003 + seed * 7919 + stream * 104729, F.lit(PRIME31))
+    return F.pmod(s * s + 12345, F.lit(PRIME31))
+
+
+def mix_units(state: Column, n: int = 8) -> list[Column]:
+    """n numbers in [0, 1) from one state: squares modulo a prime at n offsets."""
+    out = []
+    for i in range(n):
+        w = F.pmod(state + F.lit((i + 1) * 715225739 % PRIME31), F.lit(PRIME31))
+        out.append(F.pmod(w * w, F.lit(PRIME31)) / F.lit(float(PRIME31)))
+    return out
 
 
 def canonical_hash(columns: dict[str, Column], length: int = 16) -> Column:

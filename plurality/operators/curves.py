@@ -41,10 +41,8 @@ def merged_bins(binned: DataFrame, by: Sequence[str], group: str, k: int, min_gr
     if not 1 <= k <= 16:
         raise ValueError("bin masks are kept for at most 16 bins")
     masks = binned.groupBy(*by, group).agg(
-        F.bit_or(F.shiftleft(F.lit(1), F.col("bin").cast("int"))).alias("mask"))
+        F.bit_or(F.expr("shiftleft(1, int(bin))")).alias("mask"))
     counts = masks.groupBy(*by, "mask").agg(F.count(F.lit(1)).alias("groups"))
-    spec = binned.sparkSession.createDataFrame([], binned.select(*by).schema).schema
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         mask, groups = pdf["mask"].to_numpy(), pdf["groups"].to_numpy()
         present = 0
@@ -71,7 +69,8 @@ def merged_bins(binned: DataFrame, by: Sequence[str], group: str, k: int, min_gr
             out[c] = pdf[c].iloc[0]
         return out[[*by, "bin", "merged"]]
 
-    schema = spec.add("bin", "bigint").add("merged", "bigint")
+    keys = [f.simpleString().replace(":", " ", 1) for f in binned.select(*by).schema.fields]
+    schema = ", ".join([*keys, "bin bigint", "merged bigint"])
     return counts.groupBy(*by).applyInPandas(fold, schema)
 
 

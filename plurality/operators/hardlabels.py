@@ -13,16 +13,23 @@ def _nz(c):
 
 
 def confusion(df: DataFrame, by: Sequence[str], group: str | None = None, k: int = 6) -> DataFrame:
-    """Dense k x k counts per key: rows are true classes, columns predicted ones."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if group:
-        aggs.append(F.count_distinct(group).alias("n_groups"))
-    cells = df.where(F.col("y") >= 0).groupBy(*by, "y", "yhat").agg(*aggs)
+    """Dense k x k counts per key: rows are true classes, columns predicted ones.
+
+    Empty cells come from zero rows added before the last sum. A join with the grid would let
+    Catalyst push a not-null filter on the predicted class down into its whole expression tree.
+    """
+    n_groups = F.count_distinct(group) if group else F.lit(0)
+    cells = df.where(F.col("y") >= 0).groupBy(*by, "y", "yhat").agg(
+        F.count(F.lit(1)).alias("n"), n_groups.cast("bigint").alias("n_groups"))
     classes = F.array(*[F.lit(i).cast("bigint") for i in range(k)])
-    grid = cells.select(*by).distinct().select(*by, F.explode(classes).alias("y")).select(
-        *by, "y", F.explode(classes).alias("yhat"))
-    full = grid.join(cells, [*by, "y", "yhat"], "left")
-    return full.fillna(0, subset=["n", *(["n_groups"] if group else [])])
+    zero = F.lit(0).cast("bigint")
+    grid = F.flatten(F.transform(classes, lambda i: F.transform(classes, lambda j: F.struct(
+        i.alias("y"), j.alias("yhat"), zero.alias("n"), zero.alias("n_groups")))))
+    per_key = cells.groupBy(*by).agg(F.collect_list(F.struct("y", "yhat", "n", "n_groups")).alias("seen"))
+    full = per_key.select(*by, F.explode(F.concat(F.col("seen"), grid)).alias("z"))
+    out = full.groupBy(*by, F.col("z.y").alias("y"), F.col("z.yhat").alias("yhat")).agg(
+        F.sum("z.n").alias("n"), F.sum("z.n_groups").alias("n_groups"))
+    return out if group else out.drop("n_groups")
 
 
 def row_normalised(cm: DataFrame, by: Sequence[str]) -> DataFrame:

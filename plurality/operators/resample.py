@@ -63,12 +63,11 @@ def multiplicities(index: DataFrame, by: Sequence[str], group: str, replicates:
             m = m + (u >= cdf).cast("int")
             term /= k + 1
         return rows.withColumn("m", m.cast("bigint")).where("m > 0").withColumn("draw_method", F.lit("poisson"))
-    spread = sizes.select(*by, "n_groups", F.explode(reps).alias("replicate")) if replicates > 1 else \
-        sizes.withColumn("replicate", F.lit(0))
+    spread = sizes.select(*by, "n_groups", F.explode(reps).alias("replicate"))
     # draws are exploded in blocks so that no single row carries all draws of a large replicate
     block = 4096
     blocks = spread.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_groups") - 1) / block))))
-    blocks = blocks.repartition(*by, "replicate", "blk")
+    blocks = blocks.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "replicate", "blk")
     last = F.least((F.col("blk") + 1) * block, F.col("n_groups")) - 1
     draws = blocks.select(*by, "n_groups", "replicate", F.explode(F.sequence(F.col("blk") * block, last)).alias("j"))
     hit = F.pmod(fn.md5_int(str(seed), F.col("replicate"), F.col("j")), F.col("n_groups"))
@@ -96,8 +95,8 @@ def group_mean_bootstrap(per_group: DataFrame, by: Sequence[str], group: str, va
     m = multiplicities(index, by, group, replicates, seed)
     j = m.join(per_group.select(*by, group, value), [*by, group])
     reps = j.groupBy(*by, "replicate").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("value"))
-    out = point.join(percentile_ci(reps, by), list(by)) if by else _side_by_side(point, percentile_ci(reps, by))
-    return out
+    ci = percentile_ci(reps, by)
+    return point.join(ci, list(by)) if by else _side_by_side(point, ci)
 
 
 def replicate_means(per_group: DataFrame, by: Sequence[str], group: str, value: str, replicates: int,

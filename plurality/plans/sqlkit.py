@@ -56,8 +56,17 @@ def md5i(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
-def shau(col: str, i: int) -> str:
-    return f"(('0x' || substr({col}, {8 * i + 1}, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_P = 2147483647
+
+
+def mix(key: str, seed: str, stream: str) -> str:
+    s = f"((({key} % {_P})*1000003 + {seed}::BIGINT*7919 + {stream}::BIGINT*104729) % {_P})"
+    return f"(({s} * {s} + 12345) % {_P})"
+
+
+def unit(state: str, i: int) -> str:
+    w = f"(({state} + {(i + 1) * 715225739 % _P}) % {_P})"
+    return f"((({w} * {w}) % {_P})::DOUBLE / {_P}.0::DOUBLE)"
 
 
 cte("s_orders", "SELECT l_orderkey, "
@@ -99,20 +108,20 @@ cte("s_labels", "SELECT *, "
     " CASE WHEN pu < 0.6 THEN 'train' WHEN pu < 0.7 THEN 'tune' WHEN pu < 0.75 THEN 'calibration_t'"
     " WHEN pu < 0.8 THEN 'calibration_p' ELSE 'test' END AS \"partition\" FROM s_labels0")
 cte("s_q", "SELECT *, " + klist("v#::DOUBLE / n AS q#") + " FROM s_labels")
-cte("s_method", "SELECT * FROM (VALUES ('m1', 0.8::DOUBLE), ('m2', 1.2::DOUBLE), ('m3', 1.6::DOUBLE)) t(method, sigma)")
+cte("s_method", "SELECT * FROM (VALUES ('m1', 0.8::DOUBLE, 1), ('m2', 1.2::DOUBLE, 2), ('m3', 1.6::DOUBLE, 3)) t(method, sigma, stream)")
 cte("s_seed", "SELECT * FROM (VALUES (101), (202), (303)) t(seed)")
-cte("s_w", "SELECT q.*, method, seed, sha256(concat_ws('|', 'p', method, seed::VARCHAR, label_id::VARCHAR)) AS h, sigma"
+cte("s_w", f"SELECT q.*, method, seed, {mix('label_id', 'seed', 'stream')} AS h, sigma"
     " FROM s_q q CROSS JOIN s_method CROSS JOIN s_seed")
 cte("s_w2", "SELECT *, " + ", ".join(
-    f"(q{k} + 0.05::DOUBLE) * exp(sigma * (2.0::DOUBLE * {shau('h', k)} - 1.0::DOUBLE)) AS w{k}" for k in range(6))
-    + f", {shau('h', 6)} AS u6, {shau('h', 7)} AS gate FROM s_w")
+    f"(q{k} + 0.05::DOUBLE) * exp(sigma * (2.0::DOUBLE * {unit('h', k)} - 1.0::DOUBLE)) AS w{k}" for k in range(6))
+    + f", {unit('h', 6)} AS u6, {unit('h', 7)} AS gate FROM s_w")
 cte("s_pred0", "SELECT *, " + klist("w# / (w0+w1+w2+w3+w4+w5) AS p#") + " FROM s_w2")
 cte("s_pred", "SELECT *, 0.7::DOUBLE * (1.0::DOUBLE - " + ksum("p#*p#") + ") + 0.3::DOUBLE * u6 AS d_hat FROM s_pred0")
-cte("s_hd", "SELECT *, sha256(concat_ws('|','l',label_id::VARCHAR)) AS hl, sha256(concat_ws('|','x',label_id::VARCHAR)) AS hx FROM s_q")
+cte("s_hd", f"SELECT *, {mix('label_id', '1', '11')} AS hl, {mix('label_id', '1', '13')} AS hx FROM s_q")
 cte("s_hd2", "SELECT *, " + ", ".join(
-    f"(q{k} + 0.05::DOUBLE) * exp(1.0::DOUBLE * (2.0::DOUBLE * {shau('hl', k)} - 1.0::DOUBLE)) AS a{k}" for k in range(6)) + ", "
-    + ", ".join(f"(q{k} + 0.05::DOUBLE) * exp(1.4::DOUBLE * (2.0::DOUBLE * {shau('hx', k)} - 1.0::DOUBLE)) AS b{k}" for k in range(6))
-    + f", {shau('hl', 7)} AS gate FROM s_hd")
+    f"(q{k} + 0.05::DOUBLE) * exp(1.0::DOUBLE * (2.0::DOUBLE * {unit('hl', k)} - 1.0::DOUBLE)) AS a{k}" for k in range(6)) + ", "
+    + ", ".join(f"(q{k} + 0.05::DOUBLE) * exp(1.4::DOUBLE * (2.0::DOUBLE * {unit('hx', k)} - 1.0::DOUBLE)) AS b{k}" for k in range(6))
+    + f", {unit('hl', 7)} AS gate FROM s_hd")
 cte("s_heads", "SELECT *, " + klist("a#/(a0+a1+a2+a3+a4+a5) AS l#") + ", " + klist("b#/(b0+b1+b2+b3+b4+b5) AS x#") + " FROM s_hd2")
 cte("s_links", "SELECT DISTINCT o_custkey AS group_id, l_partkey AS recording_id FROM lineitem JOIN orders"
     " ON l_orderkey = o_orderkey WHERE l_quantity >= 46 AND l_discount >= 0.09::DOUBLE")
@@ -148,5 +157,5 @@ cte("s_runs", "SELECT event_id AS run_id, 'c' || (user_id % 8)::VARCHAR AS confi
     " CASE WHEN event_type='error' THEN 'FAIL' WHEN event_type='signup' THEN 'RUNNING' ELSE 'PASS' END AS status,"
     " user_id % 3 + 1 AS epochs, ([0.25::DOUBLE,0.5,0.75,1.0])[1 + (event_id // 3) % 4] AS fraction,"
     " CASE WHEN user_id % 2 = 0 THEN 'foveated' ELSE 'uniform' END AS encoding,"
-    " ([8,16,32])[1 + (event_id // 12) % 3]::BIGINT AS bins, CASE WHEN event_type <> 'signup' THEN value / 100.0::DOUBLE END AS tune_kl,"
+    " ([8,16,32])[1 + (event_id // 12) % 3]::BIGINT AS bins, CASE WHEN event_type <> 'signup' THEN value / 97.0::DOUBLE END AS tune_kl,"
     " (user_id % 8) * 1000 + 450 AS params, value / 3600.0::DOUBLE AS hours, event_type AS stage FROM events")

@@ -13,7 +13,7 @@ from ..constants import CLASS_NAMES, PARTITION_SHARES, PARTITIONS, SPLIT_SEED
 from .tables import table
 
 VOTE_KEYS = (("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O"))
-METHODS = (("m1", 0.8), ("m2", 1.2), ("m3", 1.6))
+METHODS = (("m1", 0.8, 1), ("m2", 1.2, 2), ("m3", 1.6, 3))  # name, noise, draw stream
 SEEDS = (101, 202, 303)
 SIGNAL_RATE = 8.0  # samples per second of the stand-in signal
 
@@ -71,6 +71,12 @@ def targets(df: DataFrame) -> DataFrame:
     return df.withColumns({f"q{k}": q for k, q in enumerate(fn.soft_targets(fn.cols("v")))})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Keep the full task count: the rows are narrow, but each fans out into costly draws."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "label_id")
+
+
 def _noisy(q: list, u: list, sigma: F.Column, floor: float = 0.05) -> list:
     raw = [(a + floor) * F.exp(sigma * (2.0 * b - 1.0)) for a, b in zip(q, u)]
     return raw
@@ -82,27 +88,28 @@ def predictions(spark: SparkSession, d: str, parts: tuple[str, ...] | None = Non
     base = labels(spark, d)
     if parts:
         base = base.where(F.col("partition").isin(*parts))
-    base = targets(base)
-    m = F.explode(F.array(*[F.struct(F.lit(a).alias("method"), F.lit(s).alias("sigma")) for a, s in methods]))
+    base = targets(spread(base))
+    m = F.explode(F.array(*[F.struct(F.lit(a).alias("method"), F.lit(s).alias("sigma"), F.lit(t).alias("stream"))
+                            for a, s, t in methods]))
     fan = base.withColumn("m", m).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    fan = fan.withColumns({"method": F.col("m.method"), "sigma": F.col("m.sigma")}).drop("m")
-    fan = fan.withColumn("h", F.sha2(F.concat_ws("|", F.lit("p"), "method", F.col("seed"), F.col("label_id")), 256))
-    u = fn.sha_units(F.col("h"))
+    fan = fan.withColumns({"method": F.col("m.method"), "sigma": F.col("m.sigma"),
+                           "h": fn.mix_state("label_id", F.col("seed"), F.col("m.stream"))}).drop("m")
+    u = fn.mix_units(F.col("h"))
     fan = fan.withColumns({f"w{k}": w for k, w in enumerate(_noisy(fn.cols("q"), u, F.col("sigma")))})
     fan = fan.withColumn("wsum", fn.total(fn.cols("w")))
     fan = fan.withColumns({f"p{k}": F.col(f"w{k}") / F.col("wsum") for k in range(6)})
-    spread = 1.0 - fn.total([x * x for x in fn.cols("p")])
-    fan = fan.withColumns({"d_hat": 0.7 * spread + 0.3 * u[6], "gate": u[7]})
+    evenness = 1.0 - fn.total([x * x for x in fn.cols("p")])
+    fan = fan.withColumns({"d_hat": 0.7 * evenness + 0.3 * u[6], "gate": u[7]})
     return fan.drop("h", "sigma", "wsum", *[f"w{k}" for k in range(6)])
 
 
 def heads(spark: SparkSession, d: str) -> DataFrame:
     """Two per-view distributions (local l0..l5, context x0..x5) per label with a gate."""
-    base = targets(labels(spark, d)).withColumns({
-        "hl": F.sha2(F.concat_ws("|", F.lit("l"), "label_id"), 256),
-        "hx": F.sha2(F.concat_ws("|", F.lit("x"), "label_id"), 256),
+    base = targets(spread(labels(spark, d))).withColumns({
+        "hl": fn.mix_state("label_id", F.lit(1), F.lit(11)),
+        "hx": fn.mix_state("label_id", F.lit(1), F.lit(13)),
     })
-    ul, ux = fn.sha_units(F.col("hl")), fn.sha_units(F.col("hx"))
+    ul, ux = fn.mix_units(F.col("hl")), fn.mix_units(F.col("hx"))
     base = base.withColumns({
         **{f"a{k}": w for k, w in enumerate(_noisy(fn.cols("q"), ul, F.lit(1.0)))},
         **{f"b{k}": w for k, w in enumerate(_noisy(fn.cols("q"), ux, F.lit(1.4)))},
@@ -159,7 +166,7 @@ def event_rows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
         "event_id", "user_id", "event_type", "value",
-        F.unix_micros("ts").alias("micros"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
     ).withColumns({
         "day": F.floor(F.col("micros") / 86400000000).cast("bigint"),
         "seconds": (F.pmod(F.col("micros"), F.lit(86400000000)) / 1000000.0),
@@ -213,7 +220,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.pmod(F.col("user_id"), F.lit(2)) == 0, "foveated").otherwise("uniform").alias("encoding"),
         F.get(F.array(F.lit(8), F.lit(16), F.lit(32)),
               F.pmod(F.floor(F.col("event_id") / 12), F.lit(3)).cast("int")).cast("bigint").alias("bins"),
-        F.when(F.col("event_type") != "signup", F.col("value") / 100.0).alias("tune_kl"),
+        F.when(F.col("event_type") != "signup", F.col("value") / 97.0).alias("tune_kl"),
         (F.pmod(F.col("user_id"), F.lit(8)) * 1000 + 450).alias("params"),
         (F.col("value") / 3600.0).alias("hours"),
         F.col("event_type").alias("stage"),
