@@ -39,3 +39,16 @@ def paired_contrast(df: DataFrame, a: Column, b: Column, pair: Sequence[str], va
     per = per.where(F.col("va").isNotNull() & F.col("vb").isNotNull()).withColumn("delta", F.col("va") - F.col("vb"))
     return per.groupBy(*by).agg(F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"),
                                 F.count(F.lit(1)).alias("n_pairs"))
+
+
+def completeness_gate(df: DataFrame, config: str, seed: str, complete: Column, required: Sequence[int]) -> DataFrame:
+    """PASS only when a configuration has exactly the required seeds and each has a complete run.
+
+    Runs are reduced to one row per (configuration, seed) first; the seed list is then tiny.
+    """
+    per = df.groupBy(config, seed).agg(F.bool_or(complete).alias("whole"))
+    need = ",".join(str(s) for s in sorted(required))
+    out = per.groupBy(config).agg(F.sort_array(F.collect_set(seed)).alias("s"), F.bool_and("whole").alias("whole"))
+    seeds = F.concat_ws(",", F.col("s").cast("array<string>"))
+    return out.select(config, seeds.alias("seeds"),
+                      F.when((seeds == need) & F.col("whole"), "PASS").otherwise("INCOMPLETE").alias("status"))
