@@ -66,7 +66,7 @@ def band_features(cells: DataFrame, edges: Sequence[float], bands: Sequence[tupl
     for v, (a, b) in inner.items():
         c = (F.col("view") == v) & F.col("tbin").between(a, b - 1)
         mid = c if mid is None else mid | c
-    keys = [c for c in ("recording_id", "row") if c in cells.columns]
+    keys = [c for c in ("condition", "recording_id", "row") if c in cells.columns]
     t = cells.withColumns({"band": band_of(F.col("fbin"), edges, bands), "mid": mid}).where(F.col("band").isNotNull())
     ok = F.col("valid")
 
@@ -87,10 +87,11 @@ def feature_vectors(features: DataFrame, cells: DataFrame, names: Sequence[tuple
         hit = (F.col("view") == v) & (F.col("region") == r) & (F.col("band") == b)
         picks += [F.max(F.when(hit, F.col("mean"))).alias(f"{v}_{r}_{b}_mean"),
                   F.max(F.when(hit, F.col("contrast"))).alias(f"{v}_{r}_{b}_contrast")]
-    wide = features.groupBy("recording_id", "row").agg(*picks)
-    frac = cells.groupBy("recording_id", "row").agg(*[
+    keys = [c for c in ("condition", "recording_id", "row") if c in cells.columns]
+    wide = features.groupBy(*keys).agg(*picks)
+    frac = cells.groupBy(*keys).agg(*[
         F.avg(F.when(F.col("view") == v, F.col("valid").cast("int"))).alias(f"{v}_valid") for v in views])
-    return wide.join(frac, ["recording_id", "row"])
+    return wide.join(frac, keys)
 
 
 def completeness(index: DataFrame, cells: DataFrame, views: Sequence[str], key: str = "row") -> DataFrame:
