@@ -263,7 +263,7 @@ def e19(spark, d):
 cte("s_bz", "SELECT z.*, CASE WHEN (lo+hi)/2 >= 0.5 AND (lo+hi)/2 < 2.0 THEN 'slow' WHEN (lo+hi)/2 >= 2.0 AND (lo+hi)/2 < 3.5 THEN 'fast' END AS band, (view='local' AND tbin BETWEEN 2 AND 5) OR (view='uniform' AND tbin BETWEEN 3 AND 4) AS mid FROM s_z z JOIN s_efrq e ON e.bin = z.fbin")
 _MM = "coalesce(sum(CASE WHEN {c} THEN z END), 0.0)/greatest(sum(({c})::INT), 1)"
 cte("s_bf", "SELECT \"row\", view, region, band, " + _MM.format(c="valid") + " AS mean, " + _MM.format(c="valid AND mid") + " - CASE WHEN view='uniform' THEN " + _MM.format(c="valid") + " ELSE "
-    + _MM.format(c="valid AND NOT mid") + " END AS contrast FROM s_bz WHERE band IS NOT NULL GROUP BY ALL")
+    + _MM.format(c="valid AND NOT mid") + " END AS contrast FROM s_bz WHERE band IS NOT NULL GROUP BY \"row\", view, region, band")
 
 
 def features(c):
