@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..constants import T_MAX, T_MIN
-from ..session import cut_lineage
+from ..session import cut_lineage, join_small
 
 
 def fit_temperature(df: DataFrame, by: Sequence[str], group: str, t_min: float = T_MIN, t_max: float = T_MAX,
@@ -26,8 +26,7 @@ def fit_temperature(df: DataFrame, by: Sequence[str], group: str, t_min: float =
     state = rows.select(*by).distinct().withColumns({"b": F.lit(1.0), "step": F.lit(1.0)})
     lg, q = fn.cols("lg"), fn.cols("q")
     for _ in range(max_rounds):
-        state = cut_lineage(state)
-        j = rows.join(state.select(*by, "b"), list(by))
+        j = join_small(rows, state.select(*by, "b"), by)
         top = F.greatest(*lg)
         e = [F.exp(F.col("b") * (x - top)) for x in lg]
         j = j.withColumns({f"e{k}": x for k, x in enumerate(e)})
@@ -35,9 +34,9 @@ def fit_temperature(df: DataFrame, by: Sequence[str], group: str, t_min: float =
         m1 = fn.total([a * b for a, b in zip(fn.cols("e"), lg)]) / mass
         m2 = fn.total([a * b * b for a, b in zip(fn.cols("e"), lg)]) / mass
         slope = m1 - fn.total([a * b for a, b in zip(q, lg)])
-        per = j.groupBy(*by, group, "b").agg(F.avg(slope).alias("g"), F.avg(m2 - m1 * m1).alias("h"))
-        s = per.groupBy(*by, "b").agg(F.avg("g").alias("g"), F.avg("h").alias("h"))
-        move = F.greatest(F.lit(-0.75), F.least(F.col("g") / F.greatest(F.col("h"), F.lit(1e-12)), F.lit(0.75)))
+        per = j.groupBy(*by, group, "b").agg(F.avg(slope).alias("__g"), F.avg(m2 - m1 * m1).alias("__h"))
+        s = per.groupBy(*by, "b").agg(F.avg("__g").alias("__g"), F.avg("__h").alias("__h"))
+        move = F.greatest(F.lit(-0.75), F.least(F.col("__g") / F.greatest(F.col("__h"), F.lit(1e-12)), F.lit(0.75)))
         new = F.greatest(F.lit(lo), F.least(F.col("b") - move, F.lit(hi)))
         state = cut_lineage(s.select(*by, new.alias("b"), F.abs(new - F.col("b")).alias("step")))
         if (state.agg(F.max("step")).first()[0] or 0.0) < tol:
@@ -47,7 +46,7 @@ def fit_temperature(df: DataFrame, by: Sequence[str], group: str, t_min: float =
 
 def with_temperature(df: DataFrame, fits: DataFrame, by: Sequence[str], out: str = "t") -> DataFrame:
     """Calibrated probabilities t0..t5 (scoring form) from c0..c5 and the key's temperature."""
-    j = df.join(fits, list(by))
+    j = join_small(df, fits, by)
     j = j.withColumns({f"__s{k}": x for k, x in enumerate(fn.temper(fn.cols("c"), F.col("temperature")))})
     j = j.withColumns({f"{out}{k}": x for k, x in enumerate(fn.clip_renorm(fn.cols("__s")))})
     return j.drop(*[f"__s{k}" for k in range(6)])
@@ -56,7 +55,7 @@ def with_temperature(df: DataFrame, fits: DataFrame, by: Sequence[str], out: str
 def temperature_report(df: DataFrame, fits: DataFrame, by: Sequence[str], group: str, t_min: float = T_MIN,
                        t_max: float = T_MAX, bound_tol: float = 1e-3) -> DataFrame:
     """Temperature with bound flags, objectives at 1, at the optimum and at both bounds, KL before and after."""
-    j = df.join(fits, list(by))
+    j = join_small(df, fits, by)
     q, c = fn.cols("q"), fn.cols("c")
     aggs = []
     marks = {"before": F.lit(1.0), "after": F.col("temperature"), "at_min": F.lit(t_min), "at_max": F.lit(t_max)}

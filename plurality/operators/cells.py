@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LOG_FLOOR, NORMAL_CLIP
+from ..session import join_small
 from .ranking import exact_quantiles
 
 
@@ -25,7 +26,7 @@ def fit_normaliser(cells: DataFrame, by: Sequence[str] = ("view", "region"), flo
     """Median and 1.4826 MAD of the valid cells; the deviation, else 1, where the MAD vanishes."""
     v = cells.where("valid").select(*by, "value")
     med = exact_quantiles(v, by, "value", (0.5,)).select(*by, F.col("quantile").alias("median"))
-    dev = v.join(med, list(by)).withColumn("dev", F.abs(F.col("value") - F.col("median")))
+    dev = join_small(v, med, by).withColumn("dev", F.abs(F.col("value") - F.col("median")))
     mad = exact_quantiles(dev, by, "dev", (0.5,)).select(*by, (F.col("quantile") * 1.4826).alias("mad"))
     sd = v.groupBy(*by).agg(F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("n_cells"))
     s = med.join(mad, list(by)).join(sd, list(by))
@@ -37,7 +38,7 @@ def normalise(cells: DataFrame, stats: DataFrame, by: Sequence[str] = ("view", "
     """(x - median) / scale, clipped; invalid cells become 0 afterwards. The stats have one row per key."""
     x = (F.col("value") - F.col("median")) / F.col("scale")
     z = F.greatest(F.lit(-NORMAL_CLIP), F.least(x, F.lit(NORMAL_CLIP)))
-    return cells.join(stats.select(*by, "median", "scale"), list(by)).withColumn(
+    return join_small(cells, stats.select(*by, "median", "scale"), by).withColumn(
         "value", F.when(F.col("valid"), z).otherwise(0.0)).drop("median", "scale")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..session import join_small
 from .ranking import equal_count_bin, ordered_prefix
 
 GRID = 51  # coverages 0.50, 0.51, ..., 1.00
@@ -96,7 +97,7 @@ def soft_ece(df: DataFrame, by: Sequence[str], key: str, k: int = 10, group: str
     rows = confidence_rows(df, observed).select(*by, key, "confidence", "observed", *([group] if group else []))
     binned = equal_count_bins(rows, by, "confidence", key, k)
     if group:
-        binned = binned.join(merged_bins(binned, by, group, k, min_groups), [*by, "bin"]).drop("bin")
+        binned = join_small(binned, merged_bins(binned, by, group, k, min_groups), [*by, "bin"]).drop("bin")
         return ece(bin_table(binned, by, None, "merged"), by)
     return ece(bin_table(binned, by), by)
 
@@ -189,7 +190,7 @@ def thresholds(df: DataFrame, by: Sequence[str], score: str, key: str, coverages
 def referral_summary(df: DataFrame, thr: DataFrame, by: Sequence[str], score: str, risk: str, group: str) -> DataFrame:
     """Accepted, referred and whole risks at frozen thresholds; a NULL score is referred."""
     ok = F.coalesce(F.col(score) <= F.col("threshold"), F.lit(False))
-    rows = df.select(*by, group, score, risk).join(thr.select(*by, "planned_coverage", "threshold"), [*by])
+    rows = join_small(df.select(*by, group, score, risk), thr.select(*by, "planned_coverage", "threshold"), by)
     per = rows.withColumn("ok", ok).groupBy(*by, "planned_coverage", "threshold", group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(risk).alias("s"), F.count_if("ok").alias("na"),
         F.sum(F.when(F.col("ok"), F.col(risk))).alias("sa"))

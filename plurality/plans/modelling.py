@@ -11,7 +11,7 @@ from ..operators import curves as cv
 from ..operators import groups as gp
 from ..operators import models as md
 from ..operators.scoring import referral_score, with_clipped
-from ..session import cut_lineage
+from ..session import cut_lineage, join_small
 from ..sources import standins as sv
 from . import spectral as sp
 from .registry import query
@@ -124,7 +124,7 @@ def m05(spark, d):
     t = cut_lineage(t.select(*MS, "group_id", "label_id", "partition", "temperature", F.col("kl").alias("kl_raw"),
                              fn.kl(fn.cols("q"), fn.cols("t")).alias("kl_cal"), fn.entropy(fn.cols("t")).alias("ent_cal")))
     thr = cv.thresholds(t.where(F.col("partition") == "calibration_p"), MS, "ent_cal", "label_id", (0.9,)).select(*MS, "threshold")
-    j = t.where(F.col("partition") == "test").join(thr, MS)
+    j = join_small(t.where(F.col("partition") == "test"), thr, MS)
     ok = F.col("ent_cal") <= F.col("threshold")
     per = j.groupBy(*MS, "temperature", "threshold", "group_id").agg(
         F.avg("kl_raw").alias("gr"), F.avg("kl_cal").alias("gc"), F.sum("kl_cal").alias("sc"), F.count(F.lit(1)).alias("nr"),

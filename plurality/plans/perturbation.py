@@ -8,7 +8,7 @@ from ..operators import evidence as ev
 from ..operators import perturb as pt
 from ..operators import signal as sg
 from ..operators.splits import balanced_cases
-from ..session import cut_lineage
+from ..session import cut_lineage, join_small
 from ..sources import standins as sv
 from . import spectral as sp
 from .modelling import FEATURES, NAMES, fitted
@@ -52,7 +52,7 @@ def scaled(spark, d):
     """Normalised cells with the scale of their (view, region)."""
     c = cut_lineage(sp.cells(spark, d))
     s = sp.normaliser(spark, d, c)
-    return cl.normalise(c, s).join(s.select("view", "region", "scale"), ["view", "region"])
+    return join_small(cl.normalise(c, s), s.select("view", "region", "scale"), ["view", "region"])
 
 
 @query("l03_gain_shift", _sum_sql("CASE WHEN valid THEN greatest(-8.0, least(z + 1.5/scale, 8.0)) ELSE 0.0 END", "valid"))

@@ -54,3 +54,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+SMALL_ROWS = 200_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str], limit: int = SMALL_ROWS) -> DataFrame:
+    """Inner join with a table of a few rows per key, such as one fitted number per method.
+
+    The small side is materialised and counted; up to ``limit`` rows it is broadcast, so that
+    the few keys do not gather the big side in as many tasks. Beyond that it is a plain join.
+    """
+    from pyspark.sql import functions as F
+
+    small = cut_lineage(small)
+    return df.join(F.broadcast(small) if small.count() <= limit else small, list(on))

@@ -192,13 +192,11 @@ def value_bucket(v: F.Column) -> F.Column:
 
 def run_events(spark: SparkSession, d: str) -> DataFrame:
     """Training-log stand-in: a run is a user, an epoch its event order, the loss its value."""
-    from pyspark.sql import Window
+    from ..operators.ranking import ordered_prefix
 
-    e = event_rows(spark, d)
-    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = ordered_prefix(event_rows(spark, d), ["user_id"], ["event_id"])
     return e.select(
-        F.col("user_id").alias("run_id"), "event_id", "micros",
-        F.row_number().over(w).cast("bigint").alias("epoch"),
+        F.col("user_id").alias("run_id"), "event_id", "micros", F.col("rank").alias("epoch"),
         F.col("value").alias("loss"),
         (F.pmod(F.col("event_id") * 7, F.lit(50)) + 1).alias("examples"),
         F.col("event_type").alias("stage"),
