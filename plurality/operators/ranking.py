@@ -21,7 +21,9 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], order: Sequence[Column | st
                    sums: Mapping[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``rank`` (1-based), ``n_total`` and, per measure, ``cum_<m>`` (inclusive) and ``all_<m>``.
 
-    ``order`` must end in a unique key for the ranks to be unique.
+    ``order`` must end in a unique key for the ranks to be unique. The offset windows run over
+    one row per (key, range partition), so even without keys they hold no more rows than there
+    are partitions.
     """
     sums = dict(sums or {})
     spark = df.sparkSession
@@ -109,7 +111,12 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
 
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks; NULL for constant input or fewer than two rows."""
+    """Rank correlation with average ranks; NULL for constant input or fewer than two rows.
+
+    The two value columns are read five times (two orders and the last join), so they are
+    checkpointed once instead of deriving the rows again each time.
+    """
+    df = cut_lineage(df.select(*by, a, b))
     ra = average_ranks(df, by, a).select(*by, a, F.col("avg_rank").alias("__ra"))
     rb = average_ranks(df, by, b).select(*by, b, F.col("avg_rank").alias("__rb"))
     j = df.select(*by, a, b).join(ra, [*by, a]).join(rb, [*by, b])

@@ -10,6 +10,7 @@ from ..operators import ranking as rk
 from ..operators import runs as rn
 from ..operators import splits as sp
 from ..operators.scoring import strata_rows, target_entropy, vote_band
+from ..session import cut_lineage
 from ..sources import standins as sv
 from ..sources.tables import table
 from .gates import STRATA_SQL, tertiles
@@ -213,7 +214,8 @@ _SOFT = ("kl", "ce", "sse", "brier")
     " stddev_samp(gate) AS gate_std FROM s_rows GROUP BY ALL) b JOIN (SELECT method, seed, avg(gkl) AS group_kl, count(*) AS n_groups FROM s_gm GROUP BY ALL) g"
     " ON g.method=b.method AND g.seed=b.seed JOIN s_hard h ON h.method=b.method AND h.seed=b.seed JOIN s_ece e ON e.method=b.method AND e.seed=b.seed"))
 def g16(spark, d):
-    s = scored(spark, d)
+    keep = [*MS, "label_id", "group_id", "gate", "y", "yhat", *_SOFT, *[f"{x}{k}" for x in "cq" for k in range(6)]]
+    s = cut_lineage(scored(spark, d).select(*keep))  # three summaries read the same rows
     soft = s.groupBy(*MS, "group_id").agg(
         F.count(F.lit(1)).alias("c"), *[F.sum(m).alias(m) for m in _SOFT], F.sum("gate").alias("g1"),
         F.sum(F.col("gate") * F.col("gate")).alias("g2"))
@@ -339,10 +341,11 @@ cte("s_dha", "SELECT method, seed, sum(a) AS aurc_d FROM (SELECT method, seed, (
     " JOIN (SELECT * FROM s_spear WHERE band='overall') p ON p.method=s.method AND p.seed=s.seed JOIN (SELECT * FROM s_dm WHERE band='overall') m ON m.method=s.method AND m.seed=s.seed"
     " JOIN s_aurc a ON a.method=s.method AND a.seed=s.seed JOIN s_dha h ON h.method=s.method AND h.seed=s.seed GROUP BY 1"))
 def g25(spark, d):
-    s = scored(spark, d)
+    s = cut_lineage(scored(spark, d).select(*MS, "label_id", "group_id", "band", "kl", "ent", "d_hat", "d_obs"))
     gap = F.col("d_hat") - F.col("d_obs")
     k = gp.group_weighted(s.withColumn("mse", gap * gap), MS, "group_id", ["kl", "mse"], row_means=True)
-    rho = rk.spearman(disagreement_rows(spark, d), MS, "d_hat", "d_obs")
+    seen = s.where(F.col("d_obs").isNotNull()).withColumn("d_obs", F.round("d_obs", 9))
+    rho = rk.spearman(seen, MS, "d_hat", "d_obs")
     long = s.select(*MS, "label_id", "kl", F.explode(F.array(
         F.struct(F.lit("aurc_entropy").alias("nm"), F.col("ent").alias("score")),
         F.struct(F.lit("aurc_d_hat").alias("nm"), F.col("d_hat").alias("score")))).alias("z")).select(
