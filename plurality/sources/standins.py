@@ -166,7 +166,9 @@ def event_rows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
         "event_id", "user_id", "event_type", "value",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        # wall-clock parts, so that the session time zone does not matter
+        (F.unix_date(F.to_date("ts")) * F.lit(86400000000) + (F.hour("ts") * 3600 + F.minute("ts") * 60).cast("bigint") * 1000000
+         + (F.expr("extract(SECOND FROM ts)") * 1000000).cast("bigint")).alias("micros"),
     ).withColumns({
         "day": F.floor(F.col("micros") / 86400000000).cast("bigint"),
         "seconds": (F.pmod(F.col("micros"), F.lit(86400000000)) / 1000000.0),

@@ -225,3 +225,18 @@ def test_pooling(spark):
     df = spark.createDataFrame([(1, 0, 0.0, True), (1, 1, float(np.log(3)), True), (1, 2, 0.0, False), (1, 3, 0.0, False)], "row bigint, tbin bigint, value double, valid boolean")
     got = {r["tbin"]: (r["value"], r["valid"]) for r in cl.pool_time_bins(df, 2).collect()}
     assert got[0] == (pytest.approx(np.log(2)), True) and got[1] == (0.0, False)
+
+
+def test_grouped_calibration_error(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.ones(6), 300)
+    q = rng.multinomial(5, np.full(6, 1 / 6), 300) / 5
+    pdf = pd.DataFrame({f"c{k}": p[:, k] for k in range(6)} | {f"q{k}": q[:, k] for k in range(6)}).assign(
+        m="x", id=np.arange(300), g=np.arange(300) % 25, yhat=p.argmax(1), y=0)
+    df = spark.createDataFrame(pdf)
+    plain = cv.soft_ece(df, ["m"], "id").first()
+    loose = cv.soft_ece(df, ["m"], "id", group="g", min_groups=1).first()
+    one = cv.soft_ece(df, ["m"], "id", group="g", min_groups=26).first()
+    assert loose.ece == pytest.approx(plain.ece) and loose.n_bins == 10
+    obs = q[np.arange(300), p.argmax(1)]
+    assert one.n_bins == 1 and one.ece == pytest.approx(abs(p.max(1).mean() - obs.mean()))
