@@ -70,7 +70,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
 
 def _signature(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+    # decimals, because a bigint sum overflows with some 10^7 edges
+    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(28,0)"))).first()
     return r[0], r[1]
 
 
