@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, bpe, counts, neardup, packing, preference, rules
+from . import backoff, balltree, bpe, counts, kneser_ney, neardup, packing, preference, rules
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+@query
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kneser_ney.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "lang", "n_words", "log_prob", "perplexity", "threshold", "kept")
+
+
 @query
 def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(*preference.swapped_replies(table(spark, sf_dir, "conversations")))
@@ -68,7 +74,7 @@ m AS (SELECT d.rid, d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(
       CAST(length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_capitals
       FROM d JOIN w ON w.rid = d.rid LEFT JOIN l ON l.rid = d.rid LEFT JOIN c ON c.rid = d.rid),
 b AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-      + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+      + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END)
       + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_capitals > 40 * word_chars THEN 32 ELSE 0 END) AS BIGINT) AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed, failed_rules = 0 AS kept, n_lines, n_capitals, failed_rules FROM b
 """
@@ -99,6 +105,36 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@query
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents"), alpha=0.4)
+
+
+ORACLES["op7_stupid_backoff"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (SELECT rid, unnest(ws) AS b, generate_subscripts(ws, 1) AS i FROM s),
+w AS (SELECT rid, i, lag(b) OVER (PARTITION BY rid ORDER BY i) AS a, b FROM p),
+n AS (SELECT rid, count(*) AS n FROM p GROUP BY rid),
+t AS (SELECT sum(n) AS n FROM n),
+u AS (SELECT b, count(*) AS c FROM p GROUP BY b),
+ud AS (SELECT rid, b, count(*) AS c FROM p GROUP BY rid, b),
+g AS (SELECT a, b, count(*) AS c FROM w WHERE a IS NOT NULL GROUP BY a, b),
+gd AS (SELECT rid, a, b, count(*) AS c FROM w WHERE a IS NOT NULL GROUP BY rid, a, b),
+o AS (SELECT ud.rid, ud.b, u.c - ud.c AS c FROM ud JOIN u ON u.b = ud.b),
+q AS (SELECT gd.rid, gd.a, gd.b, g.c - gd.c AS c FROM gd JOIN g ON g.a = gd.a AND g.b = gd.b),
+v AS (SELECT w.rid, w.a, coalesce(q.c, 0) > 0 AS seen,
+      CASE WHEN coalesce(q.c, 0) > 0 THEN CAST(q.c AS DOUBLE) / oa.c
+           WHEN w.a IS NULL AND ob.c > 0 THEN CAST(ob.c AS DOUBLE) / greatest(t.n - n.n, 1)
+           ELSE 0.4::DOUBLE * (CAST(CASE WHEN ob.c > 0 THEN ob.c ELSE 1 END AS DOUBLE) / greatest(t.n - n.n, 1)) END AS x
+      FROM w JOIN n ON n.rid = w.rid CROSS JOIN t JOIN o ob ON ob.rid = w.rid AND ob.b = w.b
+      LEFT JOIN o oa ON oa.rid = w.rid AND oa.b = w.a LEFT JOIN q ON q.rid = w.rid AND q.a = w.a AND q.b = w.b),
+r AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE seen) AS seen, CAST(sum(CAST(floor(ln(x) * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS score FROM v GROUP BY rid)
+SELECT d.doc_id, coalesce(r.n, 0) AS n_words, coalesce(r.seen, 0) AS n_seen, greatest(coalesce(r.n, 0) - 1, 0) - coalesce(r.seen, 0) AS n_backed_off, coalesce(r.score, 0) AS score
+FROM d LEFT JOIN r ON r.rid = d.rid
+"""
+
+
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), width=3, percent=85)

@@ -11,7 +11,7 @@ RULES = {
     "few_words": lambda: F.col("n_words") < 50,
     "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
     "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
-    "duplicate_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+    "duplicate_lines": lambda: 100 * F.col("n_dup_lines") > 60 * F.col("n_lines"),
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
     "capitals": lambda: 100 * F.col("n_capitals") > 40 * F.col("word_chars"),
 }
