@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 #: rules in the order of their bits; a rule is true where a text fails it
 RULES = {
-    "few_words": lambda: F.col("n_words") < 50,
-    "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
-    "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
-    "duplicate_lines": lambda: 100 * F.col("n_dup_lines") > 60 * F.col("n_lines"),
-    "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-    "capitals": lambda: 100 * F.col("n_capitals") > 40 * F.col("word_chars"),
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "duplicate_lines": lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"],
+    "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
+    "capitals": lambda m: 100 * m["n_capitals"] > 40 * m["word_chars"],
 }
 #: versions of the policy: the rules whose failure rejects a document
 POLICIES = {
@@ -23,6 +23,9 @@ POLICIES = {
 }
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
+
+
 def mask(rules) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
@@ -62,31 +65,33 @@ def ledger(docs: DataFrame) -> DataFrame:
     measurement's name are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({
-        "__words": F.filter(F.split(text, BLANK + "+", -1), lambda w: w != ""),
-        "__lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    long = lambda c: c.cast("bigint")
-    rows = rows.withColumns({
-        "n_words": long(F.size("__words")),
-        "word_chars": long(F.length(F.regexp_replace(text, BLANK + "+", ""))),
-        "n_symbols": long(F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))),
-        "n_lines": long(F.size("__lines")),
-        "n_dup_lines": long(F.size("__lines") - F.size(F.array_distinct("__lines"))),
-        "n_repeat_words": _repeat_words(F.col("__words")),
-        "n_capitals": long(F.length(F.regexp_replace(text, "[^A-Z]+", ""))),
-    }).drop("__words", "__lines")
-    bits = [F.when(rule(), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return rows.withColumn("failed_rules", long(total))
+    words = F.filter(F.split(text, BLANK + "+", -1), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+
+    def measured(w: Column, x: Column) -> Column:
+        values = {
+            "n_words": F.size(w), "word_chars": without(BLANK + "+"), "n_symbols": without(r"[^#*$%&|<>]+"), "n_lines": F.size(x),
+            "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)), "n_repeat_words": _repeat_words(w), "n_capitals": without("[^A-Z]+"),
+        }
+        return F.struct(*[v.cast("bigint").alias(k) for k, v in values.items()])
+
+    def bits(m: Column) -> Column:
+        total = F.lit(0)
+        for k, rule in enumerate(RULES.values()):
+            total = total.bitwiseOR(F.when(rule(m), F.lit(1 << k)).otherwise(F.lit(0)))
+        return total.cast("bigint")
+
+    # one expression, every part of it computed once: a filter on its bits may then be moved to the scan without repeating it
+    row = _let(words, lambda w: _let(lines, lambda x: _let(measured(w, x), lambda m: F.struct(*[m[c].alias(c) for c in MEASURES], bits(m).alias("failed_rules")))))
+    return docs.drop(*MEASURES, "failed_rules").withColumn("__ledger", row).select("*", "__ledger.*").drop("__ledger")
 
 
 def judged(rows: DataFrame, policy: str) -> DataFrame:
     """A ledger with ``base_failed`` and ``kept`` by a version of the policy."""
-    hit = lambda name: F.col("failed_rules").bitwiseAND(F.lit(mask(POLICIES[name]))) != 0
-    return rows.withColumns({"base_failed": hit("base"), "kept": ~hit("base") & ~hit(policy)})
+    hit = lambda m: F.col("failed_rules").bitwiseAND(F.lit(m)) != 0
+    base = mask(POLICIES["base"])
+    return rows.withColumns({"base_failed": hit(base), "kept": ~hit(base | mask(POLICIES[policy]))})
 
 
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
