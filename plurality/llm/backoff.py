@@ -13,25 +13,35 @@ from pyspark.sql import functions as F
 from .text import Memo, hash_words, rows_of, windows, word_hash
 
 #: words of a block of documents, whose n-grams ask the shards for their counts together
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 3_000_000
 #: characters of the corpus for each shard of the count tables
 SHARD_CHARS = 32_000_000
 _WORDS = Memo(word_hash, 800_000)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest needs, byte by byte: upper bytes, mostly zeros, compress well in a shuffle."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _numbers(data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers written at ``at``, and where they end."""
+    width = data[at]
+    x = np.zeros((n, 8), np.uint8)
+    x[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
+    return x.reshape(-1).view("<u8"), at + 1 + n * width
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences of as few bytes as all of them need, then 32-bit counts."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    return bytes([width]) + len(keys).to_bytes(8, "little") + body + counts.astype("<u4").tobytes()
+    """Sorted keys as differences, and their counts."""
+    return len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(counts)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width, n = data[0], int.from_bytes(data[1:9], "little")
-    gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(data, np.uint8, n * width, 9).reshape(n, width)
-    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64), np.frombuffer(data, "<u4", n, 9 + n * width).astype(np.int64)
+    n = int.from_bytes(data[:8], "little")
+    gaps, end = _numbers(data, n, 8)
+    return np.cumsum(gaps, dtype=np.uint64), _numbers(data, n, end)[0].astype(np.int64)
 
 
 class _Block:
@@ -84,7 +94,7 @@ def _summed(blocks: pd.Series) -> list[bytes]:
     sums = np.add.reduceat(counts[order], first) if len(keys) else counts
     back = np.empty(len(keys), "<i8")
     back[order] = np.repeat(sums, np.diff(first, append=len(keys)))
-    return [x.tobytes() for x in np.split(back, np.cumsum([len(k) for k, _ in parts])[:-1])]
+    return [len(x).to_bytes(8, "little") + _planes(x) for x in np.split(back, np.cumsum([len(k) for k, _ in parts])[:-1])]
 
 
 def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
@@ -137,14 +147,14 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
         for number, block in _blocks(batches):
             words, sizes = block.arrays()
             distinct, place = np.unique(words, return_inverse=True)
-            data = [pa.array([number], pa.int64()), pa.array([block.ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([distinct.tobytes()], pa.binary()), pa.array([place.astype("<u4").tobytes()], pa.binary())]
+            data = [pa.array([number], pa.int64()), pa.array([block.ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_packed(distinct, np.ones(len(distinct), np.int64))], pa.binary()), pa.array([len(place).to_bytes(8, "little") + _planes(place)], pa.binary())]
             yield pa.RecordBatch.from_arrays(data, names=["own_block", "ids", "sizes", "distinct", "place"])
 
     def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.itertuples(index=False):
-            distinct, place = np.frombuffer(row.distinct, np.uint64), np.frombuffer(row.place, "<u4").astype(np.int64)
-            told = [np.concatenate([np.frombuffer(b, "<i8") for b in answers[answers.kind == k].sort_values("shard").data] or [np.empty(0, "<i8")]) for k in (1, 2)]
+            distinct, place = _unpacked(row.distinct)[0], _numbers(row.place, int.from_bytes(row.place[:8], "little"), 8)[0].astype(np.int64)
+            told = [np.concatenate([_numbers(b, int.from_bytes(b[:8], "little"), 8)[0].astype(np.int64) for b in answers[answers.kind == k].sort_values("shard").data] or [np.empty(0, np.int64)]) for k in (1, 2)]
             out.append(_scores(np.array(row.ids, object), np.array(row.sizes, np.int64), distinct, place, told[0], told[1], total, alpha))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_seen", "n_backed_off", "score")})
 
