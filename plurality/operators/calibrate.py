@@ -41,6 +41,8 @@ def fit_temperature(df: DataFrame, by: Sequence[str], group: str, t_min: float =
         state = cut_lineage(s.select(*by, new.alias("b"), F.abs(new - F.col("b")).alias("step")))
         if (state.agg(F.max("step")).first()[0] or 0.0) < tol:
             break
+    else:
+        raise RuntimeError(f"temperatures did not settle in {max_rounds} rounds")
     return state.select(*by, (1.0 / F.col("b")).alias("temperature"))
 
 

@@ -244,7 +244,8 @@ def auroc_ap(counts: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum(ap).alias("ap"))
     neg = F.col("n") - F.col("n_pos")
     ok = (F.col("n_pos") > 0) & (neg > 0)
-    auc = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / F.nullif(F.col("n_pos") * neg, F.lit(0))
+    n_pos = F.col("n_pos").cast("double")  # products of two counts leave the range of a bigint
+    auc = (F.col("r") - n_pos * (n_pos + 1) / 2.0) / F.nullif(n_pos * neg, F.lit(0.0))
     return agg.select(*by, "class", F.col("n_pos").alias("n_pos"), neg.alias("n_neg"),
                       F.when(ok, auc).alias("auroc"), F.when(ok, F.col("ap")).alias("average_precision"))
 

@@ -61,9 +61,9 @@ def hard_summary(pc: DataFrame, by: Sequence[str]) -> DataFrame:
         F.max("total").alias("n"), F.sum("tp").alias("hits"), F.avg("recall").alias("balanced_accuracy"),
         F.avg("precision").alias("macro_precision"), F.avg("f1").alias("macro_f1"),
         F.count("recall").alias("n_recall"), F.count("precision").alias("n_precision"), F.count("f1").alias("n_f1"),
-        F.sum(F.col("support") * F.col("predicted")).alias("tp_cross"),
-        F.sum(F.col("predicted") * F.col("predicted")).alias("pp"),
-        F.sum(F.col("support") * F.col("support")).alias("ss"))
+        F.sum(F.col("support").cast("double") * F.col("predicted")).alias("tp_cross"),
+        F.sum(F.col("predicted").cast("double") * F.col("predicted")).alias("pp"),
+        F.sum(F.col("support").cast("double") * F.col("support")).alias("ss"))
     n, hits = F.col("n").cast("double"), F.col("hits").cast("double")
     spread = (n * n - F.col("ss")) * (n * n - F.col("pp"))
     mcc = F.when(spread > 0, (hits * n - F.col("tp_cross")) / F.sqrt(F.greatest(spread, F.lit(1e-300))))

@@ -13,7 +13,6 @@ from ..constants import LOW_SUPPORT_GROUPS
 from .ranking import ordered_prefix
 
 BOOT_SEED = 20260907
-EXACT_DRAW_LIMIT = 2_000_000_000  # replicate x group draws made exactly; beyond it Poisson multiplicities
 
 
 def holm_adjust(df: DataFrame, by: Sequence[str], p: str, key: str) -> DataFrame:
@@ -42,23 +41,21 @@ def group_index(groups: DataFrame, by: Sequence[str], group: str) -> DataFrame:
 
 
 def multiplicities(index: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int = BOOT_SEED,
-                   limit: int = EXACT_DRAW_LIMIT, method: str | None = None) -> DataFrame:
+                   method: str = "exact") -> DataFrame:
     """How often each group is drawn in each replicate: (by, group, replicate, m), zeros left out.
 
     Exact: draw j of replicate r is an md5 of (seed, r, j) modulo the group count, so it does not
     depend on partitioning. Draws are counted per (key, replicate, index) before they meet the
-    groups. Past ``limit`` draws each group gets an independent Poisson(1) count instead.
+    groups. Only where the caller asks for ``method="poisson"`` each group gets an independent
+    Poisson(1) count instead; the method never depends on the size.
     """
     sizes = index.groupBy(*by).agg(F.max("n_groups").alias("n_groups"))
-    if method is None:
-        draws = (sizes.agg(F.sum("n_groups")).first()[0] or 0) * replicates
-        method = "exact" if draws <= limit else "poisson"
     reps = F.sequence(F.lit(0), F.lit(replicates - 1))
     if method == "poisson":
         rows = index.select(*by, group, F.explode(reps).alias("replicate"))
         u = fn.md5_unit(str(seed), F.col("replicate"), F.col(group).cast("string"))
         m, cdf, term = F.lit(0), 0.0, math.exp(-1.0)
-        for k in range(12):
+        for k in range(18):  # the next count has a chance below 1e-16, less than u resolves
             cdf += term
             m = m + (u >= cdf).cast("int")
             term /= k + 1

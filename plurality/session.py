@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, app: str = "plurality", **conf: str) -> S
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -30,12 +31,14 @@ def local_session(cpus: int | str = 8, app: str = "plurality", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, laptops) a fresh local folder is made
-    and recorded in the session, so that every later call sees the same one.
+    Only in local mode (tests, laptops) a fresh local folder is made where none is named, and
+    recorded in the session, so that every later call sees the same one; a cluster must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="run-plurality-")
         spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:

@@ -142,9 +142,10 @@ def test_bootstrap_interval_covers_known_delta(spark):
     assert row.ci_low < -0.05 < row.ci_high < 0 and row.decision == "superiority_supported"
 
 
-def test_poisson_draws_say_so(spark):
+def test_poisson_draws_only_when_asked_for(spark):
     idx = rs.group_index(spark.range(500).select(F.col("id").alias("g")), [], "g")
-    m = rs.multiplicities(idx, [], "g", 20, limit=10)
+    assert rs.multiplicities(idx, [], "g", 2).select("draw_method").distinct().collect()[0][0] == "exact"
+    m = rs.multiplicities(idx, [], "g", 20, method="poisson")
     row = m.agg(F.sum("m").alias("s"), F.min("draw_method").alias("k")).first()
     assert row.k == "poisson" and abs(row.s / 10000 - 1) < 0.05
 
@@ -240,3 +241,10 @@ def test_grouped_calibration_error(spark):
     assert loose.ece == pytest.approx(plain.ece) and loose.n_bins == 10
     obs = q[np.arange(300), p.argmax(1)]
     assert one.n_bins == 1 and one.ece == pytest.approx(abs(p.max(1).mean() - obs.mean()))
+
+
+def test_big_counts_do_not_overflow(spark):
+    from plurality.operators.splits import _signature
+
+    edges = spark.range(20_000_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("bigint").alias("v"))
+    assert _signature(edges)[0] == 20_000_000
