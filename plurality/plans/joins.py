@@ -73,9 +73,9 @@ def f07(spark, d):
 
 
 @query("f08_ordered_key_lookup", sql(
-    "SELECT e.event_id AS pos, l.label_id, l.group_id, " + r("l.local_valid", "local_valid") + " FROM events e JOIN s_labels l ON l.label_id = (e.event_id * 7) % 15000"))
+    "SELECT e.event_id AS pos, l.label_id, l.group_id, " + r("l.local_valid", "local_valid") + " FROM events e JOIN s_labels l ON l.label_id = (e.event_id * 7) % (SELECT max(label_id) + 1 FROM s_labels)"))
 def f08(spark, d):
-    ids = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * 7, F.lit(15000)).alias("label_id"))
+    ids = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * 7, sv.labels(spark, d).agg(F.max("label_id") + 1).scalar()).alias("label_id"))
     return jn.gather(ids, sv.labels(spark, d).select("label_id", "group_id", "local_valid"), "label_id")
 
 
@@ -102,9 +102,9 @@ def f11(spark, d):
 
 
 @query("a13_gather_rows", sql(
-    "SELECT e.event_id AS pos, l.label_id, " + klist("l.v#") + " FROM events e JOIN s_labels l ON l.label_id = (e.event_id * 13) % 15000 ORDER BY pos"))
+    "SELECT e.event_id AS pos, l.label_id, " + klist("l.v#") + " FROM events e JOIN s_labels l ON l.label_id = (e.event_id * 13) % (SELECT max(label_id) + 1 FROM s_labels) ORDER BY pos"))
 def a13(spark, d):
-    ids = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * 13, F.lit(15000)).alias("label_id"))
+    ids = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * 13, sv.labels(spark, d).agg(F.max("label_id") + 1).scalar()).alias("label_id"))
     rows = sv.votes(spark, d).select("label_id", *[f"v{k}" for k in range(6)])
     return jn.gather(ids, rows, "label_id").orderBy("pos")
 

@@ -80,12 +80,12 @@ def h06(spark, d):
 
 
 cte("s_grc", "SELECT method, seed, bucket, avg(m) AS group_risk FROM (SELECT g.method, g.seed, bucket, group_id, avg(kl) AS m FROM s_rcgrid g"
-    " JOIN s_rank t ON t.method=g.method AND t.seed=g.seed AND t.rnk <= g.k WHERE g.seed = 101 GROUP BY ALL) GROUP BY ALL")
+    " JOIN s_rank t ON t.method=g.method AND t.seed=g.seed AND t.rnk <= g.k GROUP BY ALL) GROUP BY ALL")
 
 
 @query("h07_group_weighted_risk_curve", sql(f"SELECT {G}, bucket, {r('group_risk', 'group_risk')} FROM s_grc"))
 def h07(spark, d):
-    c = cv.risk_coverage(scored(spark, d, seeds=(101,)), MS, "ent", "kl", "label_id", group="group_id")
+    c = cv.risk_coverage(scored(spark, d), MS, "ent", "kl", "label_id", group="group_id")
     return c.select(*MS, "bucket", "group_risk")
 
 
@@ -135,7 +135,7 @@ def h10(spark, d):
 
 
 # one-vs-rest ----------------------------------------------------------------------------
-cte("s_ovr", "SELECT method, seed, label_id, group_id, y, " + "unnest([0,1,2,3,4,5])::BIGINT AS class, unnest([c0,c1,c2,c3,c4,c5]) AS score FROM s_rows WHERE y >= 0 AND seed = 101")
+cte("s_ovr", "SELECT method, seed, label_id, group_id, y, " + "unnest([0,1,2,3,4,5])::BIGINT AS class, unnest([c0,c1,c2,c3,c4,c5]) AS score FROM s_rows WHERE y >= 0")
 cte("s_ovd", "SELECT method, seed, class, score, count(*) AS n_at, sum((y=class)::INT) AS pos_at FROM s_ovr GROUP BY ALL")
 cte("s_ovc", "SELECT *, sum(n_at) OVER w AS cn, sum(pos_at) OVER w AS cp, sum(n_at) OVER (PARTITION BY method, seed, class) AS an,"
     " sum(pos_at) OVER (PARTITION BY method, seed, class) AS ap FROM s_ovd WINDOW w AS (PARTITION BY method, seed, class ORDER BY score DESC)")
@@ -144,8 +144,8 @@ cte("s_auc", "SELECT method, seed, class, max(ap)::BIGINT AS n_pos, (max(an)-max
     " CASE WHEN max(ap) > 0 AND max(an) > max(ap) THEN sum(pos_at/nullif(ap,0)::DOUBLE*(cp/cn::DOUBLE)) END AS average_precision FROM s_ovc GROUP BY ALL")
 
 
-def _counts(spark, d):
-    return cv.one_vs_rest(scored(spark, d, seeds=(101,)), MS)
+def _counts(spark, d, **kw):
+    return cv.one_vs_rest(scored(spark, d, **kw), MS)
 
 
 @query("h11_auroc_one_vs_rest", sql(
@@ -162,15 +162,15 @@ def h13(spark, d):
     return a.withColumn("macro_ap", F.avg("average_precision").over(Window.partitionBy(*MS)))
 
 
-@query("h14_roc_points", sql(f"SELECT {G}, class, {r('score', 'score')}, {r('(cn-cp)/nullif(an-ap,0)', 'fpr')}, {r('cp/nullif(ap,0)', 'tpr')} FROM s_ovc"))
+@query("h14_roc_points", sql(f"SELECT {G}, class, {r('score', 'score')}, {r('(cn-cp)/nullif(an-ap,0)', 'fpr')}, {r('cp/nullif(ap,0)', 'tpr')} FROM s_ovc WHERE seed = 101"))
 def h14(spark, d):
-    return cv.roc_points(_counts(spark, d), MS)
+    return cv.roc_points(_counts(spark, d, seeds=(101,)), MS)
 
 
 @query("h15_precision_recall_points", sql(
-    f"SELECT {G}, class, {r('score', 'score')}, {r('cp/cn', 'precision')}, {r('cp/nullif(ap,0)', 'recall')} FROM s_ovc"))
+    f"SELECT {G}, class, {r('score', 'score')}, {r('cp/cn', 'precision')}, {r('cp/nullif(ap,0)', 'recall')} FROM s_ovc WHERE seed = 101"))
 def h15(spark, d):
-    return cv.pr_points(_counts(spark, d), MS)
+    return cv.pr_points(_counts(spark, d, seeds=(101,)), MS)
 
 
 # Spearman -------------------------------------------------------------------------------
@@ -194,9 +194,9 @@ def h12(spark, d):
 
 @query("h16_disagreement_reliability", sql(
     f"SELECT {G}, band, bin, count(*) AS n_rows, {r('avg(d_hat)', 'mean_predicted')}, {r('avg(d_obs)', 'mean_observed')} FROM ("
-    "SELECT *, ntile(8) OVER (PARTITION BY method, seed, band ORDER BY d_hat, label_id) - 1 AS bin FROM s_dis WHERE seed = 101) GROUP BY method, seed, band, bin"))
+    "SELECT *, ntile(8) OVER (PARTITION BY method, seed, band ORDER BY d_hat, label_id) - 1 AS bin FROM s_dis) GROUP BY method, seed, band, bin"))
 def h16(spark, d):
-    b = cv.equal_count_bins(disagreement_rows(spark, d, seeds=(101,)), [*MS, "band"], "d_hat", "label_id", 8)
+    b = cv.equal_count_bins(disagreement_rows(spark, d), [*MS, "band"], "d_hat", "label_id", 8)
     return b.groupBy(*MS, "band", "bin").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d_hat").alias("mean_predicted"),
                                              F.avg("d_obs").alias("mean_observed"))
 

@@ -149,7 +149,7 @@ def auroc_statistic(rows, keys, w):
     return cv.auroc_ap(c, keys).select(*keys, "class", F.col("auroc").alias("value"))
 
 
-_OG = "SELECT class, score, group_id, (y = class)::INT AS pos FROM s_ovr WHERE method = 'm1'"
+_OG = "SELECT class, score, group_id, (y = class)::INT AS pos FROM s_ovr WHERE method = 'm1' AND seed = 101"
 _OGI = "SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS gi FROM (SELECT DISTINCT group_id FROM s_og)"
 _OM = "SELECT r, group_id, count(*) AS m FROM s_dr JOIN s_ogi USING (gi) GROUP BY 1, 2"
 _OW = "SELECT r, class, score, sum(m) AS n_at, sum(m*pos) AS pos_at FROM s_og JOIN s_om USING (group_id) GROUP BY 1, 2, 3 UNION ALL SELECT -1, class, score, count(*), sum(pos) FROM s_og GROUP BY 2, 3"
