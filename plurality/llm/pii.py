@@ -19,17 +19,21 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: candidates beyond the base: access keys, assigned secrets, national ids and local phone numbers
-LOOSE = r"\b(?:AKIA|ASIA)[A-Z0-9]{12,20}+|\b(?i:password|passwd|pwd|secret|token|api_?key)[=:]\s?[^\s]{6,200}+|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+#: candidates beyond the base: access keys, assigned secrets with blanks and quotes around the sign, national ids and local phone numbers
+ASSIGNED = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|(?:secret|api|access|private)[_-]?key|secret|token)[\"']?\s*+[=:]{1,2}+>?+\s*+(?:\"[^\"\r\n]{6,}+\"|'[^'\r\n]{6,}+'|[^\s]{6,}+)"
+LOOSE = r"\b(?:AKIA|ASIA)[A-Z0-9]{12,}+|" + ASSIGNED + r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+#: bare runs that may be random: letters and digits, 20 or more
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+"
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-KINDS = [*BASE, "key", "secret", "ssn", "local"]
+KINDS = [*BASE, "key", "secret", "ssn", "local", "run"]
 #: Gazetteers and context words
+ISSUED = r"^(?:gh[opsu]_|github_pat_|glpat-|sk[-_]|pk_|xox[abp]-|eyJ|AIza|ya29)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"
 COUNTRY_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4|5)|35|30|36|38)"
 DOMAINS = r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 WORDS = {
     "email": "mail|contact|write|address", "ip": "ip|host|server|address", "card": "card|visa|pay|credit", "phone": "phone|call|tel|mobile|fax",
-    "key": "key|aws|access", "secret": "login|user|pass|secret|token", "ssn": "ssn|social|security", "local": "phone|call|tel|mobile|fax",
+    "key": "key|aws|access", "secret": "login|user|pass|secret|token", "ssn": "ssn|social|security", "local": "phone|call|tel|mobile|fax", "run": "key|token|secret|pass|auth|cred|bearer|sign",
 }
 LABELERS = ("shape", "gazetteer", "context", "border")
 ROUNDS = 25
@@ -54,6 +58,13 @@ def _luhn(value: Column) -> Column:
     return F.aggregate(F.filter(digits, lambda d: d.isNotNull()), F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+def _entropy(value: Column) -> Column:
+    """Bits per character of the first 256 characters."""
+    chars = F.filter(F.split(F.left(value, F.lit(256)), ""), lambda c: c != "")
+    share = F.transform(F.array_distinct(chars), lambda d: F.size(F.filter(chars, lambda c: c == d)) / F.size(chars))
+    return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+
 def _valid(kind: Column, value: Column) -> Column:
     """Whether a match of a base pattern holds as one."""
     n = F.length(_digits(value))
@@ -70,10 +81,13 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     Columns ``rid`` (number of the row), ``keep``, ``kind, start, end`` (code points, end
     exclusive), ``value, left, right, base``. Places follow from running sums of the lengths
-    between and of the matches. Loose candidates that touch a base span are left out.
+    between and of the matches. Base matches that fail their check are candidates too. A
+    candidate that lies within a base span, or within a candidate of a kind that says more
+    (assigned or shaped, bare run, failed base match, in this order), is left out; one that
+    only overlaps stays.
     """
     text = F.coalesce("text", F.lit(""))
-    found = F.concat(*[_parts(text, p, k) for k, p in BASE.items()], _parts(text, LOOSE, "loose"))
+    found = F.concat(*[_parts(text, p, k) for k, p in BASE.items()], _parts(text, LOOSE, "loose"), _parts(text, RUN, "run"))
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), *keep, found.alias("found"))  # before the rows multiply
     rows = numbered.select("rid", *keep, F.explode_outer("found").alias("m")).select("rid", *keep, "m.*")
     upto = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,13 +97,14 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
         .when(F.col("value").rlike("^[0-9]{3}-[0-9]{2}-"), "ssn").otherwise("local")
     )
     rows = rows.withColumn("base", F.coalesce(_valid(F.col("kind"), F.col("value")), F.lit(False))).withColumn("kind", F.when(F.col("kind") == "loose", loose).otherwise(F.col("kind")))
-    # base spans before each candidate's end and from its start on: the last end and the first start tell whether one touches it
-    order = Window.partitionBy("rid").orderBy("start", F.desc("base"))
-    before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    touched = (F.coalesce(before, F.lit(0)) > F.col("start")) | (F.coalesce(after, F.col("end")) < F.col("end"))
-    rows = rows.withColumn("touched", F.col("kind").isNotNull() & ~F.col("base") & touched)
-    usable = F.col("base") | (F.col("kind").isin(KINDS[len(BASE):]) & ~F.col("touched"))
+    # what holds a candidate starts before it, or with it and ends later or ranks first: the last end so far of each better rank tells
+    kind = F.col("kind")
+    rank = F.when(F.col("base"), 0).when(kind.isin("key", "secret", "ssn", "local"), 1).when(kind == "run", 2).when(kind == "card", 4).otherwise(3)
+    rows = rows.withColumn("rank", rank)
+    order = Window.partitionBy("rid").orderBy("start", F.desc("end"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    held = [F.max(F.when(F.col("rank") < r, F.col("end"))).over(order) >= F.col("end") for r in (1, 2, 3, 4)]
+    rows = rows.withColumn("inside", F.coalesce(F.element_at(F.array(F.lit(False), *held), F.col("rank") + 1), F.lit(False)))
+    usable = kind.isNotNull() & ~F.col("inside")
     span = lambda c: F.when(usable, F.col(c)).alias(c)
     return rows.select("rid", *keep, *[span(c) for c in ("kind", "start", "end", "value", "left", "right", "base")])
 
@@ -97,13 +112,17 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
 def votes(rows: DataFrame) -> DataFrame:
     """Votes of the labelers: 1 for, 0 against, null where a labeler abstains."""
     kind, value = F.col("kind"), F.col("value")
+    n = F.length(_digits(value))
     shape = (
-        F.when(kind == "key", value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$")).when(kind == "secret", value.rlike("[=:].*[0-9]") & (F.length(value) >= 12))
-        .when(kind == "ssn", ~value.rlike("^(?:000|666|9)")).when(kind == "local", value.rlike(r"[2-9][0-9]{2}[ .-][0-9]{4}$")).otherwise(F.col("base"))
+        F.when(kind == "key", value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$")).when(kind == "secret", value.rlike("(?s)[=:].*[0-9]") & (F.length(value) >= 12))
+        .when(kind == "ssn", ~value.rlike("^(?:000|666|9)")).when(kind == "local", value.rlike(r"[2-9][0-9]{2}[ .-][0-9]{4}$"))
+        .when(kind == "run", (_entropy(value) >= 3) & value.rlike("(?:[0-9]++[^0-9]++){3}")).otherwise(F.col("base"))
     )
     gazetteer = (
-        F.when(kind == "email", F.lower(value).rlike(DOMAINS)).when(kind == "ip", ~value.rlike(r"^(?:0|127|2[4-5][0-9])\.")).when(kind == "card", _digits(value).rlike(ISSUERS))
-        .when(kind == "phone", value.rlike(COUNTRY_CODES)).when(kind == "key", value.rlike("^AKIA")).when(kind == "secret", F.lower(value).rlike("^(?:password|secret|token)"))
+        F.when(kind == "email", F.lower(value).rlike(DOMAINS)).when(kind == "ip", value.rlike(r"^0*[0-9]{1,3}\.") & ~value.rlike(r"^(?:0|127|2[4-5][0-9])\.")).when(kind == "card", n.between(12, 19) & _digits(value).rlike(ISSUERS))
+        .when(kind == "phone", n.between(7, 18) & value.rlike(COUNTRY_CODES)).when(kind == "key", value.rlike("^AKIA")).when(kind == "secret", F.lower(value).rlike("^(?:password|secret|token)"))
+        .when(kind == "local", value.rlike(r"^\(?[2-9](?!11)[0-9]{2}"))
+        .when((kind == "run") & value.rlike(ISSUED), F.lit(True))
     )
     cue = None
     for k, words in WORDS.items():

@@ -201,6 +201,16 @@ def test_personal_data(spark, docs, nothing):
     assert pii.redact(table).count() == 12 and pii.span_digests(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
+def test_assigned_and_bare_secrets_go_whole(spark):
+    token, long = "0a1b2c3d4e" * 4, "9f8e7d6c5b" * 50
+    texts = [f'x token = "{token}" y', f"secret: '{long}'", "api_key=" + "Zz9" * 100, f"sum {token.upper()} of", "AKIA" + "B7" * 30, "in 1999 we were 25 or 256.300.1.1", "+1 (555) 123-4567", "password=a1b2c3@mail.example.com"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = ["x [SECRET] y", "[SECRET]", "[SECRET]", "sum [RUN] of", "[KEY]", texts[5], "[PHONE]", "[SECRET]"]
+    assert {r.doc_id: r.text for r in pii.redact(table).collect()} == dict(enumerate(want))
+    failed = {(r.kind, r.value) for r in pii.candidates(table.where("doc_id = 5"), ["doc_id"]).collect() if r.kind and not r.base}
+    assert failed == {("ip", "256.300.1.1"), ("card", "1999"), ("card", "25")}
+
+
 def test_em_tells_reliable_labelers(spark):
     truth = [rnd.random() < 0.4 for _ in range(4000)]
     votes = Counter(tuple(None if rnd.random() < 0.2 else int(t if rnd.random() < q else not t) for q in (0.95, 0.9, 0.85, 0.6)) for t in truth)
