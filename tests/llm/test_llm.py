@@ -286,6 +286,22 @@ def test_classifier_keeps_clean_text(spark, docs, nothing):
     assert kneser_ney.classify(table, labels.where("false")).where("kept").count() == len(rows) - 2
 
 
+def test_thresholds_are_plain_quantiles(spark):
+    rows = [("en", 100, -100 * (2 + i / 1000)) for i in range(1, 1001)]
+    got = kneser_ney.thresholds(spark.createDataFrame(rows, "lang string, n_words bigint, log_prob double")).collect()
+    assert len(got) == 1 and abs(got[0].threshold - 2.99) <= 2 * kneser_ney.BIN
+
+
+def test_classifier_rejects_labelled_junk(spark, data):
+    """Shares of labelled documents of 50 words or more on sf0.1 by language: rejected of quality 0, kept of quality 1."""
+    at = data.rsplit("/", 1)[0] + "/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    rows = kneser_ney.classify(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang"), labels).where("n_words >= 50")
+    shares = {(r.lang, r.quality): r.kept for r in rows.join(labels, "doc_id").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    for lang in ("de", "en", "es", "fr"):
+        assert 1 - shares[lang, 0] >= 0.78 and shares[lang, 1] >= 0.98, (lang, shares)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, data, name):
     assert compare(spark, connect(data), name, QUERIES[name], ORACLES[name], data).startswith("ok")
