@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Memo, hash_words, rows_of, windows, word_hash
+from .text import hash_words, released, rows_of, windows
 
 #: words of a block of documents, whose n-grams ask the shards for their counts together
 BLOCK_WORDS = 3_000_000
 #: characters of the corpus for each shard of the count tables
 SHARD_CHARS = 32_000_000
-_WORDS = Memo(word_hash, 800_000)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -53,7 +52,7 @@ class _Block:
     def add(self, doc_id, text: str | None) -> None:
         words = (text or "").encode("utf-8", "surrogatepass").split()
         self.ids.append(doc_id)
-        self.words.append(hash_words(words, _WORDS))
+        self.words.append(hash_words(words))
         self.sizes.append(len(words))
         self.total += len(words)
 
@@ -141,7 +140,7 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
             n = sum(len((t or "").encode("utf-8", "surrogatepass").split()) for rows in rows_of(batch) for (t,) in rows)
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    total = docs.select("text").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+    total = docs.select("text").mapInArrow(released(count), "n bigint").agg(F.sum("n")).first()[0] or 0
 
     def own(batches):
         for number, block in _blocks(batches):
@@ -158,9 +157,9 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
             out.append(_scores(np.array(row.ids, object), np.array(row.sizes, np.int64), distinct, place, told[0], told[1], total, alpha))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_seen", "n_backed_off", "score")})
 
-    asked = docs.mapInArrow(ask, "shard int, kind int, block bigint, data binary").where("kind > 0")
+    asked = docs.mapInArrow(released(ask), "shard int, kind int, block bigint, data binary").where("kind > 0")
     answers = asked.groupBy("shard", "kind").applyInPandas(answer, "block bigint, shard int, kind int, data binary")
-    mine = docs.mapInArrow(own, "own_block bigint, ids array<bigint>, sizes array<bigint>, distinct binary, place binary")
+    mine = docs.mapInArrow(released(own), "own_block bigint, ids array<bigint>, sizes array<bigint>, distinct binary, place binary")
     return mine.groupBy("own_block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id bigint, n_words bigint, n_seen bigint, n_backed_off bigint, score bigint")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import Memo, cut_at_blanks, plain_pieces, rows_of
+from .text import Memo, cut_at_blanks, plain_pieces, released, rows_of
 
 #: bytes up to which a piece is a leaf of the tree: short, so that the same leaves come again and are remembered
 LEAF_BYTES = 6
@@ -39,9 +39,9 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
         self.four = {i: i.to_bytes(4, "little") for i in self.tokens}
-        self.leaf = Memo(self.merge, 200_000)
-        self.seam = Memo(lambda pair: self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]), 400_000)
-        self.piece = Memo(lambda s: b"".join(map(self.four.__getitem__, self.encode_piece(s.encode("utf-8", "surrogatepass")))), 800_000)
+        self.leaf = Memo(self.merge)
+        self.seam = Memo(lambda pair: self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]))
+        self.piece = Memo(lambda s: b"".join(map(self.four.__getitem__, self.encode_piece(s.encode("utf-8", "surrogatepass")))))
         self.part = Memo(lambda s: self.encode_part(" " + s))
 
     def stable(self, a: int, b: int) -> bool:
@@ -166,7 +166,7 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text: str = "tex
                     names=[key, "ids", "decoded"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(released(run), schema)
 
 
 def encoding_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

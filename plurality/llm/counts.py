@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import Memo, cut_at_blanks, plain_pieces, rows_of
+from .text import Memo, cut_at_blanks, plain_pieces, released, rows_of
 
 
 def byte_symbols() -> dict[str, int]:
@@ -31,7 +31,7 @@ class Counter:
             self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         self.pieces = regex.compile(pattern).findall
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
-        self.piece = Memo(lambda s: self.count_piece(s.encode("utf-8", "surrogatepass")), 800_000)
+        self.piece = Memo(lambda s: self.count_piece(s.encode("utf-8", "surrogatepass")))
         self.part = Memo(lambda s: self.count_part(" " + s))
 
     def count_piece(self, data: bytes) -> int:
@@ -100,4 +100,4 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, limit: int) ->
                 )
 
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(coalesce(octet_length(text), 0) as bigint) n_bytes", "text")
-    return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.mapInArrow(released(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

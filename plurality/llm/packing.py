@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .counts import byte_symbols
-from .text import Memo, cut_at_blanks, rows_of
+from .text import Memo, cut_at_blanks, released, rows_of
 
 #: pieces that wait for a window at a time; they bound a task's memory and the size of a search
 POOL = 512
@@ -183,7 +183,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int
             yield as_batch(out)
 
     schema = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(released(run), schema)
 
 
 def packing_digests(pieces: DataFrame) -> DataFrame:

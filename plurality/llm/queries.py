@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, balltree, bpe, counts, kneser_ney, neardup, packing, pii, preference, rules
+from . import align, backoff, balltree, bins, bpe, counts, kneser_ney, neardup, packing, pii, preference, rules, runs
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, pattern = tokenizer("byte_bpe_50k.json")
+    return align.alignment_digests(table(spark, sf_dir, "documents"), vocabulary, pattern, tokenizer("piece_bpe_32k.model")[0])
+
+
+@query
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.packed_digests(table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import wraps
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Memo:
-    """Values of a function by key; emptied when it outgrows ``limit`` entries, so a worker's memory is bounded."""
+    """Values of a function by key, for as long as a task runs.
 
-    def __init__(self, fn: Callable, limit: int = 1_000_000, longest: int = 64):
+    Bounded in bytes: keys longer than ``longest`` are not kept, and a table that outgrows
+    ``limit`` entries, some 250 bytes each, is emptied. :func:`released` empties all of them
+    when a task ends, so a worker that serves one stage after another does not add them up.
+    """
+
+    tables: WeakSet["Memo"] = WeakSet()
+
+    def __init__(self, fn: Callable, limit: int = 150_000, longest: int = 64):
         self.fn, self.limit, self.longest, self.known = fn, limit, longest, {}
+        Memo.tables.add(self)
 
     def one(self, key):
         value = self.known.get(key)
@@ -43,6 +53,20 @@ class Memo:
         return out
 
 
+def released(run: Callable) -> Callable:
+    """A task's function over batches after which the worker's memo tables are empty, however the task ends."""
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for memo in Memo.tables:
+                memo.known.clear()
+
+    return task
+
+
 def cut_at_blanks(text: str) -> list[str]:
     """Cut before every blank that follows a non-blank character; the blank itself is left out.
 
@@ -94,5 +118,9 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def hash_words(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.array(memo.all(words), np.uint64)
+#: one table of word hashes for all operators of a worker
+_WORDS = Memo(word_hash, 300_000)
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.array(_WORDS.all(words), np.uint64)
