@@ -4,6 +4,8 @@ All of them run with PLURALITY_ORACLE=all; a spread over every category runs by
 """
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -32,6 +34,26 @@ def test_every_operator_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
+def test_queries_without_the_optional_subpackage():
+    """A process in which the subpackage cannot be imported still has every other query, though the pipeline's file is there."""
+    code = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'plurality.llm' or name.startswith('plurality.llm.'):
+            raise ModuleNotFoundError(name, name=name)
+import importlib.util
+real = importlib.util.find_spec
+importlib.util.find_spec = lambda name, package=None: None if name.startswith('plurality.llm') else real(name, package)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+print(len(e.queries()), 'pipeline' in e.queries(), any(n.startswith('op') for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert out.split() == ["200", "False", "False", "True"]
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["method", "group_kl", "row_kl", "n_rows", "n_groups"] and df.count() == 3
