@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FOVEATED_SEGMENTS, SAMPLE_RATE_HZ, WINDOW_SECONDS
+from ..session import join_small
 from .ranking import ordered_prefix
 
 
@@ -69,45 +70,49 @@ def window_bounds(offset: Column, rate: int = SAMPLE_RATE_HZ, seconds: int = WIN
     return start, start + rate * seconds
 
 
-def extract_windows(signal: DataFrame, windows: DataFrame, length: int, rec: str = "recording_id",
-                    channel: str = "channel", sample: str = "sample", value: str = "x") -> DataFrame:
-    """Fixed-length windows (rec, row, channel, pos, x, observed); missing samples are 0 and unobserved.
+#: windows that share one copy of a block and its neighbour; a block that more windows start in is copied
+WINDOWS_PER_COPY = 64
 
-    A window never shifts or wraps. Samples meet windows on (recording, block) where a block is
-    one window length, so a window touches two blocks and a long recording spreads over tasks.
-    Positions without a sample are added from the window itself, one row per window and channel.
-    """
-    s = signal.select(rec, channel, sample, value).withColumn("__b", F.floor(F.col(sample) / length))
-    w = windows.select(rec, "row", "start").withColumn("__b", F.explode(F.array_distinct(F.array(
-        F.floor(F.col("start") / length), F.floor((F.col("start") + length - 1) / length)))))
-    hit = s.join(w, [rec, "__b"]).withColumn("pos", F.col(sample) - F.col("start")).where(
-        (F.col("pos") >= 0) & (F.col("pos") < length))
-    channels = signal.select(rec, channel).distinct()
-    positions = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i.cast("bigint"))
-    slots = windows.select(rec, "row").join(channels, rec).select(
-        rec, "row", channel, F.explode(positions).alias("pos"))
-    seen = hit.select(rec, "row", channel, "pos", F.col(value).alias("__x"), F.lit(1).alias("__in"))
-    ok = F.col("__x").isNotNull() & ~F.isnan("__x")
-    both = slots.select(rec, "row", channel, "pos", F.lit(None).cast("double").alias("__x"), F.lit(0).alias("__in")).unionByName(seen)
-    one = both.groupBy(rec, "row", channel, "pos").agg(F.max("__x").alias("__x"), F.max("__in").alias("__in"))
-    return one.select(rec, "row", channel, "pos", F.when(ok, F.col("__x")).otherwise(0.0).alias("x"), ok.alias("observed"),
-                      (F.col("__in") == 1).alias("in_range"))
-
-
-def interpolate_gaps(win: DataFrame, max_gap: int, keys: Sequence[str] = ("row", "channel")) -> DataFrame:
-    """Linear interpolation of interior gaps of at most max_gap samples; the mask is untouched.
-
-    The partition is one window of one channel, whose length is fixed.
+
+def array_blocks(series: DataFrame, length: int, rec: str = "recording_id") -> DataFrame:
+    """Blocks (rec, channel, block, x) of ``length`` samples from one array per recording and channel; no shuffle."""
+    last = F.floor((F.size("x") - 1) / length).cast("bigint")
+    b = series.where(F.size("x") > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return b.select(rec, "channel", "block", F.expr(f"slice(x, cast(block * {length} + 1 as int), {length})").alias("x"))
+
+
+def sample_blocks(samples: DataFrame, length: int, rec: str = "recording_id") -> DataFrame:
+    """Blocks from one row per sample (rec, channel, sample, x); a null value becomes NaN, a sample without a row null."""
+    at = F.pmod(F.col("sample"), F.lit(length)).cast("int")
+    value = F.coalesce(F.col("x").cast("double"), F.lit(float("nan")))
+    g = samples.groupBy(rec, "channel", F.floor(F.col("sample") / length).cast("bigint").alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(at.alias("at"), value.alias("x")))).alias("m"), F.max(at).alias("last"))
+    return g.select(rec, "channel", "block", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("x"))
+
+
+def extract_windows(blocks: DataFrame, windows: DataFrame, length: int, rec: str = "recording_id") -> DataFrame:
+    """Fixed-length windows (rec, row, start, parts): the stretches of each channel that a window covers.
+
+    ``parts`` holds (channel, pos, x): samples from position ``pos`` of the window on, NaN where
+    the value and null where the sample is missing; positions in no part are out of range. A
+    window never shifts or wraps.
+
+    A window lies in the block it starts in and the next one, so each block is sent to itself
+    and to the block before, both meet as one row per (rec, block), and windows join that row:
+    no row per sample anywhere. Blocks in which no window starts are not shuffled, those in
+    which more than ``WINDOWS_PER_COPY`` start are copied, so a hot block spreads over tasks.
     """
-    back = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("observed"), F.struct("pos", "x"))
-    prev, nxt = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
-    t = win.withColumns({"__p": prev, "__n": nxt})
-    gap = F.col("__n.pos") - F.col("__p.pos") - 1
-    line = F.col("__p.x") + (F.col("__n.x") - F.col("__p.x")) * (F.col("pos") - F.col("__p.pos")) / F.nullif(
-        F.col("__n.pos") - F.col("__p.pos"), F.lit(0))
-    return t.withColumn("x", F.when(F.col("observed"), F.col("x")).when(gap <= max_gap, line).otherwise(0.0)).drop("__p", "__n")
+    w = windows.select(rec, "row", "start", F.floor(F.col("start") / length).cast("bigint").alias("__b"))
+    per = w.groupBy(rec, "__b").agg(F.ceil(F.count(F.lit(1)) / WINDOWS_PER_COPY).cast("int").alias("__copies"))
+    both = blocks.withColumn("__b", F.explode(F.array(F.col("block"), F.col("block") - 1)))
+    both = join_small(both, per, [rec, "__b"]).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    halo = both.groupBy(rec, "__b", "__copy").agg(F.collect_list(F.struct("channel", "block", "x")).alias("__near"))
+    dealt = join_small(w, per, [rec, "__b"]).withColumn("__copy", F.pmod(F.xxhash64("row"), F.col("__copies")).cast("int"))
+    near = dealt.join(halo, [rec, "__b", "__copy"], "left")
+    first = f"greatest(start - p.block * {length}, 0)"
+    part = f"struct(p.channel as channel, cast(p.block * {length} + {first} - start as int) as pos, slice(p.x, cast({first} + 1 as int), cast(greatest(least(start + {length} - p.block * {length}, size(p.x)) - {first}, 0) as int)) as x)"
+    parts = F.expr(f"filter(transform(coalesce(__near, array()), p -> {part}), p -> size(p.x) > 0)")
+    return near.select(rec, "row", "start", parts.alias("parts"))
 
 
 def select_rows(rows: DataFrame, labels: DataFrame, key: str, lo: str, hi: str, span: float, block: float) -> DataFrame:

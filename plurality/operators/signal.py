@@ -1,20 +1,21 @@
 """Window signal to time-frequency cells.
 
-Two forms of the same computation. The staged one is plain DataFrame work except for the FFT,
-and every stage can be looked at. The packed one keeps each window as arrays and runs the
-short numerical part in Arrow batches; a task holds a batch of windows, never a recording.
+A window is one row with a stretch of samples per channel. Each stage of the numerical chain
+runs on Arrow batches of windows as tensors and can be looked at by itself; a task holds a
+batch of windows, never a recording, and no plan has a row per sample.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import (FREQUENCY_BINS, FREQUENCY_RANGE_HZ, LOG_FLOOR, MAX_GAP_SAMPLES, MIN_BIN_WEIGHT, MIN_VALID_LEADS,
                          MONTAGE, SAMPLE_RATE_HZ, SOURCE_CHANNELS, VALID_FRAME_FRACTION)
@@ -63,182 +64,206 @@ def check_channels(columns: Sequence[str], leads: Sequence[tuple] = Recipe().lea
     return {"n_columns": len(columns), "unexpected": [c for c in columns if c not in SOURCE_CHANNELS and c not in need]}
 
 
-# --- staged form -----------------------------------------------------------------------------
-def bipolar(win: DataFrame, leads: Sequence[tuple]) -> DataFrame:
-    """Lead differences (row, region, lead, pos, x, observed): each channel adds +x or -x to its leads."""
-    spread = F.array(*[s for r, i, a, b in leads for s in (
-        F.when(F.col("channel") == a, F.struct(F.lit(r).alias("region"), F.lit(i).alias("lead"), F.lit(1.0).alias("sign"))),
-        F.when(F.col("channel") == b, F.struct(F.lit(r).alias("region"), F.lit(i).alias("lead"), F.lit(-1.0).alias("sign"))))])
-    e = win.select("row", "pos", "x", "observed", F.explode(F.filter(spread, lambda z: z.isNotNull())).alias("z"))
-    return e.groupBy("row", F.col("z.region").alias("region"), F.col("z.lead").alias("lead"), "pos").agg(
-        F.sum(F.col("x") * F.col("z.sign")).alias("x"), F.bool_and("observed").alias("observed"))
+# --- windows as tensors ------------------------------------------------------------------------
+#: numbers that the frames of the windows computed together may hold
+FRAME_NUMBERS = 4_000_000
 
-
-def remove_median(leads: DataFrame) -> DataFrame:
-    """Subtract the median of the observed samples of each window and lead; unobserved become 0."""
-    w = Window.partitionBy("row", "region", "lead")
-    med = F.percentile(F.when(F.col("observed"), F.col("x")), F.lit(0.5)).over(w)
-    return leads.withColumn("x", F.when(F.col("observed"), F.col("x") - med).otherwise(0.0))
-
-
-def frames(leads: DataFrame, rc: Recipe, taper: bool = True) -> DataFrame:
-    """(row, region, lead, frame, i, x, observed): overlapping frames, tapered by a periodic Hann window."""
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - rc.nperseg + 1) / rc.hop))
-    last = F.least(F.lit(rc.frames - 1), F.floor(F.col("pos") / rc.hop))
-    fs = F.when(last >= first, F.sequence(first, last))
-    e = leads.withColumn("frame", F.explode(fs)).withColumn("i", F.col("pos") - F.col("frame") * rc.hop)
-    x = F.col("x") * (0.5 - 0.5 * F.cos(2.0 * np.pi * F.col("i") / rc.nperseg)) if taper else F.col("x")
-    return e.select("row", "region", "lead", "frame", "i", x.alias("x"), "observed")
-
-
-def frame_arrays(fr: DataFrame) -> DataFrame:
-    """One row per frame: samples in order and whether enough of them were observed."""
-    a = fr.groupBy("row", "region", "lead", "frame").agg(
-        F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"), F.avg(F.col("observed").cast("int")).alias("seen"))
-    return a.select("row", "region", "lead", "frame", F.transform("s", lambda z: z["x"]).alias("x"),
-                    (F.col("seen") >= VALID_FRAME_FRACTION).alias("valid"))
-
-
-def power_udf(nfft: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def power(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        spec = np.fft.rfft(np.stack(x.to_numpy()), n=nfft, axis=1)
-        return pd.Series(list(spec.real ** 2 + spec.imag ** 2))
-
-    return power
-
-
-def power(arrays: DataFrame, rc: Recipe) -> DataFrame:
-    """(row, region, lead, frame, valid, k, power): one FFT call per Arrow batch."""
-    p = arrays.withColumn("p", power_udf(rc.nfft)("x"))
-    return p.select("row", "region", "lead", "frame", "valid", F.posexplode("p").alias("k", "power"))
-
-
-def regional(pw: DataFrame, rc: Recipe) -> DataFrame:
-    """Mean power of the valid leads of each region; valid with enough leads."""
-    return pw.groupBy("row", "region", "frame", "k").agg(
-        F.coalesce(F.avg(F.when(F.col("valid"), F.col("power"))), F.lit(0.0)).alias("power"),
-        (F.count_if("valid") >= rc.min_leads).alias("valid"))
-
-
-def rebin_frequency(reg: DataFrame, rc: Recipe) -> DataFrame:
-    """Overlap-weighted mean from FFT bins to the target bins."""
-    src = rc.source_f_edges()
-    df = rc.rate / rc.nfft
-    b = reg.withColumn("z", F.explode(overlapping_bins((F.col("k") - 0.5) * df, (F.col("k") + 0.5) * df, rc.f_edges)))
-    assert len(src) == rc.nfft // 2 + 2
-    return b.groupBy("row", "region", "frame", F.col("z.bin").alias("fbin")).agg(
-        (F.sum(F.col("z.weight") * F.col("power")) / F.sum("z.weight")).alias("power"), F.first("valid").alias("valid"))
-
-
-def rebin_time(fb: DataFrame, rc: Recipe, view: str) -> DataFrame:
-    """Valid-weighted mean per time bin; a cell needs half its weight valid; one logarithm at the end."""
-    edges = rc.views[view]
-    lo = F.col("frame") * (rc.hop / rc.rate)
-    b = fb.withColumn("z", F.explode(overlapping_bins(lo, lo + rc.nperseg / rc.rate, edges)))
-    w = F.col("z.weight")
-    wv = F.when(F.col("valid"), w).otherwise(0.0)
-    c = b.groupBy("row", "region", "fbin", F.col("z.bin").alias("tbin")).agg(
-        F.sum(wv * F.col("power")).alias("num"), F.sum(wv).alias("wv"), F.sum(w).alias("wt"))
-    ok = F.col("wv") >= MIN_BIN_WEIGHT * F.col("wt") - TIE
-    val = F.ln(F.greatest(F.col("num") / F.greatest(F.col("wv"), F.lit(1e-12)), F.lit(LOG_FLOOR)))
-    return c.select("row", F.lit(view).alias("view"), "region", "fbin", "tbin", F.when(ok, val).otherwise(0.0).alias("value"), ok.alias("valid"))
-
-
-def staged_cells(win: DataFrame, rc: Recipe, view: str) -> DataFrame:
-    from .intervals import interpolate_gaps
-
-    ld = remove_median(bipolar(interpolate_gaps(win, rc.max_gap), rc.leads))
-    return rebin_time(rebin_frequency(regional(power(frame_arrays(frames(ld, rc)), rc), rc), rc), rc, view)
-
-
-# --- packed form -----------------------------------------------------------------------------
-def packed_windows(win: DataFrame, rec: str = "recording_id") -> DataFrame:
-    """One row per window: its samples as (channel, pos, x, observed), bounded by the window length."""
-    return win.groupBy(rec, "row").agg(
-        F.collect_list(F.struct("channel", "pos", "x", "observed")).alias("s"),
-        F.count_if(~F.col("in_range")).alias("missing"), F.count(F.lit(1)).alias("n"))
+#: what each stage emits: its keys and its arrays, one row per key
+STAGES = {
+    "samples": "channel bigint, x array<double>, observed array<boolean>, in_range array<boolean>",
+    "filled": "channel bigint, x array<double>, observed array<boolean>",
+    "leads": "region string, lead bigint, x array<double>, observed array<boolean>",
+    "centred": "region string, lead bigint, x array<double>, observed array<boolean>",
+    "frames": "region string, lead bigint, frame bigint, x array<double>, valid boolean",
+    "tapered": "region string, lead bigint, frame bigint, x array<double>, valid boolean",
+    "power": "region string, lead bigint, frame bigint, x array<double>, valid boolean",
+    "regional": "region string, frame bigint, x array<double>, valid boolean",
+    "bands": "region string, frame bigint, x array<double>, valid boolean",
+    "cells": "view string, region string, x array<double>, observed array<boolean>, lead_valid double, seen double, missing bigint",
+}
 
 
 def _overlap(src: Sequence[tuple[float, float]], edges: Sequence[float]) -> np.ndarray:
+    """[bins, intervals] lengths of the common parts."""
     s = np.asarray(src, dtype=float)
     lo, hi = np.asarray(edges[:-1])[:, None], np.asarray(edges[1:])[:, None]
     return np.maximum(np.minimum(hi, s[:, 1]) - np.maximum(lo, s[:, 0]), 0.0)
 
 
-def _fill(x: np.ndarray, ok: np.ndarray, max_gap: int) -> np.ndarray:
-    """Linear interpolation of short interior gaps along the last axis of one channel."""
-    at = np.flatnonzero(ok)
-    if at.size in (0, ok.size):
-        return np.where(ok, x, 0.0)
-    out = np.where(ok, x, 0.0)
-    for left, right in zip(at[:-1], at[1:]):
-        if 1 < right - left <= max_gap + 1:
-            inner = np.arange(left + 1, right)
-            out[inner] = np.interp(inner, (left, right), (x[left], x[right]))
-    return out
-
-
-CELL_SCHEMA = "recording_id bigint, row bigint, view string, region string, fbin bigint, tbin bigint, value double, valid boolean"
-
-
-def encode(packed: DataFrame, rc: Recipe, rec: str = "recording_id") -> DataFrame:
-    """All views of every window as long cells, in Arrow batches of windows."""
-    src = rc.source_f_edges()
-    wf = _overlap(list(zip(src, src[1:])), rc.f_edges)
-    wf = wf / wf.sum(1, keepdims=True)
-    wts = {v: _overlap(rc.frame_times(), e) for v, e in rc.views.items()}
-    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(rc.nperseg) / rc.nperseg)
-    at = rc.hop * np.arange(rc.frames)[:, None] + np.arange(rc.nperseg)
-    regions = rc.regions
-
-    def window_cells(samples) -> list:
-        x, ok = {}, {}
-        for s in samples:
-            c = s["channel"]
-            if c not in x:
-                x[c], ok[c] = np.zeros(rc.length), np.zeros(rc.length, dtype=bool)
-            x[c][s["pos"]], ok[c][s["pos"]] = s["x"], s["observed"]
-        x = {c: _fill(x[c], ok[c], rc.max_gap) for c in x}
-        power_sum = {r: 0.0 for r in regions}
-        count = {r: np.zeros(rc.frames) for r in regions}
-        for r, _, a, b in rc.leads:
-            seen = ok[a] & ok[b]
-            lead = np.where(seen, x[a] - x[b], 0.0)
-            if seen.any():
-                lead = np.where(seen, lead - np.median(lead[seen]), 0.0)
-            spec = np.fft.rfft(lead[at] * taper, n=rc.nfft, axis=1)
-            good = seen[at].mean(1) >= VALID_FRAME_FRACTION
-            power_sum[r] = power_sum[r] + (spec.real ** 2 + spec.imag ** 2) * good[:, None]
-            count[r] += good
-        out = []
-        for r in regions:
-            fp = (power_sum[r] / np.maximum(count[r], 1.0)[:, None]) @ wf.T
-            live = (count[r] >= rc.min_leads).astype(float)
-            for v, wt in wts.items():
-                w = wt * live
-                ws = w.sum(1)
-                valid = ws >= MIN_BIN_WEIGHT * wt.sum(1) - TIE
-                val = np.log(np.maximum((w @ fp) / np.maximum(ws, 1e-12)[:, None], LOG_FLOOR))
-                out.append((v, r, np.where(valid[:, None], val, 0.0).T, valid))
-        return out
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            parts = []
-            for rec_id, row, samples in zip(pdf[rec], pdf["row"], pdf["s"]):
-                for v, r, val, valid in window_cells(samples):
-                    nf, nt = val.shape
-                    parts.append(pd.DataFrame({
-                        "recording_id": rec_id, "row": row, "view": v, "region": r,
-                        "fbin": np.repeat(np.arange(nf), nt), "tbin": np.tile(np.arange(nt), nf),
-                        "value": val.ravel(), "valid": np.tile(valid, nf)}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    return packed.select(rec, "row", "s").mapInPandas(batches, CELL_SCHEMA)
+def short_gaps_filled(x: np.ndarray, seen: np.ndarray, max_gap: int) -> np.ndarray:
+    """Linear interpolation along the last axis of interior gaps of at most ``max_gap``; other unseen places are 0."""
+    n = x.shape[-1]
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(seen, at, -1), axis=-1)
+    after = np.minimum.accumulate(np.where(seen, at, n)[..., ::-1], axis=-1)[..., ::-1]
+    line = ~seen & (before >= 0) & (after < n) & (after - before - 1 <= max_gap)
+    low = np.take_along_axis(x, np.maximum(before, 0), -1)
+    high = np.take_along_axis(x, np.minimum(after, n - 1), -1)
+    share = (at - before) / np.maximum(after - before, 1)
+    return np.where(seen, x, np.where(line, low + (high - low) * share, 0.0))
+
+
+class Tensors:
+    """Stages of one batch of windows, each computed when first asked for."""
+
+    def __init__(self, rc: Recipe, channels: Sequence, parts: pa.ListArray):
+        self.rc = rc
+        n, flat = len(parts), parts.flatten()
+        window = np.repeat(np.arange(n), parts.value_lengths().to_numpy(zero_copy_only=False))
+        number = {c: i for i, c in enumerate(channels)}
+        lists = flat.field("x")
+        values, present = lists.flatten(), lists.flatten().is_valid().to_numpy(zero_copy_only=False)
+        values = values.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        self.x, self.inside = np.zeros((n, len(channels), rc.length)), np.zeros((n, len(channels), rc.length), bool)
+        self.seen = np.zeros_like(self.inside)
+        for w, c, pos, i, j in zip(window.tolist(), flat.field("channel").to_pylist(), flat.field("pos").to_pylist(), np.r_[0, ends[:-1]].tolist() if len(ends) else [], ends.tolist()):
+            if (k := number.get(c)) is not None:
+                to = slice(pos, pos + j - i)
+                known = present[i:j] & ~np.isnan(values[i:j])
+                self.x[w, k, to], self.seen[w, k, to], self.inside[w, k, to] = np.where(known, values[i:j], 0.0), known, present[i:j]
+        self.ends = np.array([[number[a], number[b]] for _, _, a, b in rc.leads])
+        self.member = np.array([[r == region for r, *_ in rc.leads] for region in rc.regions], float)
+        self.at = rc.hop * np.arange(rc.frames)[:, None] + np.arange(rc.nperseg)
+
+    @cached_property
+    def filled(self):
+        return short_gaps_filled(self.x, self.seen, self.rc.max_gap)
+
+    @cached_property
+    def lead_seen(self):
+        return self.seen[:, self.ends[:, 0]] & self.seen[:, self.ends[:, 1]]
+
+    @cached_property
+    def leads(self):
+        return self.filled[:, self.ends[:, 0]] - self.filled[:, self.ends[:, 1]]
+
+    @cached_property
+    def centred(self):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # leads without a seen sample have no median
+            middle = np.nanmedian(np.where(self.lead_seen, self.leads, np.nan), axis=-1, keepdims=True)
+        return np.where(self.lead_seen, self.leads - middle, 0.0)
+
+    @cached_property
+    def frames(self):
+        return self.centred[..., self.at]
+
+    @cached_property
+    def tapered(self):
+        return self.frames * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(self.rc.nperseg) / self.rc.nperseg))
+
+    @cached_property
+    def valid(self):
+        """[windows, leads, frames]: enough of the frame was seen; running counts give every frame's share."""
+        run = np.cumsum(self.lead_seen, axis=-1)
+        run = np.concatenate([np.zeros((*run.shape[:2], 1), run.dtype), run], axis=-1)
+        first = self.at[:, 0]
+        return (run[..., first + self.rc.nperseg] - run[..., first]) / self.rc.nperseg >= VALID_FRAME_FRACTION
+
+    @cached_property
+    def power(self):
+        spectrum = np.fft.rfft(self.tapered, n=self.rc.nfft, axis=-1)
+        return spectrum.real**2 + spectrum.imag**2
+
+    @cached_property
+    def region_counts(self):
+        return np.einsum("rl,wlf->wrf", self.member, self.valid.astype(float))
+
+    @cached_property
+    def regional(self):
+        total = np.einsum("rl,wlfk->wrfk", self.member, self.power * self.valid[..., None])
+        return total / np.maximum(self.region_counts, 1.0)[..., None]
+
+    @cached_property
+    def region_valid(self):
+        return self.region_counts >= self.rc.min_leads
+
+    @cached_property
+    def bands(self):
+        src = self.rc.source_f_edges()
+        weight = _overlap(list(zip(src, src[1:])), self.rc.f_edges)
+        return self.regional @ (weight / weight.sum(1, keepdims=True)).T
+
+    def view(self, edges: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Log power and validity [windows, regions, frequency bins, time bins]: one logarithm, after all means."""
+        weight = _overlap(self.rc.frame_times(), edges)
+        live = weight[None, None] * self.region_valid[:, :, None, :]
+        share = live.sum(-1)
+        ok = share >= MIN_BIN_WEIGHT * weight.sum(1) - TIE
+        mean = np.einsum("wrtf,wrfb->wrbt", live, self.bands) / np.maximum(share, 1e-12)[:, :, None, :]
+        ok = np.broadcast_to(ok[:, :, None, :], mean.shape)
+        return np.where(ok, np.log(np.maximum(mean, LOG_FLOOR)), 0.0), ok
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as Arrow lists, without a Python object per number."""
+    x = np.ascontiguousarray(x).reshape(-1, x.shape[-1])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[-1] or 1)[: len(x) + 1], pa.int32()), pa.array(x.ravel()))
+
+
+def _emit(t: Tensors, stage: str, channels: Sequence) -> tuple[int, list[pa.Array]]:
+    """Rows per window of a stage, and its columns."""
+    rc, n = t.rc, len(t.x)
+    regions, leads = rc.regions, [r for r, *_ in rc.leads]
+    tile = lambda values, each=1: np.tile(np.repeat(np.array(values, object), each), n)
+    if stage in ("samples", "filled"):
+        columns = [pa.array(tile(channels), pa.int64()), _lists(t.x if stage == "samples" else t.filled), _lists(t.seen)]
+        return len(channels), columns + ([_lists(t.inside)] if stage == "samples" else [])
+    if stage in ("leads", "centred"):
+        return len(leads), [pa.array(tile(leads), pa.string()), pa.array(tile([i for _, i, *_ in rc.leads]), pa.int64()), _lists(getattr(t, stage)), _lists(t.lead_seen)]
+    if stage in ("frames", "tapered", "power"):
+        frame = np.tile(np.arange(rc.frames), n * len(leads))
+        names = [pa.array(tile(leads, rc.frames), pa.string()), pa.array(tile([i for _, i, *_ in rc.leads], rc.frames), pa.int64())]
+        return len(leads) * rc.frames, [*names, pa.array(frame), _lists(getattr(t, stage)), pa.array(t.valid.ravel())]
+    if stage in ("regional", "bands"):
+        frame = np.tile(np.arange(rc.frames), n * len(regions))
+        return len(regions) * rc.frames, [pa.array(tile(regions, rc.frames), pa.string()), pa.array(frame), _lists(getattr(t, stage)), pa.array(t.region_valid.ravel())]
+    views = {v: t.view(e) for v, e in rc.views.items()}
+    each = len(regions) * len(views)
+    value = pa.concat_arrays([_lists(x[w].reshape(len(regions), -1)) for w in range(n) for x, _ in views.values()])
+    ok = pa.concat_arrays([_lists(m[w].reshape(len(regions), -1)) for w in range(n) for _, m in views.values()])
+    per = [np.repeat(x, each) for x in (t.valid.mean((1, 2)), t.seen.mean((1, 2)), (~t.inside[:, 0]).sum(1))]
+    return each, [pa.array(tile(list(views), len(regions)), pa.string()), pa.array(np.tile(np.array(regions, object), n * len(views)), pa.string()), value, ok, *map(pa.array, per)]
+
+
+def stage_rows(windows: DataFrame, rc: Recipe, stage: str, channels: Sequence[int] | None = None, rec: str = "recording_id") -> DataFrame:
+    """(rec, row) with the keys and arrays of ``STAGES[stage]`` for every window that :func:`extract_windows` gave.
+
+    The short numerical part runs on whole batches of windows as tensors; a task holds as many
+    windows at a time as ``FRAME_NUMBERS`` allows, never a recording. ``channels`` are those of the leads
+    unless named; a channel that a recording lacks is unobserved.
+    """
+    channels = sorted({c for _, _, a, b in rc.leads for c in (a, b)}) if channels is None else list(channels)
+    step = max(1, FRAME_NUMBERS // (len(rc.leads) * rc.frames * rc.nperseg))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                each, columns = _emit(Tensors(rc, channels, part.column(2)), stage, channels)
+                ids = [pa.array(np.repeat(part.column(k).to_numpy(zero_copy_only=False), each), pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], names=names)
+
+    schema = f"{rec} bigint, row bigint, {STAGES[stage]}"
+    names = [f.split()[0] for f in schema.split(", ")]
+    return windows.select(F.col(rec).cast("bigint"), F.col("row").cast("bigint"), "parts").mapInArrow(run, schema)
+
+
+def encode(windows: DataFrame, rc: Recipe, rec: str = "recording_id") -> DataFrame:
+    """All views of every window as long cells (recording_id, row, view, region, fbin, tbin, value, valid)."""
+    return long_cells(stage_rows(windows, rc, "cells", rec=rec), {v: len(e) - 1 for v, e in rc.views.items()}, rec)
+
+
+def long_cells(grids: DataFrame, time_bins: dict[str, int], rec: str = "recording_id") -> DataFrame:
+    """One row per cell of grids whose arrays run over time within frequency."""
+    n = None
+    for v, k in time_bins.items():
+        n = F.when(F.col("view") == v, F.lit(k)) if n is None else n.when(F.col("view") == v, F.lit(k))
+    c = grids.select(rec, "row", "view", "region", n.alias("__n"), F.posexplode(F.arrays_zip("x", "observed")).alias("__i", "c"))
+    i = F.col("__i").cast("bigint")
+    return c.select(F.col(rec).alias("recording_id"), "row", "view", "region", F.floor(i / F.col("__n")).alias("fbin"), (i % F.col("__n")).alias("tbin"),
+                    F.col("c.x").alias("value"), F.col("c.observed").alias("valid"))
 
 
 # --- supplied spectrograms ---------------------------------------------------------------------

@@ -14,7 +14,7 @@ from . import spectral as sp
 from .modelling import FEATURES, NAMES, fitted
 from .registry import query
 from .sqlkit import r, sql
-from .temporal import window_samples
+from .temporal import sample_windows
 
 _FRACTIONS = (0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 
@@ -83,7 +83,7 @@ def l04(spark, d):
              "gain_mild": pt.shift_gain(0.5, F.col("scale")), "gain_strong": pt.shift_gain(1.5, F.col("scale"))}
     same = pt.fan_out(z, conds).drop("scale")
     raw = cut_lineage(sp.cells(spark, d))
-    wide = sg.encode(sg.packed_windows(window_samples(spark, d)), sp.RC_WIDE)
+    wide = sg.encode(sample_windows(spark, d), sp.RC_WIDE)
     local = cl.normalise(wide.unionByName(raw.where(F.col("view") == "uniform")), sp.normaliser(spark, d, raw))
     return _audit(spark, d, same.unionByName(local.withColumn("condition", F.lit("wide_frames"))), model, "clean")
 

@@ -8,7 +8,7 @@ from ..operators import signal as sg
 from ..sources import standins as sv
 from .registry import query
 from .sqlkit import cte, md5i, r, sql
-from .temporal import L, edges_sql, window_samples
+from .temporal import L, edges_sql, exploded, sample_windows
 
 SEED = 20260907
 LEADS = (("A", 0, 0, 1), ("A", 1, 1, 2), ("B", 2, 2, 3), ("B", 3, 3, 4))
@@ -33,29 +33,31 @@ cte("s_fb", "SELECT \"row\", region, frame, bin AS fbin, any_value(valid) AS val
 for _v, _e in (("local", "s_efov"), ("uniform", "s_euni")):
     cte(f"s_cell_{_v}", f"SELECT \"row\", '{_v}' AS view, region, fbin, tbin, CASE WHEN ok THEN ln(greatest(num/greatest(wv, 1e-12::DOUBLE), 1e-8::DOUBLE)) ELSE 0.0 END AS value, ok AS valid FROM (SELECT *, wv >= 0.5*wt - {_TIE} AS ok FROM ("
         f"SELECT \"row\", region, fbin, e.bin AS tbin, sum(CASE WHEN valid THEN w*power ELSE 0.0 END) AS num, sum(CASE WHEN valid THEN w ELSE 0.0 END) AS wv, sum(w) AS wt FROM (SELECT f.*, e.bin, least(frame+2.0::DOUBLE, hi) - greatest(frame::DOUBLE, lo) AS w FROM s_fb f JOIN {_e} e ON frame < hi AND frame + 2.0::DOUBLE > lo) e GROUP BY ALL))".replace("e.bin AS tbin", "bin AS tbin"))
+# the variant: one frame of 32 samples, 4 s long, 17 spectral bins of 0.25 Hz
+cte("s_wpw", "SELECT \"row\", region, lead, k, avg(obs::INT) >= 0.9 AS valid, sum(x*cos(2.0*pi()*k*pos/32))**2 + sum(x*sin(2.0*pi()*k*pos/32))**2 AS power FROM ("
+    "SELECT * REPLACE (x*(0.5-0.5*cos(2.0*pi()*pos/32)) AS x) FROM s_lm) CROSS JOIN (SELECT unnest(range(0, 17)) AS k) GROUP BY \"row\", region, lead, k")
+cte("s_wreg", "SELECT \"row\", region, k, coalesce(avg(CASE WHEN valid THEN power END), 0.0) AS power, sum(valid::INT) >= 2 AS valid FROM s_wpw GROUP BY ALL")
+cte("s_wfb", "SELECT \"row\", region, bin AS fbin, any_value(valid) AS valid, sum(w*power)/sum(w) AS power FROM (SELECT s.*, e.bin, least((k+0.5)*0.25, hi) - greatest((k-0.5)*0.25, lo) AS w FROM s_wreg s JOIN s_efrq e ON (k-0.5)*0.25 < hi AND (k+0.5)*0.25 > lo) GROUP BY ALL")
+cte("s_wcell", "SELECT \"row\", 'local' AS view, region, fbin, bin AS tbin, CASE WHEN valid THEN ln(greatest(power, 1e-8::DOUBLE)) ELSE 0.0 END AS value, valid FROM s_wfb CROSS JOIN s_efov")
 cte("s_cells", "SELECT * FROM s_cell_local UNION ALL SELECT * FROM s_cell_uniform")
 
 
 def cells(spark, d):
-    return sg.encode(sg.packed_windows(window_samples(spark, d)), RC)
+    return sg.encode(sample_windows(spark, d), RC)
 
 
-def _leads(spark, d):
-    return sg.bipolar(iv.interpolate_gaps(window_samples(spark, d), RC.max_gap), LEADS)
+def _stage(spark, d, stage):
+    return sg.stage_rows(sample_windows(spark, d), RC, stage)
 
 
-def _frames(spark, d, taper=True):
-    return sg.frames(sg.remove_median(_leads(spark, d)), RC, taper)
-
-
-def _power(spark, d):
-    return sg.power(sg.frame_arrays(_frames(spark, d)), RC)
+K = ["row", "region", "lead"]
 
 
-K = ["row", "region", "lead"]
+def _fold(array):
+    return F.expr(f"aggregate({array}, 0.0D, (a, b) -> a + b)")
 
 
-@query("e01_montage_gate")
+@query("e01_montage_gate", sql("SELECT recording_id, count(DISTINCT sample) AS n_samples, 5::BIGINT AS n_channels, 0::BIGINT AS n_unexpected FROM s_sig GROUP BY 1"))
 def e01(spark, d):
     """Names of the wide recording columns against the montage, one row per recording with its sample count."""
     wide = wide_signal(spark, d)
@@ -71,47 +73,47 @@ def wide_signal(spark, d):
 
 @query("e02_bipolar_differences", sql("SELECT \"row\", region, lead, pos, " + r("x", "x") + ", obs AS observed FROM s_lead"))
 def e02(spark, d):
-    return _leads(spark, d)
+    return exploded(_stage(spark, d, "leads"), K, "x", "observed")
 
 
 @query("e03_median_removal", sql("SELECT \"row\", region, lead, pos, " + r("x", "x") + " FROM s_lm"))
 def e03(spark, d):
-    return sg.remove_median(_leads(spark, d)).select(*K, "pos", "x")
+    return exploded(_stage(spark, d, "centred"), K, "x")
 
 
 @query("e04_framing", sql("SELECT \"row\", region, lead, frame, count(*) AS n, " + r("sum(x)", "total") + ", " + r("sum(x*i)", "moment") + " FROM s_fr GROUP BY ALL"))
 def e04(spark, d):
-    return _frames(spark, d, False).groupBy(*K, "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("i")).alias("moment"))
+    return _stage(spark, d, "frames").select(*K, "frame", F.size("x").cast("bigint").alias("n"), _fold("x").alias("total"), _fold("transform(x, (v, i) -> v * i)").alias("moment"))
 
 
 @query("e05_hann_taper", sql("SELECT \"row\", region, lead, frame, " + r("sum(x)", "total") + ", " + r("sum(x*x)", "energy") + " FROM s_frt GROUP BY ALL"))
 def e05(spark, d):
-    return _frames(spark, d).groupBy(*K, "frame").agg(F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("energy"))
+    return _stage(spark, d, "tapered").select(*K, "frame", _fold("x").alias("total"), _fold("transform(x, v -> v * v)").alias("energy"))
 
 
 @query("e06_power_spectrum", sql("SELECT \"row\", region, lead, frame, k, " + r("power", "power") + " FROM s_pw"))
 def e06(spark, d):
-    return _power(spark, d).drop("valid")
+    return exploded(_stage(spark, d, "power"), [*K, "frame"], "x").withColumnsRenamed({"pos": "k", "x": "power"})
 
 
 @query("e07_frame_validity", sql("SELECT DISTINCT \"row\", region, lead, frame, valid FROM s_pw"))
 def e07(spark, d):
-    return sg.frame_arrays(_frames(spark, d)).drop("x")
+    return _stage(spark, d, "power").select(*K, "frame", "valid")
 
 
 @query("e08_regional_mean", sql("SELECT \"row\", region, frame, k, " + r("power", "power") + ", valid FROM s_reg"))
 def e08(spark, d):
-    return sg.regional(_power(spark, d), RC)
+    return exploded(_stage(spark, d, "regional"), ["row", "region", "frame", "valid"], "x").withColumnsRenamed({"pos": "k", "x": "power"})
 
 
 @query("e09_frequency_rebinning", sql("SELECT \"row\", region, frame, fbin, " + r("power", "power") + ", valid FROM s_fb"))
 def e09(spark, d):
-    return sg.rebin_frequency(sg.regional(_power(spark, d), RC), RC)
+    return exploded(_stage(spark, d, "bands"), ["row", "region", "frame", "valid"], "x").withColumnsRenamed({"pos": "fbin", "x": "power"})
 
 
 @query("e10_time_rebinning", sql("SELECT \"row\", view, region, fbin, tbin, " + r("value", "value") + ", valid FROM s_cell_local"))
 def e10(spark, d):
-    return sg.staged_cells(window_samples(spark, d), RC, "local")
+    return cells(spark, d).where(F.col("view") == "local").drop("recording_id")
 
 
 @query("e11_full_encoding", sql("SELECT \"row\", view, region, fbin, tbin, " + r("value", "value") + ", valid FROM s_cells"))
@@ -200,16 +202,15 @@ _CX = "SELECT recording_id*100 + start AS \"row\", count(*) AS context_rows, sum
     "SELECT coalesce(a.\"row\", c.\"row\") AS \"row\", " + ", ".join(r(x, x) for x in ("local_valid_fraction", "lead_valid_fraction", "observed_fraction")) + ", edge_missing, context_rows, " + r("coverage", "coverage")
     + f" FROM (SELECT * FROM ({_LQ}) JOIN ({_LV}) USING (\"row\") JOIN ({_OB}) USING (\"row\")) a FULL JOIN ({_CX}) c ON a.\"row\" = c.\"row\""))
 def e15(spark, d):
-    win = window_samples(spark, d)
-    q = cl.valid_fractions(cells(spark, d).where(F.col("view") == "local")).select("row", F.col("valid_fraction").alias("local_valid_fraction"))
-    lv = sg.frame_arrays(_frames(spark, d)).groupBy("row").agg(F.avg(F.col("valid").cast("int")).alias("lead_valid_fraction"))
-    ob = win.groupBy("row").agg(F.avg(F.col("observed").cast("int")).alias("observed_fraction"),
-                                F.count_if(~F.col("in_range") & (F.col("channel") == 0)).alias("edge_missing"))
+    """Everything about a window's samples comes from one pass over its tensors."""
+    g = _stage(spark, d, "cells").where(F.col("view") == "local")
+    q = g.groupBy("row").agg(F.avg(_fold("transform(observed, v -> cast(v as double))") / F.size("observed")).alias("local_valid_fraction"), F.first("lead_valid").alias("lead_valid_fraction"),
+                             F.first("seen").alias("observed_fraction"), F.first("missing").alias("edge_missing"))
     w = sv.windows(spark, d).select("row", (F.col("recording_id") + 60).alias("spectrogram_id"), (F.col("start") * 10.0).alias("offset"))
     rows = sv.spectro(spark, d).select("spectrogram_id", (F.col("slot") * 100.0).alias("lo"), (F.col("slot") * 100.0 + 100.0).alias("hi")).distinct()
     cx = iv.select_rows(rows, w, "spectrogram_id", "lo", "hi", 600.0, 300.0).groupBy("row").agg(
         F.count(F.lit(1)).alias("context_rows"), F.sum("covered").alias("coverage"))
-    return q.join(lv, "row").join(ob, "row").join(cx, "row", "full")
+    return q.join(cx, "row", "full")
 
 
 @query("e16_pool_time_bins", sql(
@@ -282,9 +283,9 @@ def e21(spark, d):
     return c.groupBy("band", "fbin").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if("valid").alias("n_valid"))
 
 
-@query("e22_wide_frame_variant")
+@query("e22_wide_frame_variant", sql("SELECT \"row\", view, region, fbin, tbin, " + r("value", "value") + ", valid FROM s_wcell"))
 def e22(spark, d):
-    return sg.encode(sg.packed_windows(window_samples(spark, d)), RC_WIDE).drop("recording_id")
+    return sg.encode(sample_windows(spark, d), RC_WIDE).drop("recording_id")
 
 
 @query("a16_completeness_check", sql(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_CENTER_SECONDS, CONTEXT_SECONDS, TARGET_SECONDS
 from ..operators import intervals as iv
+from ..operators import signal as sg
 from ..sources import standins as sv
 from ..sources.tables import table
 from .registry import query
@@ -101,14 +102,25 @@ cte("s_nb", "SELECT *, last_value(CASE WHEN obs THEN pos END IGNORE NULLS) OVER
 cte("s_ip", "SELECT recording_id, \"row\", channel, pos, obs, CASE WHEN obs THEN x0 WHEN np - pp - 1 <= 2 THEN px + (nx-px)*(pos-pp)/(np-pp) ELSE 0.0 END AS x FROM s_nb")
 
 
-def window_samples(spark, d):
-    return iv.extract_windows(sv.signal(spark, d), sv.windows(spark, d), L)
+CHANNELS = range(5)
+
+
+def sample_windows(spark, d):
+    return iv.extract_windows(iv.array_blocks(sv.signal_arrays(spark, d), L), sv.windows(spark, d), L)
+
+
+def exploded(rows, keys, *arrays):
+    """One row per array element, its place as ``pos``: the form the SQL twins compare."""
+    e = rows.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "z"))
+    return e.select(*keys, F.col("pos").cast("bigint").alias("pos"), *[F.col(f"z.{a}").alias(a) for a in arrays])
 
 
 @query("d07_window_extraction", sql(
     "SELECT \"row\", channel, pos, " + r("x0", "x") + ", obs AS observed FROM s_wx"))
 def d07(spark, d):
-    return window_samples(spark, d).select("row", "channel", "pos", "x", "observed")
+    from .spectral import RC
+
+    return exploded(sg.stage_rows(sample_windows(spark, d), RC, "samples", CHANNELS), ["row", "channel"], "x", "observed")
 
 
 _SR = "SELECT DISTINCT spectrogram_id, slot*100.0::DOUBLE AS lo, slot*100.0::DOUBLE + 100 AS hi FROM s_spec"
@@ -151,7 +163,10 @@ def d10(spark, d):
 
 @query("d11_interpolate_small_gaps", sql("SELECT \"row\", channel, pos, obs AS observed, " + r("x", "x") + " FROM s_ip WHERE NOT obs"))
 def d11(spark, d):
-    return iv.interpolate_gaps(window_samples(spark, d), 2).where(~F.col("observed")).select("row", "channel", "pos", "observed", "x")
+    from .spectral import RC
+
+    rows = exploded(sg.stage_rows(sample_windows(spark, d), RC, "filled", CHANNELS), ["row", "channel"], "x", "observed")
+    return rows.where(~F.col("observed")).select("row", "channel", "pos", "observed", "x")
 
 
 @query("d12_touched_bins", sql(

@@ -131,17 +131,20 @@ def links(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_custkey").alias("group_id"), F.col("l_partkey").alias("recording_id")).distinct()
 
 
-def signal(spark: SparkSession, d: str) -> DataFrame:
-    """Long signal: 5 channels per recording, 64 samples each; out-of-range samples are missing."""
+def signal_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """One array per recording and channel, five channels each, 64 samples long; out-of-range values are NaN."""
     e = table(spark, d, "embeddings")
+    known = lambda v: F.when(F.abs(v.cast("double")) <= 0.3, v.cast("double")).otherwise(float("nan"))
     return e.select(
         F.floor(F.col("vec_id") / 5).cast("bigint").alias("recording_id"),
         F.pmod(F.col("vec_id"), F.lit(5)).cast("bigint").alias("channel"),
-        F.posexplode("embedding").alias("sample", "raw"),
-    ).select(
-        "recording_id", "channel", F.col("sample").cast("bigint").alias("sample"),
-        F.when(F.abs(F.col("raw").cast("double")) <= 0.3, F.col("raw").cast("double")).alias("x"),
-    )
+        F.transform("embedding", known).alias("x"))
+
+
+def signal(spark: SparkSession, d: str) -> DataFrame:
+    """The same signal, one row per sample; missing values are null."""
+    s = signal_arrays(spark, d).select("recording_id", "channel", F.posexplode("x").alias("sample", "x"))
+    return s.select("recording_id", "channel", F.col("sample").cast("bigint").alias("sample"), F.nanvl("x", F.lit(None).cast("double")).alias("x"))
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:

@@ -177,12 +177,44 @@ def test_locked_partition_guard(spark):
 
 
 def test_truncated_window_is_padded_not_shifted(spark):
-    s = spark.createDataFrame([(1, 0, i, float(i)) for i in range(50) if i != 45], "recording_id bigint, channel bigint, sample bigint, x double")
-    w = spark.createDataFrame([(1, 7, 40)], "recording_id bigint, row bigint, start bigint")
-    p = iv.extract_windows(s, w, 16).toPandas().sort_values("pos")
-    assert list(p.x[:5]) == [40.0, 41.0, 42.0, 43.0, 44.0] and not p.observed.iloc[5] and not p.observed[p.pos >= 10].any()
-    f = iv.interpolate_gaps(spark.createDataFrame(p), 2).toPandas().set_index("pos").x
-    assert f[5] == 45.0 and f[12] == 0.0
+    s = spark.createDataFrame([(1, 0, i, float(i) if i != 48 else None) for i in range(50) if i != 45], "recording_id bigint, channel bigint, sample bigint, x double")
+    w = spark.createDataFrame([(1, 7, 40), (1, 8, 90), (2, 9, 0)], "recording_id bigint, row bigint, start bigint")
+    rc = sg.Recipe(rate=8.0, length=16, nperseg=8, hop=8, nfft=8, max_gap=2, leads=(("A", 0, 0, 0),))
+    win = iv.extract_windows(iv.sample_blocks(s, 16), w, 16)
+    p = {r.row: r for r in sg.stage_rows(win, rc, "samples").collect()}
+    assert p[7].x[:5] == [40.0, 41.0, 42.0, 43.0, 44.0] and not any(p[7].observed[10:]) and not any(p[7].in_range[10:])
+    assert not p[7].observed[5] and not p[7].in_range[5] and not p[7].observed[8] and p[7].in_range[8]
+    assert p[8].x == p[9].x == [0.0] * 16 and not any(p[8].in_range + p[9].in_range)
+    f = {r.row: r.x for r in sg.stage_rows(win, rc, "filled").collect()}[7]
+    assert f[5] == 45.0 and f[8] == 48.0 and f[12] == 0.0
+
+
+def test_windows_of_a_hot_block_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(iv, "WINDOWS_PER_COPY", 4)
+    x = np.arange(100.0)
+    s = spark.createDataFrame([(1, 0, x.tolist()), (2, 0, x[:20].tolist())], "recording_id bigint, channel bigint, x array<double>")
+    starts = [(1, i, 17 + i % 15) for i in range(200)] + [(2, 1000 + i, i) for i in range(25)]
+    w = spark.createDataFrame(starts, "recording_id bigint, row bigint, start bigint")
+    rc = sg.Recipe(rate=8.0, length=16, nperseg=8, hop=8, nfft=8, leads=(("A", 0, 0, 0),))
+    got = {r.row: r for r in sg.stage_rows(iv.extract_windows(iv.array_blocks(s, 16), w, 16), rc, "samples").collect()}
+    assert len(got) == 225
+    for rec, row, start in starts:
+        n = 100 if rec == 1 else 20
+        assert got[row].x == [float(start + i) if start + i < n else 0.0 for i in range(16)]
+        assert got[row].observed == got[row].in_range == [start + i < n for i in range(16)]
+
+
+def test_short_gaps_are_interpolated_like_interp():
+    rng = np.random.default_rng(3)
+    x, seen = rng.normal(size=(40, 60)), rng.random((40, 60)) < rng.random((40, 1))
+    got = sg.short_gaps_filled(np.where(seen, x, 0.0), seen, 3)
+    for row, ok, out in zip(x, seen, got):
+        at = np.flatnonzero(ok)
+        want = np.where(ok, row, 0.0)
+        for left, right in zip(at, at[1:]):
+            if right - left - 1 <= 3:
+                want[left:right + 1] = np.interp(np.arange(left, right + 1), at, row[at])
+        assert np.allclose(out, want)
 
 
 def small_recipe(**kw):
@@ -199,27 +231,99 @@ def tone(spark, hz=10.0, lo=4.0, hi=6.0, drop=()):
         rows += [(1, c, i, float(x[i])) for i in range(1000) if i not in drop]
     s = spark.createDataFrame(rows, "recording_id bigint, channel bigint, sample bigint, x double")
     w = spark.createDataFrame([(1, 100, 0)], "recording_id bigint, row bigint, start bigint")
-    return iv.extract_windows(s, w, 1000)
+    return iv.extract_windows(iv.sample_blocks(s, 1000), w, 1000)
 
 
 def test_tone_lands_in_target_cells(spark):
-    c = sg.encode(sg.packed_windows(tone(spark)), small_recipe()).toPandas()
+    c = sg.encode(tone(spark), small_recipe()).toPandas()
     top = c.loc[c.value.idxmax()]
     assert 8 <= top.tbin < 24 and abs((0.5 + (top.fbin + 0.5) * 2.0) - 10.0) <= 2.0 and c.valid.all()
 
 
 def test_missing_tail_only_invalidates_the_tail(spark):
-    c = sg.encode(sg.packed_windows(tone(spark, drop=set(range(700, 1000)))), small_recipe()).toPandas()
+    c = sg.encode(tone(spark, drop=set(range(700, 1000))), small_recipe()).toPandas()
     ok = c.groupby("tbin").valid.all()
     assert ok[:24].all() and not ok[27:].any()
 
 
-def test_staged_and_packed_encodings_agree(spark):
-    win, rc = tone(spark, drop={100, 101, 500, 501, 502, 503, 504, 505, 506, 507}), small_recipe()
-    keys = ["row", "view", "region", "fbin", "tbin"]
-    a = sg.staged_cells(win, rc, "local").toPandas().sort_values(keys).reset_index(drop=True)
-    b = sg.encode(sg.packed_windows(win), rc).drop("recording_id").toPandas().sort_values(keys).reset_index(drop=True)
-    assert len(a) == len(b) == 640 and (a.valid == b.valid).all() and np.allclose(a.value, b.value, atol=1e-9)
+def plain_cells(x, seen, rc):
+    """One window encoded by loops over leads, frames and bins: {(region, fbin, tbin): (value, valid)} of the local view."""
+    n_src, df = rc.nfft // 2 + 1, rc.rate / rc.nfft
+    x = {c: sg.short_gaps_filled(np.where(seen[c], x[c], 0.0), seen[c], rc.max_gap) for c in x}
+    spectra, good = {}, {}
+    for lead in rc.leads:
+        ok = seen[lead[2]] & seen[lead[3]]
+        d = x[lead[2]] - x[lead[3]]
+        d = np.where(ok, d - (np.median(d[ok]) if ok.any() else 0.0), 0.0)
+        for f in range(rc.frames):
+            part = slice(f * rc.hop, f * rc.hop + rc.nperseg)
+            spectra[lead, f] = np.abs(np.fft.fft(d[part] * np.sin(np.pi * np.arange(rc.nperseg) / rc.nperseg) ** 2)[:n_src]) ** 2
+            good[lead, f] = ok[part].sum() >= 0.9 * rc.nperseg
+    out, edges = {}, rc.views["local"]
+    for region in rc.regions:
+        leads = [lead for lead in rc.leads if lead[0] == region]
+        mean, live = [], []
+        for f in range(rc.frames):
+            use = [spectra[lead, f] for lead in leads if good[lead, f]]
+            mean.append(sum(use) / len(use) if use else np.zeros(n_src))
+            live.append(len(use) >= rc.min_leads)
+        for b, (lo, hi) in enumerate(zip(rc.f_edges, rc.f_edges[1:])):
+            wf = [max(0.0, min(hi, (k + 0.5) * df) - max(lo, (k - 0.5) * df)) for k in range(n_src)]
+            band = [np.dot(wf, m) / sum(wf) for m in mean]
+            for t, (lo_t, hi_t) in enumerate(zip(edges, edges[1:])):
+                wt = [max(0.0, min(hi_t, e) - max(lo_t, s)) for s, e in rc.frame_times()]
+                alive = sum(w for w, a in zip(wt, live) if a)
+                ok = alive >= 0.5 * sum(wt) - 1e-9
+                value = np.log(max(sum(w * v for w, v, a in zip(wt, band, live) if a) / max(alive, 1e-12), 1e-8)) if ok else 0.0
+                out[region, b, t] = (value, ok)
+    return out
+
+
+def test_encoding_equals_plain_loops(spark):
+    drop = {100, 101, 500, 501, 502, 503, 504, 505, 506, 507, *range(860, 960)}
+    rc = small_recipe(min_leads=1)
+    win = tone(spark, drop=drop)
+    got = {(r.region, r.fbin, r.tbin): (r.value, r.valid) for r in sg.encode(win, rc).collect()}
+    raw = {r.channel: np.array(r.x) for r in sg.stage_rows(win, rc, "samples").collect()}
+    seen = {c: np.array([i not in drop for i in range(1000)]) for c in raw}
+    want = plain_cells(raw, seen, rc)
+    assert got.keys() == want.keys() and len(got) == 640 and any(not ok for _, ok in want.values())
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def published_windows(spark, n):
+    """Windows of the published geometry: 20 channels of 10,000 samples at 200 Hz from recordings twice as long."""
+    names = sorted({c for r in sg.Recipe().leads for c in r[2:]})
+    rng = np.random.default_rng(4)
+    number = {c: i for i, c in enumerate(names)}
+    rc = sg.Recipe(leads=tuple((r, i, number[a], number[b]) for r, i, a, b in sg.Recipe().leads))
+    rows = []
+    for c in range(20):
+        x = rng.normal(size=20_000)
+        x[5_000 + 10 * c : 5_003 + 10 * c] = np.nan
+        rows.append((1, c, x.tolist()))
+    s = spark.createDataFrame(rows, "recording_id bigint, channel bigint, x array<double>")
+    w = spark.createDataFrame([(1, i, 900 * i) for i in range(n)], "recording_id bigint, row bigint, start bigint")
+    return iv.extract_windows(iv.array_blocks(s, 10_000), w, 10_000), rc, {c: np.array(x) for _, c, x in rows}
+
+
+def test_published_geometry(spark):
+    win, rc, x = published_windows(spark, 12)
+    assert len(x) == 20 and len({c for lead in rc.leads for c in lead[2:]}) == 16  # of 20 channels
+    cells = sg.encode(win, rc).where("row in (0, 11)").collect()
+    assert len(cells) == 2 * 2 * 4 * 64 * 32
+    for row, start in ((0, 0), (11, 9_900)):
+        part = {c: v[start : start + 10_000] for c, v in x.items()}
+        want = plain_cells({c: np.nan_to_num(v) for c, v in part.items()}, {c: ~np.isnan(v) for c, v in part.items()}, rc)
+        got = {(r.region, r.fbin, r.tbin): (r.value, r.valid) for r in cells if r.row == row and r.view == "local"}
+        assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-6 for k in want)
+
+
+def test_signal_plan_has_no_row_per_sample(spark, data):
+    from plurality.plans.spectral import _stage
+
+    plan = _stage(spark, data, "cells")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan.lower() and plan.count("MapInArrow") == 1
 
 
 def test_pooling(spark):
