@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (FREQUENCY_BINS, FREQUENCY_RANGE_HZ, LOG_FLOOR, MAX_GAP_SAMPLES, MIN_BIN_WEIGHT, MIN_VALID_LEADS,
+from ..constants import (CONTEXT_SECONDS, CONTEXT_TIME_BINS, FREQUENCY_BINS, FREQUENCY_RANGE_HZ, LOG_FLOOR, MAX_GAP_SAMPLES, MIN_BIN_WEIGHT, MIN_VALID_LEADS,
                          MONTAGE, SAMPLE_RATE_HZ, SOURCE_CHANNELS, VALID_FRAME_FRACTION)
 from .intervals import foveated_edges, overlapping_bins, uniform_edges
 
@@ -288,25 +288,117 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> D
                        F.split("name", "_", 2)[1].cast("double").alias("freq"), "power")
 
 
-def encode_context(rows: DataFrame, f_range: tuple[float, float], df: float, f_bins: int, span: float, t_bins: int,
-                   keys: Sequence[str]) -> DataFrame:
-    """Context cells from (keys, region, freq, power, lo, hi relative to the window start).
+def spectrogram_arrays(wide: DataFrame, ids: Sequence[str], parsed: dict[str, list[tuple[float, str]]]) -> DataFrame:
+    """One row per row and region of a wide spectrogram, its power as an array along the common frequency axis."""
+    regions = [F.struct(F.lit(r).alias("region"), F.array(*[F.col(f"`{c}`").cast("double") for _, c in axis]).alias("power")) for r, axis in parsed.items()]
+    return wide.select(*ids, F.explode(F.array(*regions)).alias("z")).select(*ids, "z.region", "z.power")
 
-    Non-finite and negative power carries no weight. Frequency first, then time, each weighted by
-    what is valid; a cell needs half its weight; one logarithm at the end.
+
+def midpoint_edges(freqs: Sequence[float]) -> list[float]:
+    """Edges of the source bins of a frequency axis, even or not: midpoints, half a median step beyond both ends."""
+    f = [float(x) for x in freqs]
+    half = float(np.median(np.diff(f))) / 2 if len(f) > 1 else 0.5
+    return [f[0] - half, *[(a + b) / 2 for a, b in zip(f, f[1:])], f[-1] + half]
+
+
+@dataclass(frozen=True)
+class ContextRecipe:
+    """Geometry of context cells: the axis that the column names give, and the published grid."""
+
+    freqs: tuple
+    regions: tuple
+    f_bins: int = FREQUENCY_BINS
+    t_bins: int = CONTEXT_TIME_BINS
+    span: float = CONTEXT_SECONDS
+
+    @property
+    def source_edges(self) -> list[float]:
+        return midpoint_edges(self.freqs)
+
+    @property
+    def f_edges(self) -> list[float]:
+        e = self.source_edges
+        return uniform_edges(self.f_bins, e[0], e[-1])
+
+    @property
+    def t_edges(self) -> list[float]:
+        return uniform_edges(self.t_bins, 0.0, self.span)
+
+
+def context_bands(rows: DataFrame, rc: ContextRecipe, keys: Sequence[str], power: str = "power") -> DataFrame:
+    """Spectrogram rows on the target frequency bins: (keys, region, bands), once per row and before any label is met.
+
+    ``power`` is an array along ``rc.freqs``, null where nothing was supplied. ``bands`` holds a
+    struct (w, v) per bin: the share of the bin's weight with finite power that is not negative, and
+    the mean over it, null where that is less than half. A target bin overlaps few source bins, so
+    all of it is one sum of at most ``f_bins + len(freqs)`` terms, JVM-side and without an explode.
+    """
+    src, dst = rc.source_edges, rc.f_edges
+    good = F.transform(power, lambda p: F.when(p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p < float("inf")), p))
+    rows = rows.select(*keys, "region", good.alias("__p"))
+    bands = []
+    for lo, hi in zip(dst, dst[1:]):
+        parts = [(i, min(hi, b) - max(lo, a)) for i, (a, b) in enumerate(zip(src, src[1:])) if min(hi, b) > max(lo, a)]
+        whole = sum(w for _, w in parts)
+        w = v = F.lit(0.0)
+        for i, x in parts:
+            p = F.get("__p", F.lit(i))
+            w = w + F.when(p.isNotNull(), F.lit(x / whole)).otherwise(0.0)
+            v = v + F.coalesce(p, F.lit(0.0)) * (x / whole)
+        bands.append(F.struct(w.alias("w"), v.alias("v")))
+    mean = F.transform(F.array(*bands), lambda b: F.when(b["w"] >= MIN_BIN_WEIGHT - TIE, b["v"] / b["w"]))
+    return rows.select(*keys, "region", mean.alias("bands"))
+
+
+def context_grids(selected: DataFrame, wanted: DataFrame, rc: ContextRecipe, keys: Sequence[str]) -> DataFrame:
+    """A dense grid for every key of ``wanted``: (keys, view, region, x, observed), frequency by time, for all regions.
+
+    ``selected`` holds (keys, region, lo, hi, bands) of the rows that a key's span touches, lo and hi relative
+    to its start. A cell needs rows with a mean over half of its time; one logarithm at the end.
+    Keys without rows have a grid without a valid cell. A key's rows are bounded by the span.
     """
-    f_edges = uniform_edges(f_bins, *f_range)
-    t_edges = uniform_edges(t_bins, 0.0, span)
-    p = F.col("power")
-    good = rows.where(p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p < float("inf")))
-    f_width = (f_range[1] - f_range[0]) / f_bins
-    a = good.withColumn("z", F.explode(overlapping_bins(F.col("freq") - df / 2, F.col("freq") + df / 2, f_edges)))
-    a = a.groupBy(*keys, "region", "lo", "hi", F.col("z.bin").alias("fbin")).agg(
-        (F.sum("z.weight") / f_width).alias("wf"), (F.sum(F.col("z.weight") * p) / F.sum("z.weight")).alias("v"))
-    a = a.where(F.col("wf") >= MIN_BIN_WEIGHT - TIE)
-    b = a.withColumn("z", F.explode(overlapping_bins(F.col("lo"), F.col("hi"), t_edges)))
-    c = b.groupBy(*keys, "region", "fbin", F.col("z.bin").alias("tbin")).agg(
-        F.sum("z.weight").alias("wt"), F.sum(F.col("z.weight") * F.col("v")).alias("num"))
-    ok = F.col("wt") >= MIN_BIN_WEIGHT * (span / t_bins) - TIE
-    val = F.ln(F.greatest(F.col("num") / F.col("wt"), F.lit(LOG_FLOOR)))
-    return c.select(*keys, "region", "fbin", "tbin", F.when(ok, val).otherwise(0.0).alias("value"), ok.alias("valid"))
+    g = selected.groupBy(*keys).agg(F.collect_list(F.struct("region", "lo", "hi", "bands")).alias("__rows"))
+    g = wanted.select(*keys).join(g, list(keys), "left")
+    edges = np.array(rc.t_edges)
+    number = {r: i for i, r in enumerate(rc.regions)}
+
+    def grids(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        flat = rows.flatten()
+        key = np.repeat(np.arange(len(rows)), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        region = np.array([number.get(r, -1) for r in flat.field("region").to_pylist()], np.int64)
+        v = flat.field("bands").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, rc.f_bins)
+        lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lo", "hi"))
+        weight = np.maximum(np.minimum(hi[:, None], edges[1:]) - np.maximum(lo[:, None], edges[:-1]), 0.0)
+        ok = ~np.isnan(v)
+        mean, seen = (np.zeros((len(rows), len(number), rc.f_bins, rc.t_bins)) for _ in range(2))
+        for k, r in np.unique(np.stack([key, region]), axis=1).T if len(key) else ():
+            if r >= 0:
+                here = (key == k) & (region == r)
+                seen[k, r] = ok[here].T.astype(float) @ weight[here]
+                mean[k, r] = np.nan_to_num(v[here]).T @ weight[here]
+        valid = seen >= MIN_BIN_WEIGHT * np.diff(edges) - TIE
+        return np.where(valid, np.log(np.maximum(mean / np.maximum(seen, 1e-12), LOG_FLOOR)), 0.0), valid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 32):
+                part = batch.slice(i, 32)
+                value, valid = grids(part.column(len(keys)))
+                n = len(number)
+                take = pa.array(np.repeat(np.arange(part.num_rows), n))
+                ids = [part.column(k).take(take) for k in range(len(keys))]
+                regions = pa.array(list(rc.regions) * part.num_rows, pa.string())
+                flat = (part.num_rows * n, rc.f_bins * rc.t_bins)
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(["context"] * len(regions)), regions, _lists(value.reshape(flat)), _lists(valid.reshape(flat))], names=names)
+
+    names = [*keys, "view", "region", "x", "observed"]
+    kinds = dict(g.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", view string, region string, x array<double>, observed array<boolean>"
+    return g.select(*keys, "__rows").mapInArrow(run, schema)
+
+
+def long_grids(grids: DataFrame, t_bins: int, keys: Sequence[str]) -> DataFrame:
+    """One row per cell of dense grids: (keys, region, fbin, tbin, value, valid)."""
+    c = grids.select(*keys, "region", F.posexplode(F.arrays_zip("x", "observed")).alias("__i", "c"))
+    i = F.col("__i").cast("bigint")
+    return c.select(*keys, "region", F.floor(i / t_bins).alias("fbin"), (i % t_bins).alias("tbin"), F.col("c.x").alias("value"), F.col("c.observed").alias("valid"))

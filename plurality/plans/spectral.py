@@ -148,48 +148,55 @@ def e12(spark, d):
     return long.where(F.col("power").isNotNull()).groupBy("region", "freq").agg(F.count(F.lit(1)).alias("n_cells")).withColumn("n_freqs", F.lit(n))
 
 
-edges_sql(iv.uniform_edges(3, 0.5, 4.5), "s_cf3")
+# an uneven axis: the four value buckets stand for 1, 2, 3.5 and 6 Hz, whose source bins meet at the midpoints
+AXIS = (1.0, 2.0, 3.5, 6.0)
+CONTEXT = sg.ContextRecipe(freqs=AXIS, regions=_TYPES, f_bins=4, t_bins=8)
+edges_sql(CONTEXT.f_edges, "s_cf4")
 edges_sql(iv.uniform_edges(8, 0.0, 600.0), "s_ct8")
+cte("s_csrc", "SELECT * FROM (VALUES (1.0::DOUBLE, 0.25::DOUBLE, 1.5::DOUBLE), (2.0, 1.5, 2.75), (3.0, 2.75, 4.75), (4.0, 4.75, 6.75)) t(freq, a, b)")
+cte("s_cfw", "SELECT freq, bin AS fbin, (least(b, hi) - greatest(a, lo))/(hi - lo) AS w FROM s_csrc JOIN s_cf4 ON a < hi AND b > lo")
+cte("s_cfb", f"SELECT spectrogram_id, slot, region, fbin, sum(w*power)/sum(w) AS v FROM s_spec JOIN s_cfw USING (freq) GROUP BY 1, 2, 3, 4 HAVING sum(w) >= 0.5 - {_TIE}")
 
 
 def _ctx_sql(src):
-    """src: (key, o, spectrogram_id) -> context cells per key."""
-    rows = f"SELECT l.key, s.region, s.freq, s.power, s.slot*100.0::DOUBLE - o AS lo, s.slot*100.0::DOUBLE + 100 - o AS hi FROM ({src}) l JOIN s_spec s USING (spectrogram_id) WHERE s.slot*100 < o + 600 AND s.slot*100 + 100 > o"
-    f = f"SELECT key, region, a.lo, a.hi, e.bin AS fbin, sum(least(freq+0.5, e.hi) - greatest(freq-0.5, e.lo))/(4.0::DOUBLE/3) AS wf, sum((least(freq+0.5, e.hi) - greatest(freq-0.5, e.lo))*power)/sum(least(freq+0.5, e.hi) - greatest(freq-0.5, e.lo)) AS v FROM ({rows}) a JOIN s_cf3 e ON freq-0.5 < e.hi AND freq+0.5 > e.lo GROUP BY ALL"
-    t = f"SELECT key, region, fbin, e.bin AS tbin, sum(least(a.hi, e.hi) - greatest(a.lo, e.lo)) AS wt, sum((least(a.hi, e.hi) - greatest(a.lo, e.lo))*v) AS num FROM ({f}) a JOIN s_ct8 e ON a.lo < e.hi AND a.hi > e.lo WHERE wf >= 0.5 - {_TIE} GROUP BY ALL"
-    return f"SELECT key, region, fbin, tbin, CASE WHEN wt >= 37.5 - {_TIE} THEN ln(greatest(num/wt, 1e-8::DOUBLE)) ELSE 0.0 END AS value, wt >= 37.5 - {_TIE} AS valid FROM ({t})"
-
-
-def _context(spark, d, wanted, keys):
-    """Context cells for (keys, spectrogram_id, offset)."""
-    rows = sv.spectro(spark, d).select("spectrogram_id", "region", "freq", "power", (F.col("slot") * 100.0).alias("lo"), (F.col("slot") * 100.0 + 100.0).alias("hi"))
-    j = iv.select_rows(rows, wanted, "spectrogram_id", "lo", "hi", 600.0, 300.0)
+    """src: (spectrogram_id, o) -> the full grid of context cells for each, whether or not there are rows."""
+    rows = f"SELECT spectrogram_id, o, region, fbin, v, slot*100.0::DOUBLE - o AS lo, slot*100.0::DOUBLE + 100 - o AS hi FROM ({src}) JOIN s_cfb USING (spectrogram_id) WHERE slot*100 < o + 600 AND slot*100 + 100 > o"
+    t = f"SELECT spectrogram_id, o, region, fbin, bin AS tbin, sum(least(a.hi, e.hi) - greatest(a.lo, e.lo)) AS wt, sum((least(a.hi, e.hi) - greatest(a.lo, e.lo))*v) AS num FROM ({rows}) a JOIN s_ct8 e ON a.lo < e.hi AND a.hi > e.lo GROUP BY ALL"
+    grid = f"SELECT spectrogram_id, o, region, f.bin AS fbin, t.bin AS tbin FROM ({src}) CROSS JOIN (SELECT unnest(['click','error','purchase','signup','view']) AS region) CROSS JOIN s_cf4 f CROSS JOIN s_ct8 t"
+    ok = f"coalesce(wt >= 37.5 - {_TIE}, false)"
+    return f"SELECT g.*, CASE WHEN {ok} THEN ln(greatest(num/wt, 1e-8::DOUBLE)) ELSE 0.0 END AS value, {ok} AS valid FROM ({grid}) g LEFT JOIN ({t}) c USING (spectrogram_id, o, region, fbin, tbin)"
+
+
+def _context(spark, d, wanted):
+    """Dense context grids for the distinct (spectrogram_id, offset) of ``wanted``; frequencies are binned once per row, before labels meet it."""
+    wide = wide_spectrogram(spark, d).withColumns({"lo": F.col("slot") * 100.0, "hi": F.col("slot") * 100.0 + 100.0})
+    keys = ["spectrogram_id", "lo", "hi"]
+    bands = sg.context_bands(sg.spectrogram_arrays(wide, keys, sg.parse_region_columns(_NAMES)), CONTEXT, keys)
+    j = iv.select_rows(bands, wanted, "spectrogram_id", "lo", "hi", 600.0, 300.0)
     j = j.withColumns({"lo": F.col("lo") - F.col("offset"), "hi": F.col("hi") - F.col("offset")})
-    return sg.encode_context(j, (0.5, 4.5), 1.0, 3, 600.0, 8, keys)
+    return sg.context_grids(j, wanted, CONTEXT, ["spectrogram_id", "offset"])
 
 
 @query("e13_context_rebinning", sql(
-    "SELECT key // 1000 AS spectrogram_id, (key % 1000)::DOUBLE AS \"offset\", region, fbin, tbin, " + r("value", "value") + ", valid FROM s_c13",
-    s_c13=_ctx_sql("SELECT spectrogram_id*1000 + o0 AS key, o0::DOUBLE AS o, spectrogram_id FROM (SELECT DISTINCT spectrogram_id FROM s_spec) CROSS JOIN (SELECT unnest([0, 250, 600]) AS o0)")))
+    "SELECT spectrogram_id, o AS \"offset\", region, fbin, tbin, " + r("value", "value") + ", valid FROM s_c13",
+    s_c13=_ctx_sql("SELECT spectrogram_id, o0::DOUBLE AS o FROM (SELECT DISTINCT spectrogram_id FROM s_spec) CROSS JOIN (SELECT unnest([0, 250, 600, 90000]) AS o0)")))
 def e13(spark, d):
     ids = sv.spectro(spark, d).select("spectrogram_id").distinct()
-    w = ids.withColumn("offset", F.explode(F.array(F.lit(0.0), F.lit(250.0), F.lit(600.0))))
-    return _context(spark, d, w, ["spectrogram_id", "offset"])
-
-
-_MEMO = "SELECT label_id, spectrogram_id*1000 + (floor(spectrogram_offset_seconds/50)*50)::BIGINT AS key FROM s_labels"
+    w = ids.withColumn("offset", F.explode(F.array(*[F.lit(x) for x in (0.0, 250.0, 600.0, 90000.0)])))
+    return sg.long_grids(_context(spark, d, w), CONTEXT.t_bins, ["spectrogram_id", "offset"])
 
 
 @query("e14_once_per_distinct_offset", sql(
-    "SELECT label_id, n_cells, n_valid, " + r("mean_value", "mean_value") + " FROM s_memo JOIN (SELECT key, count(*) AS n_cells, sum(valid::INT)::BIGINT AS n_valid, avg(CASE WHEN valid THEN value END) AS mean_value FROM s_c14 GROUP BY 1) USING (key)",
-    s_memo=_MEMO, s_c14=_ctx_sql("SELECT DISTINCT key, (key % 1000)::DOUBLE AS o, key // 1000 AS spectrogram_id FROM s_memo")))
+    "SELECT label_id, n_cells, n_valid, " + r("mean_value", "mean_value") + " FROM s_labels l JOIN (SELECT spectrogram_id, o, count(*) AS n_cells, sum(valid::INT)::BIGINT AS n_valid, avg(CASE WHEN valid THEN value END) AS mean_value FROM s_c14 GROUP BY 1, 2) c"
+    " ON c.spectrogram_id = l.spectrogram_id AND c.o = l.spectrogram_offset_seconds",
+    s_c14=_ctx_sql("SELECT DISTINCT spectrogram_id, spectrogram_offset_seconds::DOUBLE AS o FROM s_labels")))
 def e14(spark, d):
-    """Distinct (spectrogram, offset) pairs are encoded once and joined back to the labels."""
-    lab = sv.labels(spark, d).select("label_id", "spectrogram_id", (F.floor(F.col("spectrogram_offset_seconds") / 50) * 50.0).alias("offset"))
-    c = _context(spark, d, lab.select("spectrogram_id", "offset").distinct(), ["spectrogram_id", "offset"])
-    s = c.groupBy("spectrogram_id", "offset").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if("valid").alias("n_valid"),
-                                                  F.avg(F.when(F.col("valid"), F.col("value"))).alias("mean_value"))
-    return lab.join(s, ["spectrogram_id", "offset"]).select("label_id", "n_cells", "n_valid", "mean_value")
+    """Distinct (spectrogram, offset) pairs are encoded once and joined back to the labels; every label has its grid."""
+    lab = sv.labels(spark, d).select("label_id", "spectrogram_id", F.col("spectrogram_offset_seconds").alias("offset"))
+    g = _context(spark, d, lab.select("spectrogram_id", "offset").distinct())
+    n = F.expr("size(filter(observed, v -> v))").cast("bigint")
+    s = g.groupBy("spectrogram_id", "offset").agg(F.sum(F.size("x").cast("bigint")).alias("n_cells"), F.sum(n).alias("n_valid"), F.sum(_fold("x")).alias("total"))
+    return lab.join(s, ["spectrogram_id", "offset"]).select("label_id", "n_cells", "n_valid", F.when(F.col("n_valid") > 0, F.col("total") / F.col("n_valid")).alias("mean_value"))
 
 
 _LQ = "SELECT \"row\", avg(valid::INT) AS local_valid_fraction FROM s_cell_local GROUP BY 1"

@@ -127,13 +127,14 @@ _SR = "SELECT DISTINCT spectrogram_id, slot*100.0::DOUBLE AS lo, slot*100.0::DOU
 
 
 @query("d08_select_spectrogram_rows", sql(
-    "SELECT label_id, count(*) AS n_rows, " + r("sum(least(hi, o+600) - greatest(lo, o))", "coverage") + ", " + r("min(lo + 50)", "first_time")
-    + " FROM (SELECT label_id, spectrogram_id, spectrogram_offset_seconds AS o FROM s_labels) l JOIN s_sr USING (spectrogram_id) WHERE lo < o + 600 AND hi > o GROUP BY 1", s_sr=_SR))
+    "SELECT label_id, count(lo) AS n_rows, " + r("coalesce(sum(least(hi, o+600) - greatest(lo, o)), 0)", "coverage") + ", " + r("min(lo + 50)", "first_time")
+    + " FROM (SELECT label_id, spectrogram_id, spectrogram_offset_seconds AS o FROM s_labels) l LEFT JOIN s_sr s ON s.spectrogram_id = l.spectrogram_id AND lo < o + 600 AND hi > o GROUP BY 1", s_sr=_SR))
 def d08(spark, d):
     rows = sv.spectro(spark, d).select("spectrogram_id", (F.col("slot") * 100.0).alias("lo"), (F.col("slot") * 100.0 + 100.0).alias("hi")).distinct()
     lab = sv.labels(spark, d).select("label_id", "spectrogram_id", F.col("spectrogram_offset_seconds").alias("offset"))
     j = iv.select_rows(rows, lab, "spectrogram_id", "lo", "hi", 600.0, 300.0)
-    return j.groupBy("label_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("covered").alias("coverage"), (F.min("lo") + 50.0).alias("first_time"))
+    s = j.groupBy("label_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("covered").alias("coverage"), (F.min("lo") + 50.0).alias("first_time"))
+    return lab.select("label_id").join(s, "label_id", "left").fillna({"n_rows": 0, "coverage": 0.0})
 
 
 @query("d09_uniform_spacing", sql(

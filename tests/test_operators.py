@@ -326,6 +326,48 @@ def test_signal_plan_has_no_row_per_sample(spark, data):
     assert "posexplode" not in plan.lower() and plan.count("MapInArrow") == 1
 
 
+def test_dense_context_grid_on_an_uneven_axis(spark):
+    """4 regions, 64 x 64 cells for every key, against plain loops; a key without rows has a grid without a valid cell."""
+    rng = np.random.default_rng(6)
+    freqs = tuple(np.cumsum(rng.uniform(0.1, 0.6, 100)) + 0.3)
+    rc = sg.ContextRecipe(freqs=freqs, regions=("LL", "RL", "LP", "RP"))
+    power = rng.gamma(1.0, 2.0, (40, 4, 100))
+    power[rng.random(power.shape) < 0.2] = np.nan
+    power[5:9, 2] = -1.0
+    power[11, 1, 3] = np.inf
+    wide = [(1, 2.0 * i, 2.0 * i + 2.0, *[float(x) for x in power[i].ravel()]) for i in range(40)]
+    columns = [f"{r}_{f}" for r in rc.regions for f in freqs]
+    df = spark.createDataFrame(wide, ["sid", "lo", "hi", *columns])
+    bands = sg.context_bands(sg.spectrogram_arrays(df, ["sid", "lo", "hi"], sg.parse_region_columns(columns)), rc, ["sid", "lo", "hi"])
+    wanted = spark.createDataFrame([(1, 13.0), (1, -595.0), (1, 5000.0), (2, 0.0)], "sid bigint, offset double")
+    j = iv.select_rows(bands, wanted, "sid", "lo", "hi", rc.span, 300.0)
+    j = j.withColumns({"lo": F.col("lo") - F.col("offset"), "hi": F.col("hi") - F.col("offset")})
+    got = {(r.sid, r.offset, r.region): (np.array(r.x).reshape(64, 64), np.array(r.observed).reshape(64, 64)) for r in sg.context_grids(j, wanted, rc, ["sid", "offset"]).collect()}
+    assert len(got) == 16 and not any(got[k][1].any() for k in got if k[0] == 2 or k[1] == 5000.0)
+    mid = (np.array(freqs[1:]) + freqs[:-1]) / 2
+    half = np.median(np.diff(freqs)) / 2
+    src = np.concatenate([[freqs[0] - half], mid, [freqs[-1] + half]])
+    dst, times = np.linspace(src[0], src[-1], 65), np.linspace(0, 600, 65)
+    for offset in (13.0, -595.0):
+        for r, region in enumerate(rc.regions):
+            num, wt = np.zeros((64, 64)), np.zeros((64, 64))
+            for i in range(40):
+                lo, hi = 2.0 * i - offset, 2.0 * i + 2.0 - offset
+                p = power[i, r]
+                good = np.isfinite(p) & (p >= 0)
+                for b in range(64):
+                    w = np.maximum(0, np.minimum(src[1:], dst[b + 1]) - np.maximum(src[:-1], dst[b]))
+                    w = w / w.sum()
+                    if w[good].sum() < 0.5 - 1e-9:
+                        continue
+                    t = np.maximum(0, np.minimum(hi, times[1:]) - np.maximum(lo, times[:-1]))
+                    num[b] += t * (w[good] @ p[good]) / w[good].sum()
+                    wt[b] += t
+            ok = wt >= 0.5 * np.diff(times) - 1e-9
+            value, valid = got[1, offset, region]
+            assert (valid == ok).all() and ok.any() and np.allclose(value, np.where(ok, np.log(np.maximum(num / np.maximum(wt, 1e-12), 1e-8)), 0.0), atol=1e-9)
+
+
 def test_pooling(spark):
     df = spark.createDataFrame([(1, 0, 0.0, True), (1, 1, float(np.log(3)), True), (1, 2, 0.0, False), (1, 3, 0.0, False)], "row bigint, tbin bigint, value double, valid boolean")
     got = {r["tbin"]: (r["value"], r["valid"]) for r in cl.pool_time_bins(df, 2).collect()}
