@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LOG_FLOOR, NORMAL_CLIP
-from ..session import join_small
-from .ranking import exact_quantiles
+from ..session import cut_lineage, join_small
+from .ranking import histogram_quantiles
+from .splits import hash_sample
 
 
 def pool_time_bins(cells: DataFrame, factor: int) -> DataFrame:
@@ -23,17 +24,46 @@ def pool_time_bins(cells: DataFrame, factor: int) -> DataFrame:
 
 
 def fit_normaliser(cells: DataFrame, by: Sequence[str] = ("view", "region"), floor: float = 1e-3) -> DataFrame:
-    """Median and 1.4826 MAD of the valid cells; the deviation, else 1, where the MAD vanishes."""
+    """Median and 1.4826 MAD of the valid cells; the deviation, else 1, where the MAD vanishes.
+
+    Exact over every cell that is passed, by rounds of counting (:func:`histogram_quantiles`);
+    the caller passes training rows only, materialised, and a bounded sample of them
+    (:func:`fit_sample`) where it wants one.
+    """
     v = cells.where("valid").select(*by, "value")
-    med = exact_quantiles(v, by, "value", (0.5,)).select(*by, F.col("quantile").alias("median"))
+    med = histogram_quantiles(v, by, "value", (0.5,)).select(*by, F.col("quantile").alias("median"))
     dev = join_small(v, med, by).withColumn("dev", F.abs(F.col("value") - F.col("median")))
-    mad = exact_quantiles(dev, by, "dev", (0.5,)).select(*by, (F.col("quantile") * 1.4826).alias("mad"))
+    mad = histogram_quantiles(dev, by, "dev", (0.5,)).select(*by, (F.col("quantile") * 1.4826).alias("mad"))
     sd = v.groupBy(*by).agg(F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("n_cells"))
     s = med.join(mad, list(by)).join(sd, list(by))
     scale = F.when(F.col("mad") >= floor, F.col("mad")).when(F.col("sd") > floor, F.col("sd")).otherwise(1.0)
     return s.select(*by, "median", scale.alias("scale"), "n_cells")
 
 
+def fit_sample(cells: DataFrame, rows: DataFrame, n_rows: int = 4000, max_cells: int = 2_000_000, seed: int = 20260907,
+               by: Sequence[str] = ("view", "region")) -> DataFrame:
+    """Valid cells of a bounded seeded sample: ``n_rows`` of ``rows``, and ``max_cells`` of each (view, region).
+
+    Both are the smallest by a seeded hash, so the sample does not depend on partitioning. The
+    cell bound is the hash at that position, found by counting; no group is sorted in a task.
+    """
+    c = cells.join(hash_sample(rows, "row", n_rows, seed), "row", "left_semi").where("valid")
+    h = F.xxhash64(F.lit(seed), "row", "fbin", "tbin").cast("double")
+    c = cut_lineage(c.withColumn("__h", h))
+    n = c.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cells)
+    if n.isEmpty():
+        return c.drop("__h")
+    much = join_small(c, n, by)
+    share = cut_lineage(n.select(*by, ((F.lit(max_cells) - 1) / (F.col("n") - 1)).alias("p")))
+    limits = None
+    for r in share.select("p").distinct().collect():  # as many as keys with too many cells, a handful
+        here = join_small(much, share.where(F.col("p") == r["p"]), by)
+        q = histogram_quantiles(here, by, "__h", (r["p"],)).select(*by, F.col("quantile").alias("limit"))
+        limits = q if limits is None else limits.unionByName(q)
+    kept = c.join(F.broadcast(limits), list(by), "left").where(F.col("limit").isNull() | (F.col("__h") <= F.col("limit")))
+    return kept.drop("__h", "limit")
+
+
 def normalise(cells: DataFrame, stats: DataFrame, by: Sequence[str] = ("view", "region")) -> DataFrame:
     """(x - median) / scale, clipped; invalid cells become 0 afterwards. The stats have one row per key."""
     x = (F.col("value") - F.col("median")) / F.col("scale")

@@ -50,7 +50,7 @@ def l02(spark, d):
 
 def scaled(spark, d):
     """Normalised cells with the scale of their (view, region)."""
-    c = cut_lineage(sp.cells(spark, d))
+    c = sp.kept_cells(spark, d)
     s = sp.normaliser(spark, d, c)
     return join_small(cl.normalise(c, s), s.select("view", "region", "scale"), ["view", "region"])
 
@@ -82,7 +82,7 @@ def l04(spark, d):
     conds = {"clean": pt.keep(), "region_missing": pt.remove_region("A"), "time_mask": pt.mask_time(MASK),
              "gain_mild": pt.shift_gain(0.5, F.col("scale")), "gain_strong": pt.shift_gain(1.5, F.col("scale"))}
     same = pt.fan_out(z, conds).drop("scale")
-    raw = cut_lineage(sp.cells(spark, d))
+    raw = sp.kept_cells(spark, d)
     wide = sg.encode(sample_windows(spark, d), sp.RC_WIDE)
     local = cl.normalise(wide.unionByName(raw.where(F.col("view") == "uniform")), sp.normaliser(spark, d, raw))
     return _audit(spark, d, same.unionByName(local.withColumn("condition", F.lit("wide_frames"))), model, "clean")

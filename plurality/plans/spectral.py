@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import PARTITION_SHARES
 from ..operators import cells as cl
 from ..operators import intervals as iv
 from ..operators import signal as sg
+from ..session import cut_lineage
 from ..sources import standins as sv
 from .registry import query
 from .sqlkit import cte, md5i, r, sql
@@ -226,41 +228,45 @@ def e16(spark, d):
     return cl.pool_time_bins(cells(spark, d).where(F.col("view") == "local").drop("recording_id"), 2)
 
 
-cte("s_smp", "SELECT \"row\" FROM (SELECT \"row\", " + md5i("'20260907'", "\"row\"::VARCHAR") + " AS h FROM s_win) ORDER BY h, \"row\" LIMIT 4000")
-cte("s_nv", "SELECT c.* FROM s_cells c JOIN s_smp USING (\"row\") WHERE valid")
+_WP = "(" + md5i("'part'", "'20260907'", "recording_id::VARCHAR") + " / 4294967296.0::DOUBLE)"
+cte("s_wtrain", f"SELECT \"row\" FROM s_win WHERE {_WP} < {PARTITION_SHARES[0]!r}::DOUBLE")
+cte("s_smp", "SELECT \"row\" FROM (SELECT \"row\", " + md5i("'20260907'", "\"row\"::VARCHAR") + " AS h FROM s_wtrain) ORDER BY h, \"row\" LIMIT 4000")
+cte("s_nv", "SELECT c.* FROM s_cells c JOIN s_wtrain USING (\"row\") WHERE valid")
 cte("s_md", "SELECT view, region, median(value) AS med, stddev_pop(value) AS sd, count(*) AS n_cells FROM s_nv GROUP BY 1, 2")
 cte("s_norm", "SELECT m.view, m.region, any_value(med) AS med, CASE WHEN 1.4826::DOUBLE*median(abs(value-med)) >= 1e-3 THEN 1.4826::DOUBLE*median(abs(value-med)) WHEN any_value(sd) > 1e-3 THEN any_value(sd) ELSE 1.0 END AS scale, any_value(n_cells) AS n_cells"
     " FROM s_nv v JOIN s_md m ON m.view = v.view AND m.region = v.region GROUP BY 1, 2")
 cte("s_z", "SELECT c.\"row\", c.view, c.region, fbin, tbin, valid, CASE WHEN valid THEN greatest(-8.0, least((value-med)/scale, 8.0)) ELSE 0.0 END AS z FROM s_cells c JOIN s_norm n ON n.view=c.view AND n.region=c.region")
 
 
-def sample_rows(spark, d):
-    from ..operators.splits import hash_sample
-
-    return hash_sample(sv.windows(spark, d), "row", 4000, SEED)
+def train_windows(spark, d):
+    """Windows of training recordings: all that a fit may see."""
+    return sv.windows(spark, d).where(sv.partition_of(F.col("recording_id")) == "train")
 
 
 def normaliser(spark, d, c):
-    return cl.fit_normaliser(c.join(sample_rows(spark, d), "row", "left_semi"))
+    """Fitted on every valid cell of every training window."""
+    return cl.fit_normaliser(c.join(train_windows(spark, d).select("row"), "row", "left_semi"))
 
 
-def normalised(spark, d):
-    from ..session import cut_lineage
+def kept_cells(spark, d):
+    """Cells as grids in the shared folder: a fit reads them once per round, the application once more."""
+    return sg.long_cells(cut_lineage(_stage(spark, d, "cells")), {v: len(e) - 1 for v, e in RC.views.items()})
+
 
-    c = cut_lineage(cells(spark, d))  # read by the fit and by the application
+def normalised(spark, d):
+    c = kept_cells(spark, d)
     return cl.normalise(c, normaliser(spark, d, c))
 
 
 @query("e17_fit_normaliser", sql("SELECT view, region, " + r("med", "median") + ", " + r("scale", "scale") + ", n_cells FROM s_norm"))
 def e17(spark, d):
-    from ..session import cut_lineage
-
-    return normaliser(spark, d, cut_lineage(cells(spark, d)))
+    return normaliser(spark, d, kept_cells(spark, d))
 
 
-@query("e18_bounded_sample", sql("SELECT \"row\" FROM s_smp"))
+@query("e18_bounded_sample", sql("SELECT \"row\", n_cells FROM s_smp JOIN (SELECT \"row\", sum(valid::INT)::BIGINT AS n_cells FROM s_cells GROUP BY 1 HAVING n_cells > 0) USING (\"row\")"))
 def e18(spark, d):
-    return sample_rows(spark, d)
+    """Cells per window of the sample that a bounded fit would use; its two bounds are parameters."""
+    return cl.fit_sample(kept_cells(spark, d), train_windows(spark, d)).groupBy("row").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 @query("e19_apply_normaliser", sql("SELECT \"row\", view, region, fbin, tbin, " + r("z", "value") + ", valid FROM s_z"))

@@ -51,6 +51,42 @@ def test_exact_quantiles(spark, ties):
     assert len(got) == 6
 
 
+def test_histogram_quantiles_are_exact(spark, ties):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=999), "b": np.repeat([1.0, 2.0, 2.0000000000000004], 7), "c": np.array([-1.7e308, 5e-324, 0.0, 1.7e308]), "d": np.array([3.0]),
+              "e": np.concatenate([np.full(500, 1e-9), 10.0 ** rng.uniform(-300, 300, 501)])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan"))], "k string, x double").repartition(5)
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.k, r.prob): (r.quantile, r.n) for r in rk.histogram_quantiles(df, ["k"], "x", probs).collect()}
+    assert len(got) == 25
+    for (k, p), (q, n) in got.items():
+        v = np.sort(values[k])
+        h = (len(v) - 1) * p
+        lo, hi = v[int(np.floor(h))], v[int(np.ceil(h))]
+        assert n == len(v) and q == lo + (hi - lo) * (h - np.floor(h)) or np.isclose(q, np.quantile(v, p)), (k, p, q)
+    one = rk.histogram_quantiles(spark.createDataFrame(ties), [], "score", (0.5,)).collect()
+    assert len(one) == 1 and one[0].quantile == pytest.approx(ties.score.median())
+    assert rk.histogram_quantiles(df.where("false"), ["k"], "x", (0.5,)).count() == 0
+
+
+def test_normaliser_sees_training_cells_only_and_samples_within_both_bounds(spark):
+    rng = np.random.default_rng(9)
+    rows = [(r, "v", "A" if i % 4 else "B", i, 0, float(rng.normal() + (100 if r >= 60 else 0)), bool(rng.random() < 0.8)) for r in range(80) for i in range(40)]
+    c = spark.createDataFrame(rows, "row bigint, view string, region string, fbin bigint, tbin bigint, value double, valid boolean")
+    train = spark.range(60).withColumnRenamed("id", "row")
+    got = {r.region: r for r in cl.fit_normaliser(c.join(train, "row", "left_semi")).collect()}
+    for region in "AB":
+        v = np.array([x[5] for x in rows if x[0] < 60 and x[2] == region and x[6]])
+        med = np.median(v)
+        assert got[region].median == pytest.approx(med) and got[region].scale == pytest.approx(1.4826 * np.median(np.abs(v - med))) and got[region].n_cells == len(v)
+    s = cl.fit_sample(c, train, n_rows=30, max_cells=250).toPandas()
+    n = s.groupby("region").size()
+    assert s.row.nunique() == 30 and s.row.max() < 60 and s.valid.all() and n["A"] == 250 and 150 < n["B"] < 250
+    assert len(s.drop_duplicates(["row", "fbin"])) == len(s)
+    again = cl.fit_sample(c.repartition(7), train, n_rows=30, max_cells=250).toPandas()
+    assert set(zip(s.row, s.fbin)) == set(zip(again.row, again.fbin))
+
+
 def test_spearman(spark, ties):
     got = rk.spearman(spark.createDataFrame(ties), ["m"], "score", "g").toPandas().set_index("m").spearman
     for m, part in ties.groupby("m"):
