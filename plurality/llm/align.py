@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,11 +17,19 @@ from .counts import byte_symbols
 from .packing import LibraryIds
 from .text import Memo, cut_at_blanks, released, rows_of
 
-#: documents of a batch are aligned together up to so many bytes; a longer one alone
-BATCH_BYTES = 1 << 20
+#: documents of a batch are aligned together up to so many characters; a longer one alone
+BATCH_CHARS = 1 << 19
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+#: stands for the ids of a part that are other text than the part
+UNSPELLED = b"unspelled"
+
+
+def _spell(tokens: list[bytes], ids: np.ndarray, text: str) -> bool:
+    return b"".join(map(tokens.__getitem__, ids.tolist())) == b" " + text.encode("utf-8", "surrogatepass")
+
+
 class ByteVocabulary:
     """Side A: a byte-level BPE file for ``tokenizers``; the text gets a blank in front, special strings are plain text."""
 
@@ -35,8 +44,11 @@ class ByteVocabulary:
         for token, i in entries.items():
             self.bytes[i] = token.encode() if token in special else bytes(to_byte[c] for c in token)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.ids.packed(" " + text), "<u4").astype(np.int64)
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of the tokens, or None where they do not spell a blank and the text."""
+        ids = np.frombuffer(self.ids.packed(" " + text), "<u4").astype(np.int64)
+        # the rank form works on the very bytes; a file that normalises goes through the library
+        return ids if self.ids.ranked or _spell(self.bytes, ids, text) else None
 
 
 class PieceVocabulary:
@@ -51,15 +63,22 @@ class PieceVocabulary:
         self.bytes = [as_bytes(p) for p in pieces]
         # a blank stands in front of a piece only: then no merge crosses the place before a blank that follows other signs
         self.by_parts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.blank = np.array(self.library.encode("a "), "<u4")[-1:].tobytes()
-        self.part = Memo(lambda s: np.array(self.library.encode(s), "<u4").tobytes() if s else self.blank)
+        self.blank = array("I", self.library.encode("a ")[-1:]).tobytes()
+        self.part = Memo(lambda s: self.parts([s])[0], many=self.parts)
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part behind its blank; ``UNSPELLED`` where they do not spell it."""
+        encoded = [array("I", ids).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == b" " + s.encode("utf-8", "surrogatepass") else UNSPELLED for s, ids in zip(parts, self.library.encode(parts, num_threads=1))]
+        return [x if s else self.blank for s, x in zip(parts, encoded)]
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of the tokens, or None where they do not spell a blank and the text."""
         if not self.by_parts or "▁" in text:
-            return np.array(self.library.encode(text), np.int64)
+            ids = np.array(self.library.encode(text), np.int64)
+            return ids if _spell(self.bytes, ids, text) else None
         first, *rest = cut_at_blanks(" " + text)
-        head = [] if not first else [self.part.one(first[1:])]
-        return np.frombuffer(b"".join(head + self.part.all(rest)), "<u4").astype(np.int64)
+        ids = self.part.all([first[1:], *rest] if first else rest)
+        return None if UNSPELLED in ids else np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
 
 
 @lru_cache(2)
@@ -84,7 +103,9 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
     Between two neighbouring ends lies one pair, so they are expanded by a merge of the ends: no pair of a group is tried in vain.
     """
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort(kind="stable")  # two sorted runs: one merge
+    ends = ends[np.r_[True, ends[1:] != ends[:-1]][: len(ends)]]
     a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return a, b, ends_a[a] == ends_b[b]
 
@@ -169,14 +190,14 @@ def align(docs: DataFrame, vocabulary: str, pattern: str, model: str) -> DataFra
                 for key, text in rows:
                     x = y = none
                     if text:
-                        x, y, whole = sides[0].encode(text), sides[1].encode(text), b" " + text.encode("utf-8", "surrogatepass")
-                        if any(b"".join(map(s.bytes.__getitem__, t.tolist())) != whole for s, t in zip(sides, (x, y))):
+                        x, y = (s.encode(text) for s in sides)
+                        if x is None or y is None:
                             x = y = none
-                        n += len(whole)
+                        n += len(text)
                     ids.append(key)
                     a.append(x)
                     b.append(y)
-                    if n >= BATCH_BYTES:
+                    if n >= BATCH_CHARS:
                         yield emit(ids, a, b, sides, sizes, written)
                         ids, a, b, n = [], [], [], 0
             if ids:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +42,7 @@ class LibraryIds:
         if self.ranked:
             ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if t not in self.specials}
             ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.part = Memo(lambda s: np.array(ranked(" " + s), "<u4").tobytes())
+            self.part = Memo(lambda s: array("I", ranked(" " + s)).tobytes())
             self.first = lambda s: np.array(ranked(s), "<u4").tobytes()
 
     def packed(self, text: str) -> bytes:

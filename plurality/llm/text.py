@@ -23,35 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Memo:
     """Values of a function by key, for as long as a task runs.
 
-    Bounded in bytes: keys longer than ``longest`` are not kept, and a table that outgrows
-    ``limit`` entries, some 250 bytes each, is emptied. :func:`released` empties all of them
-    when a task ends, so a worker that serves one stage after another does not add them up.
+    Bounded in bytes: keys longer than ``longest`` are not kept, and of the others two
+    generations of ``limit`` entries, some 250 bytes each; when the newer is full it becomes the
+    older one, so that frequent keys stay. :func:`released` empties all tables when a task ends, so
+    a worker that serves one stage after another does not add them up. ``many`` computes the values
+    of a list of keys at once, where that is cheaper.
     """
 
     tables: WeakSet["Memo"] = WeakSet()
 
-    def __init__(self, fn: Callable, limit: int = 150_000, longest: int = 64):
-        self.fn, self.limit, self.longest, self.known = fn, limit, longest, {}
+    def __init__(self, fn: Callable, limit: int = 200_000, longest: int = 64, many: Callable[[list], list] | None = None):
+        self.fn, self.limit, self.longest, self.many, self.known, self.older = fn, limit, longest, many, {}, {}
         Memo.tables.add(self)
 
+    def keep(self, key, value) -> None:
+        if len(key) <= self.longest:
+            if len(self.known) >= self.limit:
+                self.known, self.older = {}, self.known
+            self.known[key] = value
+
     def one(self, key):
         value = self.known.get(key)
         if value is None:
-            value = self.fn(key)
-            if len(key) <= self.longest:
-                if len(self.known) >= self.limit:
-                    self.known.clear()
-                self.known[key] = value
+            value = self.older.get(key)
+            if value is None:
+                value = self.fn(key)
+            self.keep(key, value)
         return value
 
     def all(self, keys: list) -> list:
         """Values of many keys; the known ones are looked up without leaving C."""
         out = list(map(self.known.get, keys))
         if None in out:
+            if self.many:
+                new = list(dict.fromkeys(k for k, v in zip(keys, out) if v is None and k not in self.older))
+                found = dict(zip(new, self.many(new)))
+                older = self.older
+                for i, v in enumerate(out):
+                    if v is None:
+                        out[i] = found[keys[i]] if keys[i] in found else older[keys[i]]
+                        self.keep(keys[i], out[i])
+                return out
             one = self.one
             out = [one(k) if v is None else v for k, v in zip(keys, out)]
         return out
 
+    def clear(self) -> None:
+        self.known, self.older = {}, {}
+
 
 def released(run: Callable) -> Callable:
     """A task's function over batches after which the worker's memo tables are empty, however the task ends."""
@@ -62,7 +81,7 @@ def released(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             for memo in Memo.tables:
-                memo.known.clear()
+                memo.clear()
 
     return task
 
