@@ -26,7 +26,7 @@ LOOSE = r"\b(?:AKIA|ASIA)[A-Z0-9]{12,}+|" + ASSIGNED + r"|(?<![0-9-])[0-9]{3}-[0
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+"
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 KINDS = [*BASE, "key", "secret", "ssn", "local", "run"]
-#: Gazetteers and context words
+#: Prefixes of issued tokens, country codes, card issuers and domain endings, each as one pattern, and context words
 ISSUED = r"^(?:gh[opsu]_|github_pat_|glpat-|sk[-_]|pk_|xox[abp]-|eyJ|AIza|ya29)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"
 COUNTRY_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4|5)|35|30|36|38)"
@@ -37,6 +37,8 @@ WORDS = {
 }
 LABELERS = ("shape", "gazetteer", "context", "border")
 ROUNDS = 25
+#: spans, one more for each row, that may be broadcast for redaction
+BROADCAST_SPANS = 500_000
 
 
 def _parts(text: Column, pattern: str, kind: str) -> Column:
@@ -59,8 +61,8 @@ def _luhn(value: Column) -> Column:
 
 
 def _entropy(value: Column) -> Column:
-    """Bits per character of the first 256 characters."""
-    chars = F.filter(F.split(F.left(value, F.lit(256)), ""), lambda c: c != "")
+    """Bits per character of the whole value; its alphabet is that of the candidate pattern, at most some sixty signs."""
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
     share = F.transform(F.array_distinct(chars), lambda d: F.size(F.filter(chars, lambda c: c == d)) / F.size(chars))
     return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
@@ -213,17 +215,18 @@ def _listed(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row of ``docs(doc_id, text)``.
+    """Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added`` for every row of ``docs(doc_id, text)``.
 
-    Counts and digest are those of the base spans; ``spans`` lists base and added ones as
-    ``kind:start:end``. A null text is empty and has none. Repeated rows are found alike, null
+    Counts by kind and digest are those of the base spans; ``spans`` lists base and added ones as
+    ``kind:start:end``, ``n_spans`` counts both and ``n_added`` what the method added. A null text is empty and has none. Repeated rows are found alike, null
     ids pass through, an empty table gives no rows; other columns are not read. A document's
     spans are gathered in one row, as its text is.
     """
     rows = found_spans(docs.select("doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}")
-    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
+                       F.size("spans").cast("bigint").alias("n_spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -231,13 +234,14 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced together, under the name of the first. Spans are found
     per row and come back to it by id and content, so repeated rows stay repeated; documents
-    without a span are not touched. Spans of at most two million rows are broadcast, more
-    are joined by a shuffle.
+    without a span are not touched. Up to ``BROADCAST_SPANS`` spans, some sixty bytes each, are
+    broadcast, more are joined by a shuffle.
     """
     mark = F.xxhash64("text", F.length("text"))
     found = found_spans(docs.select("doc_id", "text", mark.alias("mark")), ["doc_id", "mark"])
     found = cut_lineage(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "mark"]).withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "spans": "__spans"}))
-    found = F.broadcast(found) if found.count() <= 200_000 else found
+    size = found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_SPANS else found
     rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left")
     text = F.col("text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("end"))

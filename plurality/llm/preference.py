@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ordered_prefix
 
-def rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
+_RENDER = "concat('<|', t.role, '|>\\n', t.text, '<|end|>\\n')"
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """Columns ``conv_id, i, role, text``: distinct turns of each conversation, counted from 0 in order of (turn, role, text)."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null").distinct()
-    return rows.select("conv_id", "role", "text", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).cast("bigint").alias("i"))
+def conversations(turns: DataFrame) -> DataFrame:
+    """Columns ``conv_id, turns``: the distinct turns (role, text) of each conversation in order of (turn, role, text).
+
+    A null role or text is empty, a null turn comes first, rows without ``conv_id`` belong to no conversation.
+    """
+    rows = turns.where("conv_id is not null").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
+    return ordered.select("conv_id", F.expr("transform(turns, t -> struct(t.role as role, t.text as text))").alias("turns"))
 
 
-def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected conversations derived from plain ones, each ``pair_id, i, role, text``.
+def swapped_replies(turns: DataFrame) -> DataFrame:
+    """Pairs ``pair_id, chosen, rejected`` (arrays of turns) derived from plain conversations, one per conversation.
 
-    Chosen: a conversation up to its last assistant turn. Rejected: the same with that turn
-    replaced by the last assistant turn of the conversation with the next id. Conversations
-    without such a turn, or without such a neighbour, give no pair.
+    Chosen is the conversation as it is. Rejected has its last assistant turn replaced by that of
+    the next conversation that has one, in order of ids; the last takes that of the first. Turns
+    after the reply stay on both sides. A conversation without an assistant turn, or the only one with
+    one, is its own rejected side.
     """
-    rows = numbered(turns)
-    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("i", "text")).alias("last")).select("conv_id", "last.i", F.col("last.text").alias("reply"))
-    pairs = last.select(F.col("conv_id").alias("pair_id"), F.col("i").alias("end")).join(last.select((F.col("conv_id") - 1).alias("pair_id"), "reply"), "pair_id")
-    both = rows.withColumnRenamed("conv_id", "pair_id").join(pairs, "pair_id").where("i <= end")
-    chosen = both.select("pair_id", "i", "role", "text")
-    rejected = both.select("pair_id", "i", "role", F.when(F.col("i") == F.col("end"), F.col("reply")).otherwise(F.col("text")).alias("text"))
-    return chosen, rejected
+    rows = conversations(turns)
+    rows = rows.withColumn("at", F.expr("size(turns) - array_position(reverse(transform(turns, t -> t.role = 'assistant')), true)"))
+    rows = rows.withColumn("at", F.expr("if(at < size(turns), at, null)"))
+    # next by order: positions come from a range partitioning, so the ids are never sorted in one task
+    replies = ordered_prefix(rows.where("at is not null").select("conv_id", F.expr("turns[at].text").alias("reply")), [], ["conv_id"])
+    other = replies.select((F.pmod(F.col("rank") - 2, F.col("n_total")) + 1).alias("rank"), F.col("reply").alias("other"))
+    swap = replies.select("conv_id", "rank").join(other, "rank").select("conv_id", "other")
+    rejected = "transform(turns, (t, i) -> if(i = at and other is not null, struct(t.role as role, other as text), t))"
+    return rows.join(swap, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.expr(rejected).alias("rejected"))
 
 
-def preference_rows(chosen: DataFrame, rejected: DataFrame, learn_role: str = "assistant") -> DataFrame:
-    """One row per pair that both sides have: prompt, completions and their masks.
+def preference_rows(pairs: DataFrame, learn_role: str = "assistant") -> DataFrame:
+    """One row per pair of ``pairs(pair_id, chosen, rejected)``: prompt, completions and their masks.
 
     Columns ``pair_id, n_prompt_turns, prompt, chosen, rejected`` (rendered text) and
     ``chosen_mask, rejected_mask``: for each side the character ranges ``start:end`` of its
@@ -41,30 +48,23 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame, learn_role: str = "a
     comma-joined; all else is masked. The prompt is the longest common prefix of turns,
     equal in role and text, and rendered once.
 
-    Input columns: ``pair_id, i, role, text`` with ``i`` counting from 0. The first differing
-    turn is found by a join on (pair, i) and a minimum; turns become strings only once, at
-    the end, a side of a pair being one string like any document. Equal sides give empty
-    completions and masks. Empty texts render as empty turns. Empty tables give no rows.
+    Both sides are arrays of (role, text) without nulls; the first difference is found in the row,
+    so nothing is shuffled. Equal sides give empty completions and masks, an empty side an empty
+    completion; empty texts render as empty turns; repeated rows repeat; other columns are not
+    read. A pair is one row, as its prompt is one string.
     """
-    a = chosen.select("pair_id", "i", F.struct("role", "text").alias("a"))
-    b = rejected.select("pair_id", "i", F.struct("role", "text").alias("b"))
-    turns = a.join(b, ["pair_id", "i"], "full")
-    ends = turns.groupBy("pair_id").agg(
-        F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("i"))).alias("first"), F.count(F.lit(1)).alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b")
-    ).where("n_a > 0 and n_b > 0").select("pair_id", F.coalesce("first", "n").alias("n_prompt_turns"))
-    turns = turns.join(ends, "pair_id")
-    shared = F.col("i") < F.col("n_prompt_turns")
-    part = F.explode(F.array(
-        F.struct(F.when(shared, F.lit("prompt")).otherwise(F.lit("chosen")).alias("part"), F.col("a").alias("t")),
-        F.struct(F.when(shared, F.lit(None).cast("string")).otherwise(F.lit("rejected")).alias("part"), F.col("b").alias("t")),
-    )).alias("p")
-    pieces = turns.select("pair_id", "n_prompt_turns", "i", part).where("p.part is not null and p.t is not null").select(
-        "pair_id", "n_prompt_turns", F.col("p.part").alias("part"), "i", (F.col("p.t.role") == learn_role).alias("learn"),
-        rendered(F.col("p.t.role"), F.col("p.t.text")).alias("s"), (F.length("p.t.role") + 5).alias("head"))
-    so_far = Window.partitionBy("pair_id", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = pieces.withColumn("end", F.sum(F.length("s")).over(so_far))
-    span = F.when(F.col("learn"), F.concat_ws(":", (F.col("end") - F.length("s") + F.col("head")).cast("string"), (F.col("end") - 1).cast("string")))
-    joined = lambda part, value, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("part") == part) & value.isNotNull(), F.struct("i", value.alias("x"))))), lambda t: t["x"]), sep)
-    return pieces.groupBy("pair_id", "n_prompt_turns").agg(
-        joined("prompt", F.col("s"), "").alias("prompt"), joined("chosen", F.col("s"), "").alias("chosen"), joined("rejected", F.col("s"), "").alias("rejected"),
-        joined("chosen", span, ",").alias("chosen_mask"), joined("rejected", span, ",").alias("rejected_mask"))
+    same = "zip_with(chosen, rejected, (x, y) -> coalesce(x.role = y.role and x.text = y.text, false))"
+    rows = pairs.select("pair_id", "chosen", "rejected").withColumn("n", F.expr(f"array_position({same}, false)"))
+    rows = rows.withColumn("n", F.expr("cast(if(n > 0, n - 1, size(chosen)) as int)"))
+    tail = lambda side: f"slice({side}, n + 1, greatest(size({side}) - n, 0))"
+    text = lambda turns: F.expr(f"array_join(transform({turns}, t -> {_RENDER}), '')")
+
+    def mask(side: str):
+        start, end = "a.at + length(t.role) + 5", f"a.at + length({_RENDER}) - 1"
+        grown = f"if(t.role = '{learn_role}', concat(a.spans, array(concat({start}, ':', {end}))), a.spans)"
+        step = f"(a, t) -> named_struct('at', a.at + length({_RENDER}), 'spans', {grown})"
+        return F.expr(f"array_join(aggregate({tail(side)}, named_struct('at', 0, 'spans', cast(array() as array<string>)), {step}, a -> a.spans), ',')")
+
+    return rows.select(
+        "pair_id", F.col("n").cast("bigint").alias("n_prompt_turns"), text("slice(chosen, 1, n)").alias("prompt"), text(tail("chosen")).alias("chosen"), text(tail("rejected")).alias("rejected"),
+        mask("chosen").alias("chosen_mask"), mask("rejected").alias("rejected_mask"))

@@ -33,23 +33,26 @@ def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.preference_rows(*preference.swapped_replies(table(spark, sf_dir, "conversations")))
+    return preference.preference_rows(preference.swapped_replies(table(spark, sf_dir, "conversations")))
 
 
+# both sides turn by turn, then the first difference between them
 ORACLES["op2_preference_chat"] = """
 WITH d AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM d),
+n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM d),
 l AS (SELECT conv_id, i, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM n WHERE role = 'assistant') t WHERE k = 1),
-p AS (SELECT a.conv_id AS pair_id, a.i AS last, a.text AS good, b.text AS bad FROM l a JOIN l b ON b.conv_id = a.conv_id + 1),
-k AS (SELECT pair_id, CASE WHEN good = bad THEN last + 1 ELSE last END AS np, last, good, bad FROM p),
-r AS (SELECT k.pair_id, k.np, string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.i) FILTER (WHERE n.i < k.np) AS prompt
-      FROM k JOIN n ON n.conv_id = k.pair_id AND n.i <= k.last GROUP BY k.pair_id, k.np)
-SELECT k.pair_id AS pair_id, CAST(k.np AS BIGINT) AS n_prompt_turns, coalesce(r.prompt, '') AS prompt,
-  CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
-  CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,
-  CASE WHEN good = bad THEN '' ELSE '14:' || CAST(length(good) + 21 AS VARCHAR) END AS chosen_mask,
-  CASE WHEN good = bad THEN '' ELSE '14:' || CAST(length(bad) + 21 AS VARCHAR) END AS rejected_mask
-FROM k JOIN r ON r.pair_id = k.pair_id
+o AS (SELECT conv_id, i, coalesce(lead(conv_id) OVER (ORDER BY conv_id), (SELECT min(conv_id) FROM l)) AS nxt FROM l),
+p AS (SELECT o.conv_id, o.i, l.text AS bad FROM o JOIN l ON l.conv_id = o.nxt),
+b AS (SELECT n.conv_id, n.role, CASE WHEN n.i = p.i THEN p.bad ELSE n.text END AS text, n.i FROM n LEFT JOIN p ON p.conv_id = n.conv_id),
+f AS (SELECT n.conv_id, coalesce(min(n.i) FILTER (WHERE n.role <> b.role OR n.text <> b.text), count(*)) AS np FROM n JOIN b ON b.conv_id = n.conv_id AND b.i = n.i GROUP BY n.conv_id),
+s AS (SELECT x.*, np, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM (SELECT 'c' AS side, * FROM n UNION ALL SELECT 'r' AS side, * FROM b) x JOIN f ON f.conv_id = x.conv_id),
+e AS (SELECT *, sum(length(s)) OVER (PARTITION BY conv_id, side, i >= np ORDER BY i) AS stop FROM s),
+m AS (SELECT *, CAST(stop - length(s) + length(role) + 5 AS BIGINT) || ':' || CAST(stop - 1 AS BIGINT) AS span FROM e)
+SELECT conv_id AS pair_id, CAST(np AS BIGINT) AS n_prompt_turns, coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE side = 'c' AND i < np), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE side = 'c' AND i >= np), '') AS chosen, coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE side = 'r' AND i >= np), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY i) FILTER (WHERE side = 'c' AND i >= np AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY i) FILTER (WHERE side = 'r' AND i >= np AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY conv_id, np
 """
 
 
