@@ -151,20 +151,34 @@ def histogram_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seq
     return both.select(*by, "n", F.explode(F.array(*answers)).alias("z")).select(*by, "z.prob", "z.quantile", "n")
 
 
+def _midranks(pairs: DataFrame, by: Sequence[str], value: str, other: str) -> DataFrame:
+    """``pairs`` with ``__mid``, the average rank of ``value`` among the rows that the pairs count (``__n`` each).
+
+    Pairs are ordered by (value, other), so the pairs of one value are consecutive, perhaps over several partitions.
+    Counts per value inside a partition and of the partitions before give each its first and last place.
+    """
+    p = ordered_prefix(pairs, by, [value, other], {"n": F.col("__n")})
+    p = cut_lineage(p.withColumn("__part", F.spark_partition_id()))
+    inside = p.groupBy(*by, value, "__part").agg(F.min(F.col("cum_n") - F.col("__n")).alias("__lo"), F.max("cum_n").alias("__hi"))
+    run = Window.partitionBy(*by, value)
+    ends = inside.select(*by, value, "__part", F.min("__lo").over(run).alias("__lo"), F.max("__hi").over(run).alias("__hi"))  # a value has one row per partition
+    j = p.join(ends, [*by, value, "__part"])
+    return j.withColumn("__mid", (F.col("__lo") + F.col("__hi") + 1) / 2.0).select(*pairs.columns, "__mid")
+
+
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks; NULL for constant input or fewer than two rows.
 
-    The two value columns are read five times (two orders and the last join), so they are
-    checkpointed once instead of deriving the rows again each time.
+    Rows first become counts of distinct (a, b) pairs, so whatever follows grows with the pairs. The
+    midranks of a are running sums over pairs in the order of a, spread over the pairs of one a by the
+    same range partitioning; no join has a value as its key, so ties are never gathered in a task.
     """
-    df = cut_lineage(df.select(*by, a, b))
-    ra = average_ranks(df, by, a).select(*by, a, F.col("avg_rank").alias("__ra"))
-    rb = average_ranks(df, by, b).select(*by, b, F.col("avg_rank").alias("__rb"))
-    j = df.select(*by, a, b).join(ra, [*by, a]).join(rb, [*by, b])
-    n = F.count(F.lit(1)).cast("double")
-    x, y = F.col("__ra"), F.col("__rb")
-    agg = j.groupBy(*by).agg(n.alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"),
-                             F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
+    pairs = cut_lineage(df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("__n")))
+    ra = _midranks(pairs, by, a, b).select(*by, a, b, "__n", F.col("__mid").alias("__ra"))
+    j = _midranks(ra, by, b, a).withColumnRenamed("__mid", "__rb")
+    x, y, w = F.col("__ra"), F.col("__rb"), F.col("__n").cast("double")
+    agg = j.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"),
+                             F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"))
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     rho = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy)

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..constants import LOW_SUPPORT_GROUPS
+from ..session import cut_lineage, join_small
 from .ranking import ordered_prefix
 
 BOOT_SEED = 20260907
+#: replicates of an interval unless the caller asks for another number
+REPLICATES = 2000
+#: groups whose draws are computed together
+BLOCK_GROUPS = 1024
 
 
 def holm_adjust(df: DataFrame, by: Sequence[str], p: str, key: str) -> DataFrame:
@@ -40,6 +49,142 @@ def group_index(groups: DataFrame, by: Sequence[str], group: str) -> DataFrame:
     return ranked.select(*by, group, (F.col("rank") - 1).alias("g_index"), F.col("n_total").alias("n_groups"))
 
 
+@lru_cache(4096)
+def _generator_key(seed: int, lo: int, hi: int, last: int) -> tuple[int, int]:
+    d = hashlib.blake2b(f"{seed}|{lo}|{hi}|{last}".encode(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+
+
+def _random(seed: int, lo: int, hi: int, n_groups: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=np.array(_generator_key(seed, lo, hi, n_groups), np.uint64)))
+
+
+class Draws:
+    """How often each of ``n_groups`` groups is drawn in each replicate of ``n_groups`` draws with replacement.
+
+    Multinomial counts by recursive binomial splitting: the draws of a run of groups divide into those
+    of its halves by a binomial from a generator that the run itself seeds, down to blocks of
+    ``BLOCK_GROUPS``. So any task computes the counts of the blocks it holds, whatever else lies where,
+    and no draw is ever listed or shuffled. They depend on seed, number of groups and a group's
+    place only: keys with the same groups are resampled jointly.
+    """
+
+    def __init__(self, n_groups: int, replicates: int, seed: int):
+        self.n, self.replicates, self.seed, self.nodes, self.latest = n_groups, replicates, seed, {}, (-1, None)
+
+    def _run(self, lo: int, hi: int, at: int) -> np.ndarray:
+        """Draws in each replicate that fall into the block ``at``, from the run of blocks [lo, hi) down."""
+        count = np.full(self.replicates, self.n, np.int64)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            if (left := self.nodes.get((lo, hi))) is None:
+                size = [min(x * BLOCK_GROUPS, self.n) for x in (lo, mid, hi)]
+                left = _random(self.seed, lo, hi, self.n).binomial(count, (size[1] - size[0]) / (size[2] - size[0]))
+                if len(self.nodes) > 64:  # the path of a task's blocks is short
+                    self.nodes.clear()
+                self.nodes[lo, hi] = left
+            if at < mid:
+                count, hi = left, mid
+            else:
+                count, lo = count - left, mid
+        return count
+
+    def block(self, at: int) -> np.ndarray:
+        """[replicates, groups of the block]"""
+        if self.latest[0] != at:
+            size = min(BLOCK_GROUPS, self.n - at * BLOCK_GROUPS)
+            count = self._run(0, -(-self.n // BLOCK_GROUPS), at)
+            self.latest = at, _random(self.seed, at, -1, self.n).multinomial(count, np.full(size, 1.0 / size))
+        return self.latest[1]
+
+
+def _blocks_of(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple]:
+    """Parts of a batch that share key, number of groups and block: (key, n_groups, block, rows, places in the block)."""
+    keys = list(zip(*(batch.column(k).to_pylist() for k in range(n_keys)))) if n_keys else [()] * batch.num_rows
+    index, total = (batch.column(n_keys + k).to_numpy() for k in (0, 1))
+    rows: dict[tuple, list[int]] = {}
+    for i, part in enumerate(zip(keys, total.tolist(), (index // BLOCK_GROUPS).tolist())):
+        rows.setdefault(part, []).append(i)
+    for (key, n, block), at in rows.items():
+        yield key, n, block, at, index[at] - block * BLOCK_GROUPS
+
+
+def replicate_sums(per_group: DataFrame, by: Sequence[str], group: str, values: Sequence[str], replicates: int = REPLICATES,
+                   seed: int = BOOT_SEED) -> DataFrame:
+    """(by, replicate, values): each value summed over the resampled groups of every replicate.
+
+    ``per_group`` has rows (by, group, values), several for a group if need be, null values left out. They
+    become one row per group, dealt to tasks by blocks of groups; each task turns its blocks into
+    one partial sum per key and replicate. What is shuffled grows with groups and with tasks times
+    replicates, never with groups times replicates.
+    """
+    per_group = per_group.groupBy(*by, group).agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values])
+    per_group = cut_lineage(per_group)  # read for the index and for the values
+    rows = group_index(per_group, by, group).join(per_group, [*by, group]).select(*by, "g_index", "n_groups", *values)
+    rows = rows.repartition(*by, F.floor(F.col("g_index") / BLOCK_GROUPS)).sortWithinPartitions(*by, "g_index")
+    kinds = dict(rows.dtypes)
+    names = [*by, "replicate", *values]
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["replicate bigint"] + [f"`{v}` double" for v in values])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws: dict[int, Draws] = {}
+        sums: dict[tuple, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in sums for _ in range(replicates)], arrow_types[c]) for i, c in enumerate(by)]
+            flat = np.concatenate(list(sums.values()))
+            return pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(replicates), len(sums))), *[pa.array(flat[:, k]) for k in range(len(values))]], names=names)
+
+        arrow_types = None
+        for batch in batches:
+            arrow_types = {c: batch.schema.field(i).type for i, c in enumerate(by)}
+            x = np.nan_to_num(np.stack([batch.column(len(by) + 2 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(values))], 1))
+            for key, n, block, at, place in _blocks_of(batch, len(by)):
+                if len(draws) > 64:
+                    draws.clear()
+                if n not in draws:
+                    draws[n] = Draws(n, replicates, seed)
+                dense = np.zeros((min(BLOCK_GROUPS, n - block * BLOCK_GROUPS), len(values)))
+                np.add.at(dense, place, x[at])
+                part = draws[n].block(block).astype(float) @ dense
+                sums[key] = sums[key] + part if key in sums else part
+                if len(sums) >= 32:
+                    yield told()
+                    sums = {}
+        if sums:
+            yield told()
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "replicate").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def with_draws(rows: DataFrame, by: Sequence[str], group: str, replicates: int = REPLICATES, seed: int = BOOT_SEED, name: str = "draws") -> DataFrame:
+    """``rows`` with a binary column: how often the row's group is drawn, one unsigned 16-bit number per replicate."""
+    rows = cut_lineage(rows)
+    index = group_index(rows, by, group)
+    rows = index.join(rows, [*by, group])
+    rows = rows.select(*by, "g_index", "n_groups", *[c for c in rows.columns if c not in (*by, "g_index", "n_groups")])
+    # a block's rows go to eight tasks, so that a group with many rows is not one task's
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(8))
+    rows = rows.repartition(*by, F.floor(F.col("g_index") / BLOCK_GROUPS), salt).sortWithinPartitions(*by, "g_index")
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws: dict[int, Draws] = {}
+        for batch in batches:
+            out: list = [None] * batch.num_rows
+            for _, n, block, at, place in _blocks_of(batch, len(by)):
+                if len(draws) > 64:
+                    draws.clear()
+                if n not in draws:
+                    draws[n] = Draws(n, replicates, seed)
+                m = draws[n].block(block).T.astype("<u2")
+                for i, p in zip(at, place.tolist()):
+                    out[i] = m[p].tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + f", `{name}` binary").drop("g_index", "n_groups")
+
+
 def multiplicities(index: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int = BOOT_SEED,
                    method: str = "exact") -> DataFrame:
     """How often each group is drawn in each replicate: (by, group, replicate, m), zeros left out.
@@ -84,23 +229,19 @@ def percentile_ci(reps: DataFrame, by: Sequence[str], value: str = "value", leve
         F.count_if(~ok).alias("n_dropped"), F.count(F.lit(1)).alias("n_replicates"))
 
 
-def group_mean_bootstrap(per_group: DataFrame, by: Sequence[str], group: str, value: str, replicates: int,
+def group_mean_bootstrap(per_group: DataFrame, by: Sequence[str], group: str, value: str, replicates: int = REPLICATES,
                          seed: int = BOOT_SEED) -> DataFrame:
     """Mean over groups with a cluster-bootstrap interval. ``per_group`` has one row per (by, group)."""
     point = per_group.groupBy(*by).agg(F.avg(value).alias("point"), F.count(F.lit(1)).alias("n_groups"))
-    index = group_index(per_group, by, group)
-    m = multiplicities(index, by, group, replicates, seed)
-    j = m.join(per_group.select(*by, group, value), [*by, group])
-    reps = j.groupBy(*by, "replicate").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("value"))
-    ci = percentile_ci(reps, by)
+    ci = percentile_ci(replicate_means(per_group, by, group, value, replicates, seed), by)
     return point.join(ci, list(by)) if by else _side_by_side(point, ci)
 
 
-def replicate_means(per_group: DataFrame, by: Sequence[str], group: str, value: str, replicates: int,
+def replicate_means(per_group: DataFrame, by: Sequence[str], group: str, value: str, replicates: int = REPLICATES,
                     seed: int = BOOT_SEED) -> DataFrame:
-    m = multiplicities(group_index(per_group, by, group), by, group, replicates, seed)
-    j = m.join(per_group.select(*by, group, value), [*by, group])
-    return j.groupBy(*by, "replicate").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("value"))
+    v = per_group.select(*by, group, F.col(value).alias("__v"), F.col(value).isNotNull().cast("double").alias("__one"))
+    r = replicate_sums(v, by, group, ["__v", "__one"], replicates, seed)
+    return r.select(*by, "replicate", F.when(F.col("__one") > 0, F.col("__v") / F.col("__one")).alias("value"))
 
 
 def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -118,15 +259,24 @@ def paired_differences(df: DataFrame, by: Sequence[str], group: str, seed_col: s
                        a: Column, b: Column) -> DataFrame:
     """Per (by, group): seed-averaged mean loss of a, of b, and their difference.
 
-    Losses are averaged per seed first, then over seeds; both methods come out of one pass.
+    Losses are averaged per seed first, then over seeds; both methods come out of one pass. The
+    arms must pair: the plan raises where a group lacks an arm in one of its seeds, or has
+    fewer seeds than others of its key. The check is part of the expressions, no pass of its own.
     """
-    per = df.groupBy(*by, group, seed_col).agg(F.avg(F.when(a, F.col(value))).alias("la"),
-                                               F.avg(F.when(b, F.col(value))).alias("lb"))
-    return per.groupBy(*by, group).agg(F.avg("la").alias("la"), F.avg("lb").alias("lb"),
-                                       F.count(F.lit(1)).alias("n_seeds")).withColumn("delta", F.col("la") - F.col("lb"))
-
-
-def paired_bootstrap(per_group: DataFrame, by: Sequence[str], group: str, replicates: int,
+    per = df.groupBy(*by, group, seed_col).agg(F.avg(F.when(a, F.col(value))).alias("la"), F.avg(F.when(b, F.col(value))).alias("lb"),
+                                               F.count_if(a).alias("__na"), F.count_if(b).alias("__nb"))
+    lacking = F.concat(F.lit("unpaired group "), F.coalesce(F.col(group).cast("string"), F.lit("null")), F.lit(", seed "), F.coalesce(F.col(seed_col).cast("string"), F.lit("null")))
+    whole = (F.col("__na") > 0) & (F.col("__nb") > 0)
+    per = per.withColumn("la", F.when(whole, F.col("la")).otherwise(F.raise_error(lacking).cast("double")))
+    out = per.groupBy(*by, group).agg(F.avg("la").alias("la"), F.avg("lb").alias("lb"), F.count(F.lit(1)).alias("n_seeds"))
+    most = out.groupBy(*by).agg(F.max("n_seeds").alias("__most"))
+    out = join_small(out, most, by) if by else out.withColumn("__most", most.select("__most").scalar())
+    short = F.concat(F.lit("group with fewer seeds than others: "), F.coalesce(F.col(group).cast("string"), F.lit("null")))
+    seeds = F.when(F.col("n_seeds") == F.col("__most"), F.col("n_seeds")).otherwise(F.raise_error(short).cast("bigint"))
+    return out.withColumn("delta", F.when(seeds.isNotNull(), F.col("la") - F.col("lb"))).drop("__most")
+
+
+def paired_bootstrap(per_group: DataFrame, by: Sequence[str], group: str, replicates: int = REPLICATES,
                      seed: int = BOOT_SEED) -> DataFrame:
     """Percentile interval of the mean paired difference over resampled groups."""
     boot = group_mean_bootstrap(per_group, by, group, "delta", replicates, seed)
@@ -138,10 +288,37 @@ def paired_bootstrap(per_group: DataFrame, by: Sequence[str], group: str, replic
         "crosses_zero": (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)})
 
 
-def bootstrap_statistic(rows: DataFrame, by: Sequence[str], group: str,
+def bootstrap_statistic(rows: DataFrame, by: Sequence[str], group: str, sums: Sequence[str],
+                        statistic: Callable[[], Column], replicates: int = REPLICATES, seed: int = BOOT_SEED,
+                        within: Sequence[str] = ()) -> DataFrame:
+    """Any statistic of column sums, on resampled whole groups, with its interval.
+
+    ``rows`` holds (by, within, group, sums); ``statistic()`` is a caller's expression over the summed
+    columns. Groups are drawn per ``by``, the statistic is told per ``by`` and ``within``. It is evaluated on
+    plain sums and on those of every replicate.
+    """
+    keys = [*by, *within]
+    point = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).select(*keys, statistic().alias("point"))
+    if within:
+        # one column per sum and inner key: the groups of a key are drawn once for all of them
+        kinds = [r[0] for r in rows.select(F.struct(*within)).distinct().collect()]
+        types = dict(rows.dtypes)
+        literal = lambda k: [F.lit(v).cast(types[w]) for v, w in zip(k, within)]
+        same = lambda k: reduce(lambda x, y: x & y, [F.col(w).eqNullSafe(v) for v, w in zip(literal(k), within)])
+        wide = rows.select(*by, group, *[F.when(same(k), F.col(c)).otherwise(0.0).alias(f"{c}__{i}") for i, k in enumerate(kinds) for c in sums])
+        r = replicate_sums(wide, by, group, [f"{c}__{i}" for i in range(len(kinds)) for c in sums], replicates, seed)
+        parts = [F.struct(*[v.alias(w) for v, w in zip(literal(k), within)], *[F.col(f"{c}__{i}").alias(c) for c in sums]) for i, k in enumerate(kinds)]
+        r = r.select(*by, "replicate", F.explode(F.array(*parts)).alias("__z")).select(*by, "replicate", "__z.*")
+    else:
+        r = replicate_sums(rows, by, group, sums, replicates, seed)
+    ci = percentile_ci(r.select(*keys, statistic().alias("value")), keys)
+    return point.join(ci, keys, "left") if keys else _side_by_side(point, ci)
+
+
+def bootstrap_rows(rows: DataFrame, by: Sequence[str], group: str,
                         statistic: Callable[[DataFrame, list[str], str], DataFrame], replicates: int,
                         seed: int = BOOT_SEED) -> DataFrame:
-    """Any weighted statistic on resampled whole groups.
+    """Any weighted statistic of rows, such as a rank statistic, on resampled whole groups.
 
     ``statistic(rows, keys, weight)`` returns one ``value`` per key; it is run once on the plain
     rows (weight 1) and once with the replicate among the keys and the multiplicity as weight.

@@ -131,12 +131,12 @@ def pick_partition(share: Column) -> Column:
 def assignment_digest(df: DataFrame, key: str, value: str, seed: int) -> DataFrame:
     """Hash of a (key -> value) table that does not depend on row order.
 
-    Every row gives two 32-bit hashes; their sums are hashed with the count, so nothing is
+    Every row gives two 32-bit hashes; their exact decimal sums are hashed with the count, so nothing is
     collected or sorted.
     """
     a = fn.md5_int(str(seed), F.col(key).cast("string"), F.col(value))
     b = fn.md5_int("b", str(seed), F.col(key).cast("string"), F.col(value))
-    s = df.agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"))
+    s = df.agg(F.count(F.lit(1)).alias("n"), F.sum(a.cast("decimal(38,0)")).alias("a"), F.sum(b.cast("decimal(38,0)")).alias("b"))
     return s.select("n", F.substring(F.sha2(F.concat_ws("|", "n", "a", "b"), 256), 1, 16).alias("digest"))
 
 

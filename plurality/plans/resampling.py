@@ -7,15 +7,13 @@ from ..operators import groups as gp
 from ..operators import resample as rs
 from ..operators.scoring import strata_rows
 from ..sources import standins as sv
-from .gates import STRATA_SQL, tertiles
+from .gates import tertiles
 from .registry import query
 from .sqlkit import cte, md5i, r, sql
 from .views import scored
 
 MS = ["method", "seed"]
-R = 200
-R_SMALL = 50
-R_TINY = 8
+R_TINY = 8  # of the rank statistics, which list their draws
 
 
 def draw_sql(n_rep: int, group_count: str, src: str = "", keys: str = "") -> str:
@@ -29,10 +27,6 @@ _CI = ("quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.97
        " stddev_samp(value) AS boot_sd, count(*) - count(value) AS n_dropped, count(*) AS n_replicates")
 CI = ["ci_low", "ci_high", "boot_mean", "boot_sd"]
 
-cte("s_gd", "SELECT group_id, avg(CASE WHEN method='m1' THEN gkl END) AS la, avg(CASE WHEN method='m2' THEN gkl END) AS lb,"
-    " row_number() OVER (ORDER BY group_id) - 1 AS gi FROM s_gm GROUP BY 1")
-cte("s_ng", "SELECT count(*) AS g FROM s_gd")
-
 
 def _deltas(spark, d, a="m1", b="m2", **kw):
     s = scored(spark, d, methods=tuple(m for m in sv.METHODS if m[0] in (a, b)), **kw)
@@ -44,60 +38,31 @@ def _paired_cols(extra=()):
             "decision", "wholly_below_zero", "crosses_zero"]
 
 
-_PAIR_SQL = ("{k} " + r("point", "point") + ", n_groups, " + ", ".join(r(c, c) for c in CI) + ", n_dropped, n_replicates, " + r("mean_a", "mean_a") + ", "
-             + r("mean_b", "mean_b") + ", " + r("point/mean_b", "relative_effect")
-             + ", CASE WHEN ci_high < 0 THEN 'superiority_supported' WHEN ci_low > 0 THEN 'inferior' ELSE 'inconclusive' END AS decision,"
-               " ci_high < 0 AS wholly_below_zero, (ci_low <= 0 AND ci_high >= 0) AS crosses_zero")
-
-
-@query("i01_paired_cluster_bootstrap", sql(
-    "SELECT " + _PAIR_SQL.format(k="") + " FROM (SELECT avg(la-lb) AS point, avg(la) AS mean_a, avg(lb) AS mean_b, count(*) AS n_groups FROM s_gd),"
-    f" (SELECT {_CI} FROM (SELECT r, avg(la-lb) AS value FROM s_dr JOIN s_gd USING (gi) GROUP BY 1))",
-    s_dr=draw_sql(R, "g", "FROM s_ng")))
+@query("i01_paired_cluster_bootstrap")
 def i01(spark, d):
-    return rs.paired_bootstrap(_deltas(spark, d), [], "group_id", R).select(*_paired_cols())
-
-
-cte("s_acc", "SELECT method, group_id, sum((y = yhat)::INT) AS hits, count(*) AS c FROM s_rows WHERE y >= 0 AND seed = 101 GROUP BY 1, 2")
-cte("s_acci", "SELECT *, row_number() OVER (PARTITION BY method ORDER BY group_id) - 1 AS gi FROM s_acc")
+    return rs.paired_bootstrap(_deltas(spark, d), [], "group_id").select(*_paired_cols())
 
 
-def accuracy_statistic(rows, keys, w):
-    return rows.groupBy(*keys).agg((F.sum(F.col(w) * F.col("hits")) / F.sum(F.col(w) * F.col("c"))).alias("value"))
+def ratio(a, b):
+    """A statistic of sums, null where nothing is left to divide by."""
+    return lambda: F.when(F.col(b) > 0, F.col(a) / F.col(b))
 
 
-@query("i02_cluster_bootstrap_statistic", sql(
-    "SELECT method, " + ", ".join(r(c, c) for c in ["point", *CI]) + ", n_dropped, n_replicates FROM (SELECT method, sum(hits)/sum(c) AS point FROM s_acc GROUP BY 1) JOIN"
-    f" (SELECT method, {_CI} FROM (SELECT d.method, r, sum(hits)/sum(c) AS value FROM s_dr d JOIN s_acci a ON a.method=d.method AND a.gi=d.gi GROUP BY 1, 2) GROUP BY 1) USING (method)",
-    s_dr=draw_sql(R, "count(*)", "FROM s_acci GROUP BY method", "method")))
+@query("i02_cluster_bootstrap_statistic")
 def i02(spark, d):
-    s = scored(spark, d, seeds=(101,)).where(F.col("y") >= 0)
-    per = s.groupBy("method", "group_id").agg(F.sum((F.col("y") == F.col("yhat")).cast("int")).alias("hits"),
-                                              F.count(F.lit(1)).alias("c"))
-    return rs.bootstrap_statistic(per, ["method"], "group_id", accuracy_statistic, R)
+    """Accuracy of every method and seed."""
+    s = scored(spark, d).where(F.col("y") >= 0)
+    per = s.groupBy(*MS, "group_id").agg(F.sum((F.col("y") == F.col("yhat")).cast("int")).alias("hits"), F.count(F.lit(1)).alias("c"))
+    return rs.bootstrap_statistic(per, MS, "group_id", ["hits", "c"], ratio("hits", "c"))
 
 
-cte("s_g101", "SELECT method, group_id, gkl, row_number() OVER (PARTITION BY method ORDER BY group_id) - 1 AS gi FROM s_gm WHERE seed = 101")
-
-
-@query("i03_group_mean_ci", sql(
-    "SELECT method, " + r("point", "point") + ", n_groups, " + ", ".join(r(c, c) for c in CI) + ", n_dropped, n_replicates FROM (SELECT method, avg(gkl) AS point, count(*) AS n_groups FROM s_g101 GROUP BY 1) JOIN"
-    f" (SELECT method, {_CI} FROM (SELECT d.method, r, avg(gkl) AS value FROM s_dr d JOIN s_g101 a ON a.method=d.method AND a.gi=d.gi GROUP BY 1, 2) GROUP BY 1) USING (method)",
-    s_dr=draw_sql(R, "count(*)", "FROM s_g101 GROUP BY method", "method")))
+@query("i03_group_mean_ci")
 def i03(spark, d):
-    per = gp.group_means(scored(spark, d, seeds=(101,)), ["method"], "group_id", ["kl"]).drop("rows_in_group")
-    return rs.group_mean_bootstrap(per, ["method"], "group_id", "kl", R)
-
-
-_CON = ("SELECT contrast, group_id, la, lb, row_number() OVER (PARTITION BY contrast ORDER BY group_id) - 1 AS gi FROM ("
-        "SELECT 'm2-m1' AS contrast, group_id, avg(CASE WHEN method='m2' THEN gkl END) AS la, avg(CASE WHEN method='m1' THEN gkl END) AS lb FROM s_gm GROUP BY 2"
-        " UNION ALL SELECT 'm1-m3', group_id, avg(CASE WHEN method='m1' THEN gkl END), avg(CASE WHEN method='m3' THEN gkl END) FROM s_gm GROUP BY 2)")
+    per = gp.group_means(scored(spark, d), MS, "group_id", ["kl"]).drop("rows_in_group")
+    return rs.group_mean_bootstrap(per, MS, "group_id", "kl")
 
 
-@query("i04_paired_primary_decision", sql(
-    "SELECT " + _PAIR_SQL.format(k="contrast,") + " FROM (SELECT contrast, avg(la-lb) AS point, avg(la) AS mean_a, avg(lb) AS mean_b, count(*) AS n_groups FROM s_con GROUP BY 1) JOIN"
-    f" (SELECT contrast, {_CI} FROM (SELECT d.contrast, r, avg(la-lb) AS value FROM s_dr d JOIN s_con a ON a.contrast=d.contrast AND a.gi=d.gi GROUP BY 1, 2) GROUP BY 1) USING (contrast)",
-    s_con=_CON, s_dr=draw_sql(R_SMALL, "count(*)", "FROM s_con GROUP BY contrast", "contrast")))
+@query("i04_paired_primary_decision")
 def i04(spark, d):
     """Both contrasts out of one pass over per-(method, seed, group) losses."""
     per = gp.group_means(scored(spark, d), MS, "group_id", ["kl"])
@@ -109,21 +74,10 @@ def i04(spark, d):
     ex = per.select("group_id", "seed", "kl", F.explode(F.filter(side, lambda x: x.isNotNull())).alias("z")).select(
         "group_id", "seed", "kl", "z.contrast", "z.side")
     dl = rs.paired_differences(ex, ["contrast"], "group_id", "seed", "kl", F.col("side") == "a", F.col("side") == "b")
-    return rs.paired_bootstrap(dl, ["contrast"], "group_id", R_SMALL).select(*_paired_cols(["contrast"]))
+    return rs.paired_bootstrap(dl, ["contrast"], "group_id").select(*_paired_cols(["contrast"]))
 
 
-_ST = ("SELECT method, seed, stratum, group_id, avg(kl) AS gkl, count(*) AS nr FROM (SELECT a.method, a.seed, a.group_id, a.kl, s.stratum FROM s_rows a JOIN ("
-       "SELECT label_id, " + STRATA_SQL + " AS stratum FROM s_h CROSS JOIN s_tert) s ON a.label_id = s.label_id WHERE method IN ('m1','m2')) GROUP BY ALL")
-_STG = ("SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY group_id) - 1 AS gi FROM (SELECT stratum, group_id, avg(CASE WHEN method='m1' THEN gkl END) AS la,"
-        " avg(CASE WHEN method='m2' THEN gkl END) AS lb, max(nr) AS nr FROM s_st GROUP BY 1, 2)")
-
-
-@query("i05_strata_analysis", sql(
-    "SELECT stratum, n_rows, n_groups, " + ", ".join(r(f"CASE WHEN n_rows >= 10 THEN {c} END", c) for c in ["point", "ci_low", "ci_high", "mean_a", "mean_b"])
-    + ", CASE WHEN n_rows >= 10 THEN 'PASS' ELSE 'NOT_ESTIMABLE' END AS status, n_groups < 30 AS low_support FROM ("
-      "SELECT stratum, sum(nr)::BIGINT AS n_rows, count(*) AS n_groups, avg(la-lb) AS point, avg(la) AS mean_a, avg(lb) AS mean_b FROM s_stg GROUP BY 1) JOIN"
-    f" (SELECT stratum, {_CI} FROM (SELECT d.stratum, r, avg(la-lb) AS value FROM s_dr d JOIN s_stg a ON a.stratum=d.stratum AND a.gi=d.gi GROUP BY 1, 2) GROUP BY 1) USING (stratum)",
-    s_st=_ST, s_stg=_STG, s_dr=draw_sql(R_SMALL, "count(*)", "FROM s_stg GROUP BY stratum", "stratum")))
+@query("i05_strata_analysis")
 def i05(spark, d):
     q = tertiles(spark, d)
     s = scored(spark, d, methods=sv.METHODS[:2])
@@ -135,7 +89,7 @@ def i05(spark, d):
     dl = per.groupBy("stratum", "group_id").agg(F.avg("la").alias("la"), F.avg("lb").alias("lb"), F.max("nr").alias("nr")).withColumn(
         "delta", F.col("la") - F.col("lb"))
     rows = dl.groupBy("stratum").agg(F.sum("nr").alias("n_rows"))
-    b = rs.paired_bootstrap(dl, ["stratum"], "group_id", R_SMALL).join(rows, "stratum")
+    b = rs.paired_bootstrap(dl, ["stratum"], "group_id").join(rows, "stratum")
     ok = F.col("n_rows") >= 10
     return b.select("stratum", "n_rows", "n_groups", *[F.when(ok, F.col(c)).alias(c) for c in ("point", "ci_low", "ci_high", "mean_a", "mean_b")],
                     F.when(ok, "PASS").otherwise("NOT_ESTIMABLE").alias("status"), rs.low_support(F.col("n_groups")).alias("low_support"))
@@ -163,7 +117,7 @@ _OA = "SELECT r, class, CASE WHEN max(ap) > 0 AND max(an) > max(ap) THEN (sum((a
     s_og=_OG, s_ogi=_OGI, s_om=_OM, s_ow=_OW, s_oc=_OC, s_oa=_OA, s_dr=draw_sql(R_TINY, "count(*)", "FROM s_ogi")))
 def i06(spark, d):
     c = cv.one_vs_rest(scored(spark, d, methods=sv.METHODS[:1], seeds=(101,)), ["group_id"])
-    return rs.bootstrap_statistic(c, [], "group_id", auroc_statistic, R_TINY)
+    return rs.bootstrap_rows(c, [], "group_id", auroc_statistic, R_TINY)
 
 
 _I7G = "SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS gi FROM (SELECT DISTINCT group_id FROM s_i7)"
@@ -210,37 +164,19 @@ def i09(spark, d):
 
 
 # reliability with intervals ----------------------------------------------------------------------
-_B1 = "SELECT method, bin, group_id, sum(observed) AS s, count(*) AS c FROM s_bins WHERE seed = 101 GROUP BY ALL"
-_BG = "SELECT method, group_id, row_number() OVER (PARTITION BY method ORDER BY group_id) - 1 AS gi FROM (SELECT DISTINCT method, group_id FROM s_b1)"
-
-
-def bin_mean_statistic(rows, keys, w):
-    return rows.groupBy(*keys, "bin").agg((F.sum(F.col(w) * F.col("s")) / F.sum(F.col(w) * F.col("c"))).alias("value"))
-
-
-@query("h05_reliability_intervals", sql(
-    "SELECT method, bin, " + ", ".join(r(c, c) for c in ["point", *CI]) + ", n_dropped, n_replicates FROM (SELECT method, bin, sum(s)/sum(c) AS point FROM s_b1 GROUP BY 1, 2) JOIN"
-    f" (SELECT method, bin, {_CI} FROM (SELECT d.method, d.r, b.bin, sum(s)/sum(c) AS value FROM s_dr d JOIN s_bg g ON g.method=d.method AND g.gi=d.gi JOIN s_b1 b ON b.method=g.method AND b.group_id=g.group_id GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (method, bin)",
-    s_b1=_B1, s_bg=_BG, s_dr=draw_sql(R_SMALL, "count(*)", "FROM s_bg GROUP BY method", "method")))
+@query("h05_reliability_intervals")
 def h05(spark, d):
-    rows = cv.confidence_rows(scored(spark, d, seeds=(101,))).select("method", "label_id", "group_id", "confidence", "observed")
-    b = cv.equal_count_bins(rows, ["method"], "confidence", "label_id", 10)
-    per = b.groupBy("method", "bin", "group_id").agg(F.sum("observed").alias("s"), F.count(F.lit(1)).alias("c"))
-    return rs.bootstrap_statistic(per, ["method"], "group_id", bin_mean_statistic, R_SMALL)
+    """Observed frequency of every bin of every method and seed; the bins of a replicate share its draws."""
+    rows = cv.confidence_rows(scored(spark, d)).select(*MS, "label_id", "group_id", "confidence", "observed")
+    b = cv.equal_count_bins(rows, MS, "confidence", "label_id", 10)
+    per = b.groupBy(*MS, "bin", "group_id").agg(F.sum("observed").alias("s"), F.count(F.lit(1)).alias("c"))
+    return rs.bootstrap_statistic(per, MS, "group_id", ["s", "c"], ratio("s", "c"), within=["bin"])
 
 
-@query("o01_user_statistic", sql(
-    "SELECT method, " + ", ".join(r(c, c) for c in ["point", *CI]) + ", n_dropped, n_replicates FROM (SELECT method, sqrt(sum(s2)/sum(c)) AS point FROM s_o1 GROUP BY 1) JOIN"
-    f" (SELECT method, {_CI} FROM (SELECT d.method, r, sqrt(sum(s2)/sum(c)) AS value FROM s_dr d JOIN s_o1 a ON a.method=d.method AND a.gi=d.gi GROUP BY 1, 2) GROUP BY 1) USING (method)",
-    s_o1="SELECT *, row_number() OVER (PARTITION BY method ORDER BY group_id) - 1 AS gi FROM (SELECT method, group_id, sum(sse) AS s2, count(*) AS c FROM s_rows WHERE seed = 202 GROUP BY 1, 2)",
-    s_dr=draw_sql(R_SMALL, "count(*)", "FROM s_o1 GROUP BY method", "method")))
+@query("o01_user_statistic")
 def o01(spark, d):
-    """A caller's own statistic, here the root mean squared error, as a DataFrame function."""
-    per = scored(spark, d, seeds=(202,)).groupBy("method", "group_id").agg(F.sum("sse").alias("s2"), F.count(F.lit(1)).alias("c"))
-
-    def rmse(rows, keys, w):
-        return rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col(w) * F.col("s2")) / F.sum(F.col(w) * F.col("c"))).alias("value"))
-
-    return rs.bootstrap_statistic(per, ["method"], "group_id", rmse, R_SMALL)
+    """A caller's own statistic, here the root mean squared error, as an expression over sums."""
+    per = scored(spark, d).groupBy(*MS, "group_id").agg(F.sum("sse").alias("s2"), F.count(F.lit(1)).alias("c"))
+    return rs.bootstrap_statistic(per, MS, "group_id", ["s2", "c"], lambda: F.sqrt(F.col("s2") / F.nullif(F.col("c"), F.lit(0.0))))
 
 

@@ -59,11 +59,11 @@ def a06(spark, d):
 
 
 @query("a07_missing_and_unreferenced", sql(
-    "SELECT 'missing' AS kind, count(*) AS n FROM (SELECT DISTINCT recording_id FROM s_labels EXCEPT SELECT recording_id FROM s_links) UNION ALL"
+    "SELECT 'missing' AS kind, count(*) AS n FROM (SELECT DISTINCT recording_id FROM s_labels EXCEPT SELECT vec_id // 5 FROM embeddings) UNION ALL"
     " SELECT 'unreferenced', count(*) FROM (SELECT p_partkey FROM part EXCEPT SELECT recording_id FROM s_labels)"))
 def a07(spark, d):
     ids = sv.labels(spark, d).select("recording_id").distinct()
-    have = sv.links(spark, d).select("recording_id").distinct()
+    have = sv.signal_arrays(spark, d).select("recording_id").distinct()
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("recording_id"))
     a = ids.join(have, "recording_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("missing"))
     b = parts.join(ids, "recording_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("unreferenced"))

@@ -124,11 +124,14 @@ def heads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    """Sparse group-recording link graph."""
-    li = table(spark, d, "lineitem").where((F.col("l_quantity") >= 46) & (F.col("l_discount") >= 0.09))
-    o = table(spark, d, "orders")
+    """Group-recording link graph over every row of lineitem.
+
+    Recordings are parts within a pair of neighbouring customers, so some pairs are linked and others not.
+    """
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("o_custkey").alias("group_id"), F.col("l_partkey").alias("recording_id")).distinct()
+        F.col("o_custkey").alias("group_id"),
+        (F.floor(F.col("o_custkey") / 2) * 2000 + F.pmod(F.col("l_partkey"), F.lit(2000))).alias("recording_id")).distinct()
 
 
 def signal_arrays(spark: SparkSession, d: str) -> DataFrame:

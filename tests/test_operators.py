@@ -178,6 +178,80 @@ def test_bootstrap_interval_covers_known_delta(spark):
     assert row.ci_low < -0.05 < row.ci_high < 0 and row.decision == "superiority_supported"
 
 
+def test_unpaired_arms_and_missing_seeds_raise(spark):
+    good = [(m, s, g, float(g + s)) for m in "ab" for s in (1, 2) for g in range(4)]
+    make = lambda rows: rs.paired_differences(spark.createDataFrame(rows, "m string, seed int, g int, x double"), [], "g", "seed", "x", F.col("m") == "a", F.col("m") == "b")
+    assert make(good).count() == 4 and {r.delta for r in make(good).collect()} == {0.0}
+    with pytest.raises(Exception, match="unpaired group 3"):
+        make([r for r in good if r[:3] != ("b", 2, 3)]).collect()
+    with pytest.raises(Exception, match="fewer seeds"):
+        make([r for r in good if (r[1], r[2]) != (2, 1)]).collect()
+
+
+def test_spearman_of_ties_without_a_value_join(spark):
+    rng = np.random.default_rng(7)
+    rows = [("x", float(rng.integers(0, 3)), float(rng.integers(0, 4))) for _ in range(3000)] + [("y", 1.0, float(i)) for i in range(5)] + [("z", float(i), float(-i)) for i in range(50)]
+    pdf = pd.DataFrame(rows, columns=["m", "a", "b"])
+    got = rk.spearman(spark.createDataFrame(pdf).repartition(6), ["m"], "a", "b").toPandas().set_index("m").spearman
+    x = pdf[pdf.m == "x"]
+    assert got["x"] == pytest.approx(np.corrcoef(x.a.rank(), x.b.rank())[0, 1]) and got["z"] == pytest.approx(-1.0) and (got["y"] is None or np.isnan(got["y"]))
+
+
+def all_draws(n, replicates, seed=rs.BOOT_SEED):
+    d = rs.Draws(n, replicates, seed)
+    return np.concatenate([d.block(k) for k in range(-(-n // rs.BLOCK_GROUPS))], axis=1)
+
+
+def test_draws_are_multinomial_and_do_not_depend_on_the_task(monkeypatch):
+    monkeypatch.setattr(rs, "BLOCK_GROUPS", 16)
+    for n in (1, 7, 16, 17, 250):
+        m = all_draws(n, 4000)
+        assert m.shape == (4000, n) and (m.sum(1) == n).all() and m.min() >= 0
+        # binomial(n, 1/n) for each group: mean 1, variance 1 - 1/n, covariance -1/n
+        assert np.abs(m.mean(0) - 1).max() < 6 / np.sqrt(4000) and abs(m.var(0).mean() - (1 - 1 / n)) < 0.06
+        if n > 17:
+            c = np.cov(m.T)
+            assert abs(c[np.triu_indices(n, 1)].mean() + 1 / n) < 0.002
+            zero = (1 - 1 / n) ** n
+            assert abs((m == 0).mean() - zero) < 0.01
+        alone = rs.Draws(n, 4000, rs.BOOT_SEED)
+        last = (n - 1) // 16
+        assert (alone.block(last) == m[:, last * 16 :]).all()
+
+
+def test_replicates_equal_listing_by_hand(spark, monkeypatch):
+    """Interval limits from 2,000 replicates against NumPy with the same multiplicities, keys of unlike size, nulls and all."""
+    rng = np.random.default_rng(5)
+    rows = [(k, g, float(rng.gamma(2)) if rng.random() < 0.9 else None, float(rng.integers(0, 5))) for k, n in (("a", 1500), ("b", 1500), ("c", 3)) for g in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "k string, g bigint, x double, w double").repartition(7)
+    got = {(r.k, r.replicate): r for r in rs.replicate_sums(df, ["k"], "g", ["x", "w"]).collect()}
+    assert len(got) == 3 * rs.REPLICATES
+    for k, n in (("a", 1500), ("b", 1500), ("c", 3)):
+        m = all_draws(n, rs.REPLICATES)
+        x = np.array([v for _, v in sorted((g, v or 0.0) for kk, g, v, _ in rows if kk == k)])
+        assert np.allclose([got[k, r].x for r in range(rs.REPLICATES)], m @ x)
+    ci = {r.k: r for r in rs.group_mean_bootstrap(df, ["k"], "g", "x").collect()}
+    x = np.array([v if v is not None else np.nan for _, v in sorted((g, v) for kk, g, v, _ in rows if kk == "a")])
+    m = all_draws(1500, rs.REPLICATES)
+    means = (m @ np.nan_to_num(x)) / (m @ ~np.isnan(x))
+    assert ci["a"].n_replicates == 2000 and np.allclose([ci["a"].ci_low, ci["a"].ci_high], np.percentile(means, [2.5, 97.5]))
+    # rows of several inner keys share the draws of their groups
+    inner = df.withColumn("bin", F.pmod("g", F.lit(2)))
+    b = {(r.k, r.bin): r for r in rs.bootstrap_statistic(inner, ["k"], "g", ["w"], lambda: F.col("w"), within=["bin"]).collect()}
+    w = np.array([v for _, v in sorted((g, v) for kk, g, _, v in rows if kk == "a")])
+    for odd in (0, 1):
+        v = m[:, odd::2] @ w[odd::2]
+        assert np.allclose([b["a", odd].point, b["a", odd].ci_low, b["a", odd].ci_high], [w[odd::2].sum(), *np.percentile(v, [2.5, 97.5])])
+
+
+def test_rows_carry_the_draws_of_their_group(spark):
+    rows = [("a", g, i) for g in range(1100) for i in range(2)] + [("b", 0, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, g bigint, i bigint").repartition(5)
+    got = rs.with_draws(df, ["k"], "g", 40).collect()
+    m = all_draws(1100, 40)
+    assert len(got) == len(rows) and all((np.frombuffer(bytes(r.draws), "<u2") == (m[:, r.g] if r.k == "a" else 1)).all() for r in got)
+
+
 def test_poisson_draws_only_when_asked_for(spark):
     idx = rs.group_index(spark.range(500).select(F.col("id").alias("g")), [], "g")
     assert rs.multiplicities(idx, [], "g", 2).select("draw_method").distinct().collect()[0][0] == "exact"
