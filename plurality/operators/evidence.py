@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..session import cut_lineage
 from .models import SoftRegression
+from .resample import REPLICATES, group_mean_bootstrap
 
 
 def compare_conditions(scored: DataFrame, keys: Sequence[str], clean: str) -> DataFrame:
@@ -23,14 +25,17 @@ def compare_conditions(scored: DataFrame, keys: Sequence[str], clean: str) -> Da
                           "flip": (fn.first_argmax(p) != fn.first_argmax(b)).cast("int")})
 
 
-def condition_table(compared: DataFrame, group: str) -> DataFrame:
-    per = compared.groupBy("condition", group).agg(
+def condition_table(compared: DataFrame, group: str, replicates: int = REPLICATES) -> DataFrame:
+    """Means per condition, and an interval of the paired change over resampled groups; all conditions share the draws."""
+    per = cut_lineage(compared.groupBy("condition", group).agg(
         F.avg("kl").alias("kl"), F.avg("dkl").alias("dkl"), F.sum("js").alias("js"), F.sum("flip").alias("flip"),
-        F.count(F.lit(1)).alias("c"))
+        F.count(F.lit(1)).alias("c")))
     n = F.sum("c")
-    return per.groupBy("condition").agg(
+    means = per.groupBy("condition").agg(
         F.avg("kl").alias("group_kl"), F.avg("dkl").alias("group_dkl"), (F.sum("js") / n).alias("js_mean"),
         (F.sum("flip") / n).alias("flip_share"), n.alias("n_rows"))
+    ci = group_mean_bootstrap(per, ["condition"], group, "dkl", replicates)
+    return means.join(ci.select("condition", "ci_low", "ci_high", "n_groups", "n_replicates"), "condition")
 
 
 def block_importance(cells: DataFrame, scored: DataFrame, model: SoftRegression, bands: DataFrame, view: str,

@@ -41,6 +41,18 @@ def target_mismatches(a: DataFrame, b: DataFrame, key: Sequence[str], columns: S
     return a.join(y, list(key)).agg(F.count(F.lit(1)).alias("n_common"), F.count_if(off).alias("n_mismatch"))
 
 
-def gather(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The requested rows with the position they were asked for in ``pos``."""
-    return ids.join(rows, key)
+def gather(ids: DataFrame, rows: DataFrame, key: str, missing: str = "raise") -> DataFrame:
+    """The requested rows with the position they were asked for in ``pos``.
+
+    An id without a row raises inside the plan, with no pass of its own; ``missing="null"`` keeps
+    it with nulls instead. No requested position is ever lost.
+    """
+    if missing not in ("raise", "null"):
+        raise ValueError("missing is 'raise' or 'null'")
+    j = ids.join(rows.withColumn("__found", F.lit(True)), key, "left")
+    if missing == "raise":
+        text = F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+        # every column of the rows depends on the check, so that none can be had without it
+        found = [F.when(F.col("__found"), F.col(c)).otherwise(F.raise_error(text).cast(t)).alias(c) if c in rows.columns else F.col(c) for c, t in j.dtypes if c != "__found"]
+        return j.select(*found)
+    return j.drop("__found")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..constants import (ALLOWED_EXTENSIONS, FORBIDDEN_EXTENSIONS, FORBIDDEN_NAMES, IDENTIFIER_PATTERN, MAX_EXPORT_BYTES,
                          MAX_FILE_BYTES, SECRET_PATTERNS)
 
+#: Names of columns that identify persons, recordings or rows
+IDENTIFIER_COLUMNS = ("patient_id", "eeg_id", "eeg_sub_id", "spectrogram_id", "spectrogram_sub_id", "label_id", "component")
+
 
 def pattern_scan(df: DataFrame, key: Sequence[str], text: str, patterns: dict[str, str]) -> DataFrame:
     """(key, pattern, hits): every pattern counted over the whole text in one pass, rows with hits only."""
@@ -56,3 +59,20 @@ def precheck(files: DataFrame, cap: int = MAX_EXPORT_BYTES) -> DataFrame:
 def non_finite_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(bad(c)).alias(f"bad_{c}") for c in columns])
+
+
+def identifier_columns(columns: Sequence[str], names: Sequence[str] = IDENTIFIER_COLUMNS) -> list[str]:
+    """Columns of a table to be published that carry identifiers by their name."""
+    return [c for c in columns if c.lower() in names or c.lower().endswith("_id")]
+
+
+def path_like(value: Column) -> Column:
+    """Whether a text is an absolute path of a file system or holds one."""
+    return F.coalesce(value.rlike(r"(?:^|[\s\"'=(])(?:/(?:home|root|Users|mnt|data|tmp|var)/|[A-Za-z]:\\\\)"), F.lit(False))
+
+
+def publishing_check(df: DataFrame, by: Sequence[str], numbers: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """What must be zero before a table is published: values that are not finite, texts with paths, identifier columns."""
+    bad = non_finite_counts(df, by, numbers)
+    paths = df.groupBy(*by).agg(*[F.count_if(path_like(F.col(c))).alias(f"paths_{c}") for c in texts])
+    return bad.join(paths, list(by)).withColumn("id_columns", F.lit(len(identifier_columns([*by, *numbers, *texts]))).cast("bigint"))

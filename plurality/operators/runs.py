@@ -41,14 +41,23 @@ def paired_contrast(df: DataFrame, a: Column, b: Column, pair: Sequence[str], va
                                 F.count(F.lit(1)).alias("n_pairs"))
 
 
-def completeness_gate(df: DataFrame, config: str, seed: str, complete: Column, required: Sequence[int]) -> DataFrame:
-    """PASS only when a configuration has exactly the required seeds and each has a complete run.
+def completeness_gate(df: DataFrame, config: str, seed: str, complete: Column, required: Sequence[int], leaked: Column | None = None) -> DataFrame:
+    """PASS only when a configuration has exactly the required seeds and each has a complete run, and nothing leaks.
 
-    Runs are reduced to one row per (configuration, seed) first; the seed list is then tiny.
+    Runs are reduced to one row per (configuration, seed) first; the seed list is then tiny. ``leaked``
+    is the number of members that partitions share (:func:`leaked_members`); any blocks every configuration.
     """
     per = df.groupBy(config, seed).agg(F.bool_or(complete).alias("whole"))
     need = ",".join(str(s) for s in sorted(required))
     out = per.groupBy(config).agg(F.sort_array(F.collect_set(seed)).alias("s"), F.bool_and("whole").alias("whole"))
     seeds = F.concat_ws(",", F.col("s").cast("array<string>"))
+    leaked = F.lit(0) if leaked is None else leaked
     return out.select(config, seeds.alias("seeds"),
-                      F.when((seeds == need) & F.col("whole"), "PASS").otherwise("INCOMPLETE").alias("status"))
+                      F.when(leaked > 0, "BLOCKED").when((seeds == need) & F.col("whole"), "PASS").otherwise("INCOMPLETE").alias("status"))
+
+
+def leaked_members(rows: DataFrame, keys: Sequence[str], partition: str = "partition") -> Column:
+    """Members of any of the keys that occur in more than one partition, as a scalar for other plans."""
+    long = rows.unpivot([partition], list(keys), "key", "member")
+    per = long.groupBy("key", "member").agg((F.min(partition) != F.max(partition)).alias("shared"))
+    return per.agg(F.count_if("shared")).scalar()

@@ -458,6 +458,15 @@ def g31(spark, d):
         (F.sum("sj") / n).alias("js_mean"), (F.sum("er") / F.sum("ny")).alias("majority_error"), n.alias("n_rows"))
 
 
+@query("g31_robustness_intervals")
+def g31_intervals(spark, d):
+    """Paired change of every condition with its interval; conditions share the draws of the groups."""
+    from ..operators import resample as rs
+
+    per = conditions(spark, d).groupBy("condition", "group_id").agg(F.avg("dkl").alias("gd"))
+    return rs.group_mean_bootstrap(per, ["condition"], "group_id", "gd")
+
+
 @query("g32_development_table", sql(
     f"SELECT r.run_id, r.config, r.seed_no, r.status, r.epochs, r.params, {r('r.tune_kl', 'tune_kl')}, e.best_epoch, {r('e.best_loss', 'best_loss')}, e.examples_seen FROM s_runs r LEFT JOIN ("
     "SELECT run_id, arg_min(epoch, (loss, epoch)) AS best_epoch, min(loss) AS best_loss, sum(examples)::BIGINT AS examples_seen FROM s_revents GROUP BY 1) e ON r.run_id = e.run_id ORDER BY config, seed_no, r.run_id"))
@@ -483,6 +492,17 @@ def g33(spark, d):
     return k.join(q, "method")
 
 
+@query("g33_cost_quality_intervals")
+def g33_intervals(spark, d):
+    """Loss of every method with its interval next to its parameter count, that of the runs that stand for the method."""
+    from ..operators import resample as rs
+
+    per = gp.group_means(scored(spark, d), ["method"], "group_id", ["kl"])
+    ci = rs.group_mean_bootstrap(per, ["method"], "group_id", "kl").select("method", "point", "ci_low", "ci_high", "n_groups", "n_replicates")
+    params = sv.runs(spark, d).select(F.concat(F.lit("m"), F.pmod(F.col("params"), F.lit(3)) + 1).alias("method"), "params")
+    return ci.join(params.groupBy("method").agg(F.min("params").alias("n_parameters")), "method", "left")
+
+
 @query("g34_class_feasibility", sql(
     "SELECT \"partition\", class, sum((yy = class)::INT)::BIGINT AS pos_rows, sum((yy <> class)::INT)::BIGINT AS neg_rows, count(DISTINCT CASE WHEN yy = class THEN group_id END) AS pos_groups,"
     " count(DISTINCT CASE WHEN yy <> class THEN group_id END) AS neg_groups, least(count(DISTINCT CASE WHEN yy = class THEN group_id END), count(DISTINCT CASE WHEN yy <> class THEN group_id END)) < 30 AS low_support"

@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as jn
 from ..operators import runs as rn
+from ..operators.ranking import ordered_prefix
+from ..operators.resample import paired_differences
 from ..sources import standins as sv
 from ..sources.tables import table
 from .groups import conditions
 from .registry import query
-from .sqlkit import klist, r, sql
+from .sqlkit import cte, klist, r, sql
 from .views import scored
 
 
@@ -72,10 +74,21 @@ def f07(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(keep, "o_custkey", "left_semi")
 
 
+cte("s_lrow", "SELECT *, row_number() OVER (ORDER BY label_id) - 1 AS rk FROM s_labels")
+
+
+def asked_ids(spark, d, step):
+    """For every event the id of an existing label, picked by its place among all."""
+    places = ordered_prefix(sv.labels(spark, d).select("label_id"), [], ["label_id"]).select("label_id", (F.col("rank") - 1).alias("rk"), "n_total")
+    n = places.agg(F.max("n_total")).scalar()
+    asked = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * step, n).alias("rk"))
+    return asked.join(places.select("rk", "label_id"), "rk").select("pos", "label_id")
+
+
 @query("f08_ordered_key_lookup", sql(
-    "SELECT e.event_id AS pos, l.label_id, l.group_id, " + r("l.local_valid", "local_valid") + " FROM events e JOIN s_labels l ON l.label_id = (e.event_id * 7) % (SELECT max(label_id) + 1 FROM s_labels)"))
+    "SELECT e.event_id AS pos, l.label_id, l.group_id, " + r("l.local_valid", "local_valid") + " FROM events e JOIN s_lrow l ON l.rk = (e.event_id * 7) % (SELECT count(*) FROM s_lrow)"))
 def f08(spark, d):
-    ids = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * 7, sv.labels(spark, d).agg(F.max("label_id") + 1).scalar()).alias("label_id"))
+    ids = asked_ids(spark, d, 7)
     return jn.gather(ids, sv.labels(spark, d).select("label_id", "group_id", "local_valid"), "label_id")
 
 
@@ -89,10 +102,10 @@ def f09(spark, d):
 @query("f10_paired_method_join", sql(
     f"SELECT seed::BIGINT AS seed, group_id, {r('la', 'la')}, {r('lb', 'lb')}, {r('la-lb', 'delta')} FROM (SELECT seed, group_id, avg(CASE WHEN method='m1' THEN gkl END) AS la, avg(CASE WHEN method='m2' THEN gkl END) AS lb FROM s_gm GROUP BY 1, 2)"))
 def f10(spark, d):
-    s = scored(spark, d, methods=sv.METHODS[:2])
-    per = s.groupBy("seed", "group_id").agg(F.avg(F.when(F.col("method") == "m1", F.col("kl"))).alias("la"),
-                                            F.avg(F.when(F.col("method") == "m2", F.col("kl"))).alias("lb"))
-    return per.withColumn("delta", F.col("la") - F.col("lb"))
+    """Every seed on its own; a group without one of the two methods raises."""
+    s = scored(spark, d, methods=sv.METHODS[:2]).withColumn("one", F.lit(1))
+    per = paired_differences(s, ["seed"], "group_id", "one", "kl", F.col("method") == "m1", F.col("method") == "m2")
+    return per.select("seed", "group_id", "la", "lb", "delta")
 
 
 @query("f11_clean_against_perturbed", sql(
@@ -102,9 +115,9 @@ def f11(spark, d):
 
 
 @query("a13_gather_rows", sql(
-    "SELECT e.event_id AS pos, l.label_id, " + klist("l.v#") + " FROM events e JOIN s_labels l ON l.label_id = (e.event_id * 13) % (SELECT max(label_id) + 1 FROM s_labels) ORDER BY pos"))
+    "SELECT e.event_id AS pos, l.label_id, " + klist("l.v#") + " FROM events e JOIN s_lrow l ON l.rk = (e.event_id * 13) % (SELECT count(*) FROM s_lrow) ORDER BY pos"))
 def a13(spark, d):
-    ids = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.pmod(F.col("event_id") * 13, sv.labels(spark, d).agg(F.max("label_id") + 1).scalar()).alias("label_id"))
+    ids = asked_ids(spark, d, 13)
     rows = sv.votes(spark, d).select("label_id", *[f"v{k}" for k in range(6)])
     return jn.gather(ids, rows, "label_id").orderBy("pos")
 

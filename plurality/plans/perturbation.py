@@ -7,6 +7,7 @@ from ..operators import cells as cl
 from ..operators import evidence as ev
 from ..operators import perturb as pt
 from ..operators import signal as sg
+from ..operators.ranking import histogram_quantiles
 from ..operators.splits import balanced_cases
 from ..session import cut_lineage, join_small
 from ..sources import standins as sv
@@ -100,8 +101,10 @@ def l05(spark, d):
 def l06(spark, d):
     """Loss and shift as local (region, time bin) blocks go, by importance and in a seeded order."""
     z, t, model = fitted(spark, d)
-    y = fn.unique_majority(fn.cols("v"))
-    cases = balanced_cases(t.withColumn("class", y).where(F.col("class") >= 0), ["class"], "row", 8, sp.SEED).select("row")
+    m = t.withColumns({"class": fn.unique_majority(fn.cols("v")), "entropy": F.round(fn.entropy(fn.cols("q")), 9)}).where(F.col("class") >= 0)
+    middle = histogram_quantiles(m, [], "entropy", (0.5,)).select("quantile").scalar()
+    m = m.withColumn("half", F.when(F.col("entropy") <= middle, "low").otherwise("high"))
+    cases = balanced_cases(m, ["class", "half"], "row", 4, sp.SEED).select("row")
     c = cut_lineage(z.join(cases, "row", "left_semi"))
     now = score_conditions(spark, d, c.withColumn("condition", F.lit("now")), model)
     banded = c.withColumn("band", cl.band_of(F.col("fbin"), sp.FE, sp.BANDS)).where(F.col("band").isNotNull())

@@ -201,6 +201,17 @@ def h16(spark, d):
                                              F.avg("d_obs").alias("mean_observed"))
 
 
+@query("h16_disagreement_reliability_intervals")
+def h16_intervals(spark, d):
+    """The same bins with an interval of the observed mean; the bins of a replicate share its draws."""
+    from ..operators import resample as rs
+
+    keys = [*MS, "band"]
+    b = cv.equal_count_bins(disagreement_rows(spark, d), keys, "d_hat", "label_id", 8)
+    per = b.groupBy(*keys, "bin", "group_id").agg(F.sum("d_obs").alias("s"), F.count(F.lit(1)).alias("c"))
+    return rs.bootstrap_statistic(per, keys, "group_id", ["s", "c"], lambda: F.when(F.col("c") > 0, F.col("s") / F.col("c")), within=["bin"])
+
+
 @query("h17_empirical_cdf", sql(
     "SELECT DISTINCT \"partition\", " + r("local_valid", "local_valid") + ", count(*) OVER (PARTITION BY \"partition\", local_valid) AS n_at, "
     + r("cume_dist() OVER (PARTITION BY \"partition\" ORDER BY local_valid)", "share") + " FROM s_labels"))

@@ -112,10 +112,10 @@ def a15(spark, d):
 
 
 @query("n01_final_runs_gate", sql(
-    "SELECT config, string_agg(s::VARCHAR, ',' ORDER BY s) AS seeds, CASE WHEN string_agg(s::VARCHAR, ',' ORDER BY s) = '1,2,3' AND min(whole) THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM ("
+    "SELECT config, string_agg(s::VARCHAR, ',' ORDER BY s) AS seeds, CASE WHEN (SELECT count(*) FROM (SELECT group_id FROM s_labels GROUP BY 1 HAVING count(DISTINCT \"partition\") > 1)) > 0 THEN 'BLOCKED' WHEN string_agg(s::VARCHAR, ',' ORDER BY s) = '1,2,3' AND min(whole) THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM ("
     "SELECT config, seed_no AS s, bool_or(bins = 32) AS whole FROM s_runs WHERE status='PASS' AND epochs = 3 AND fraction = 1.0 GROUP BY 1, 2) GROUP BY 1"))
 def n01(spark, d):
-    from ..operators.runs import completeness_gate
+    from ..operators.runs import completeness_gate, leaked_members
 
     ok = sv.runs(spark, d).where((F.col("status") == "PASS") & (F.col("epochs") == 3) & (F.col("fraction") == 1.0))
-    return completeness_gate(ok, "config", "seed_no", F.col("bins") == 32, (1, 2, 3))
+    return completeness_gate(ok, "config", "seed_no", F.col("bins") == 32, (1, 2, 3), leaked_members(sv.labels(spark, d), ["group_id"]))

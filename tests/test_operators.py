@@ -178,6 +178,32 @@ def test_bootstrap_interval_covers_known_delta(spark):
     assert row.ci_low < -0.05 < row.ci_high < 0 and row.decision == "superiority_supported"
 
 
+def test_gather_keeps_every_position_or_raises(spark):
+    from plurality.operators import joins as jn
+
+    ids = spark.createDataFrame([(0, 5), (1, 7), (2, 5), (3, 9)], "pos int, k int")
+    rows = spark.createDataFrame([(5, "a"), (7, "b")], "k int, x string")
+    with pytest.raises(Exception, match="no row for k 9"):
+        jn.gather(ids, rows, "k").select("x").collect()
+    got = {r.pos: r.x for r in jn.gather(ids, rows, "k", missing="null").collect()}
+    assert got == {0: "a", 1: "b", 2: "a", 3: None}
+    assert jn.gather(ids.where("k < 9"), rows, "k").count() == 3
+
+
+def test_release_names_paths_and_leaks(spark):
+    from plurality.operators import release as rl
+    from plurality.operators import runs as rn
+
+    df = spark.createDataFrame([("m", 1.0, "see /home/x/y.csv"), ("m", float("nan"), "5/7 of all"), ("n", None, "C:\\\\data")], "method string, kl double, note string")
+    got = {r.method: r for r in rl.publishing_check(df, ["method"], ["kl"], ["note"]).collect()}
+    assert (got["m"].bad_kl, got["m"].paths_note, got["n"].bad_kl, got["n"].paths_note, got["m"].id_columns) == (1, 1, 1, 1, 0)
+    assert rl.identifier_columns(["kl", "Patient_ID", "row_id", "component", "width"]) == ["Patient_ID", "row_id", "component"]
+    runs = spark.createDataFrame([("c", s, True) for s in (1, 2, 3)], "config string, seed int, ok boolean")
+    parts = spark.createDataFrame([(1, 5, "train"), (1, 6, "train"), (2, 6, "test")], "g int, rec int, partition string")
+    status = lambda keys: rn.completeness_gate(runs, "config", "seed", F.col("ok"), (1, 2, 3), rn.leaked_members(parts, keys)).first().status
+    assert status(["g"]) == "PASS" and status(["g", "rec"]) == "BLOCKED"
+
+
 def test_unpaired_arms_and_missing_seeds_raise(spark):
     good = [(m, s, g, float(g + s)) for m in "ab" for s in (1, 2) for g in range(4)]
     make = lambda rows: rs.paired_differences(spark.createDataFrame(rows, "m string, seed int, g int, x double"), [], "g", "seed", "x", F.col("m") == "a", F.col("m") == "b")
