@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_small
+from ..session import SMALL_ROWS, cut_lineage
 
 
 def ordered_prefix(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
@@ -131,9 +131,10 @@ def histogram_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seq
     found = cut_lineage(ends.select(*by, "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.explode(places).alias("place")))
     keys = [*by, "place"]
     run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    while not (wide := found.where("lo < hi")).isEmpty():
+    while n_wide := (wide := found.where("lo < hi")).count():
         bounds = wide.select(*keys, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "below")
-        inside = (join_small(v, bounds, by) if by else v.crossJoin(F.broadcast(bounds))).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        bounds = F.broadcast(bounds) if n_wide <= SMALL_ROWS else bounds  # a row per position of a key
+        inside = (v.join(bounds, list(by)) if by else v.crossJoin(bounds)).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
         low, high = F.col("__lo"), F.col("__hi")
         # the width of two doubles may exceed the largest one; their halves' does not
         # a range of many magnitudes is cut by magnitude, else its small values would all share the first bucket round after round

@@ -120,6 +120,14 @@ def i06(spark, d):
     return rs.bootstrap_rows(c, [], "group_id", auroc_statistic, R_TINY)
 
 
+@query("i06_recall_intervals")
+def i06_recall(spark, d):
+    """Recall of every class for every method and seed; the classes of a replicate share its draws."""
+    s = scored(spark, d).where(F.col("y") >= 0)
+    per = s.groupBy(*MS, F.col("y").alias("class"), "group_id").agg(F.sum((F.col("y") == F.col("yhat")).cast("int")).alias("hits"), F.count(F.lit(1)).alias("c"))
+    return rs.bootstrap_statistic(per, MS, "group_id", ["hits", "c"], ratio("hits", "c"), within=["class"])
+
+
 _I7G = "SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS gi FROM (SELECT DISTINCT group_id FROM s_i7)"
 _I7 = "SELECT label_id, group_id, ent, kl FROM s_rows WHERE method='m1' AND seed=101"
 _I7D = draw_sql(R_TINY, "count(*)", "FROM s_i7g").replace("SELECT r,", "SELECT r, j,", 1)

@@ -530,3 +530,33 @@ def test_big_counts_do_not_overflow(spark):
 
     edges = spark.range(20_000_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("bigint").alias("v"))
     assert _signature(edges)[0] == 20_000_000
+
+
+def test_soft_regression_equals_numpy(spark):
+    """Weights and probabilities of the fit on fractional targets against Newton steps in NumPy."""
+    from plurality.operators import models as md
+
+    rng = np.random.default_rng(10)
+    n, f, k, l2 = 400, 3, 6, 1e-3
+    x = rng.normal(size=(n, f)) * [1.0, 5.0, 0.2] + [0.0, 3.0, -1.0]
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    logits = z @ rng.normal(size=(f, k))
+    q = rng.dirichlet(np.ones(k), n) * 0.3 + 0.7 * np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    df = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, q)], [*[f"f{i}" for i in range(f)], *[f"q{i}" for i in range(k)]])
+    m = md.fit_soft_regression(df, [f"f{i}" for i in range(f)], l2=l2)
+    one = np.hstack([z, np.ones((n, 1))])
+    w = np.zeros((k, f + 1))
+    ridge = np.diag([*[2 * l2] * f, 1e-9])
+    for _ in range(30):
+        p = np.exp(one @ w.T - (one @ w.T).max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = (p - q).T @ one / n + w @ ridge
+        hess = np.zeros((k * (f + 1), k * (f + 1)))
+        for a in range(k):
+            for b in range(k):
+                h = (one * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ one / n + (ridge if a == b else 0)
+                hess[a * (f + 1) : (a + 1) * (f + 1), b * (f + 1) : (b + 1) * (f + 1)] = h
+        w -= np.linalg.lstsq(hess, grad.ravel(), rcond=None)[0].reshape(k, f + 1)
+    assert np.allclose(m.weight, w[:, :f], atol=5e-3) and np.allclose(m.mean, x.mean(0)) and np.allclose(m.sd, x.std(0) + 1e-6)
+    got = m.score(df).select(*[f"p{i}" for i in range(k)]).toPandas().to_numpy()
+    assert np.allclose(np.sort(got, 0), np.sort(p, 0), atol=2e-3)
