@@ -31,14 +31,14 @@ def aligned(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return a.join(b, list(key))
 
 
-def target_mismatches(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows whose targets differ between two tables of the same keys."""
+def target_mismatches(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``a``, per ``by``, whose targets differ from those of the same key in ``b``."""
     y = b.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
     off = None
     for c in columns:
         d = ~F.col(c).eqNullSafe(F.col(f"__{c}"))
         off = d if off is None else off | d
-    return a.join(y, list(key)).agg(F.count(F.lit(1)).alias("n_common"), F.count_if(off).alias("n_mismatch"))
+    return a.join(y, list(key)).groupBy(*by).agg(F.count(F.lit(1)).alias("n_common"), F.count_if(off).alias("n_mismatch"))
 
 
 def gather(ids: DataFrame, rows: DataFrame, key: str, missing: str = "raise") -> DataFrame:

@@ -152,15 +152,15 @@ def o02(spark, d):
     return sp.normalised(spark, d).transform(halve_a).groupBy("view", "region").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
 
 
-_O3 = "SELECT method, kl, row_number() OVER w AS rnk, count(*) OVER (PARTITION BY method) AS nn, sum(kl) OVER (PARTITION BY method ORDER BY ent*gate, label_id ROWS UNBOUNDED PRECEDING) AS ck FROM s_rows WHERE seed=101 AND \"partition\"='tune' WINDOW w AS (PARTITION BY method ORDER BY ent*gate, label_id)"
-_O3C = "SELECT method, bucket, coverage, ck/rnk AS risk FROM s_o3 CROSS JOIN s_grid WHERE rnk = greatest(1, least(round_even(coverage*nn, 0), nn))::BIGINT"
+_O3 = "SELECT method, seed, kl, row_number() OVER w AS rnk, count(*) OVER (PARTITION BY method, seed) AS nn, sum(kl) OVER (PARTITION BY method, seed ORDER BY ent*gate, label_id ROWS UNBOUNDED PRECEDING) AS ck FROM s_rows WHERE \"partition\"='tune' WINDOW w AS (PARTITION BY method, seed ORDER BY ent*gate, label_id)"
+_O3C = "SELECT method, seed, bucket, coverage, ck/rnk AS risk FROM s_o3 CROSS JOIN s_grid WHERE rnk = greatest(1, least(round_even(coverage*nn, 0), nn))::BIGINT"
 
 
 @query("o03_referral_score_callback", sql(
-    f"SELECT method, {r('sum(a)', 'aurc')} FROM (SELECT method, (coverage - lag(coverage) OVER w)*(risk + lag(risk) OVER w)/2.0 AS a FROM s_o3c WINDOW w AS (PARTITION BY method ORDER BY bucket)) GROUP BY 1", s_o3=_O3, s_o3c=_O3C))
+    f"SELECT {G}, {r('sum(a)', 'aurc')} FROM (SELECT method, seed, (coverage - lag(coverage) OVER w)*(risk + lag(risk) OVER w)/2.0 AS a FROM s_o3c WINDOW w AS (PARTITION BY method, seed ORDER BY bucket)) GROUP BY 1, 2", s_o3=_O3, s_o3c=_O3C))
 def o03(spark, d):
-    s = scored(spark, d, ("tune",), seeds=(101,)).withColumn("score", referral_score(F.col("ent") * F.col("gate")))
-    return cv.aurc(cv.risk_coverage(s, ["method"], "score", "kl", "label_id"), ["method"]).select("method", "aurc")
+    s = scored(spark, d, ("tune",)).withColumn("score", referral_score(F.col("ent") * F.col("gate")))
+    return cv.aurc(cv.risk_coverage(s, MS, "score", "kl", "label_id"), MS).select(*MS, "aurc")
 
 
 def entropy_scorer(pdf: pd.DataFrame) -> pd.DataFrame:

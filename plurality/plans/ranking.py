@@ -162,15 +162,15 @@ def h13(spark, d):
     return a.withColumn("macro_ap", F.avg("average_precision").over(Window.partitionBy(*MS)))
 
 
-@query("h14_roc_points", sql(f"SELECT {G}, class, {r('score', 'score')}, {r('(cn-cp)/nullif(an-ap,0)', 'fpr')}, {r('cp/nullif(ap,0)', 'tpr')} FROM s_ovc WHERE seed = 101"))
+@query("h14_roc_points", sql(f"SELECT {G}, class, {r('score', 'score')}, {r('(cn-cp)/nullif(an-ap,0)', 'fpr')}, {r('cp/nullif(ap,0)', 'tpr')} FROM s_ovc"))
 def h14(spark, d):
-    return cv.roc_points(_counts(spark, d, seeds=(101,)), MS)
+    return cv.roc_points(_counts(spark, d), MS)
 
 
 @query("h15_precision_recall_points", sql(
-    f"SELECT {G}, class, {r('score', 'score')}, {r('cp/cn', 'precision')}, {r('cp/nullif(ap,0)', 'recall')} FROM s_ovc WHERE seed = 101"))
+    f"SELECT {G}, class, {r('score', 'score')}, {r('cp/cn', 'precision')}, {r('cp/nullif(ap,0)', 'recall')} FROM s_ovc"))
 def h15(spark, d):
-    return cv.pr_points(_counts(spark, d, seeds=(101,)), MS)
+    return cv.pr_points(_counts(spark, d), MS)
 
 
 # Spearman -------------------------------------------------------------------------------
@@ -219,19 +219,20 @@ def h17(spark, d):
     return cv.ecdf(sv.labels(spark, d).select("partition", "local_valid"), ["partition"], "local_valid")
 
 
-cte("s_pv", "SELECT \"partition\" AS family, group_id, min(abs(round(d_obs, 9) - d_hat))::DOUBLE AS p FROM s_rows WHERE seed=101 AND method='m1' AND d_obs IS NOT NULL GROUP BY ALL")
+cte("s_pv", "SELECT method, seed, \"partition\" AS family, group_id, min(abs(round(d_obs, 9) - d_hat))::DOUBLE AS p FROM s_rows WHERE d_obs IS NOT NULL GROUP BY ALL")
 
 
 @query("h18_holm_adjust", sql(
-    f"SELECT family, group_id, {r('p', 'p')}, {r('least(1.0, max((m - i + 1) * p) OVER (PARTITION BY family ORDER BY p, group_id ROWS UNBOUNDED PRECEDING))', 'p_adjusted')} FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, group_id) AS i, count(*) OVER (PARTITION BY family) AS m FROM s_pv)"))
+    f"SELECT {G}, family, group_id, {r('p', 'p')}, {r('least(1.0, max((m - i + 1) * p) OVER (PARTITION BY method, seed, family ORDER BY p, group_id ROWS UNBOUNDED PRECEDING))', 'p_adjusted')} FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY method, seed, family ORDER BY p, group_id) AS i, count(*) OVER (PARTITION BY method, seed, family) AS m FROM s_pv)"))
 def h18(spark, d):
+    """A family for every partition of every method and seed."""
     from ..operators.resample import holm_adjust
 
-    s = scored(spark, d, methods=sv.METHODS[:1], seeds=(101,)).where(F.col("d_obs").isNotNull())
-    p = s.groupBy(F.col("partition").alias("family"), "group_id").agg(
+    s = scored(spark, d).where(F.col("d_obs").isNotNull())
+    p = s.groupBy(*MS, F.col("partition").alias("family"), "group_id").agg(
         F.min(F.abs(F.round("d_obs", 9) - F.col("d_hat"))).alias("p"))
-    return holm_adjust(p, ["family"], "p", "group_id")
+    return holm_adjust(p, [*MS, "family"], "p", "group_id")
 
 
 @query("h19_top_run_per_config", sql(
@@ -254,23 +255,23 @@ def h20(spark, d):
 
 
 # score selection --------------------------------------------------------------------------
-cte("s_sc", "SELECT method, seed, label_id, kl, unnest(['entropy','one_minus_max','d_hat']) AS score_name, unnest([ent, omx, d_hat]) AS score FROM s_rows WHERE \"partition\"='tune' AND seed=101")
-cte("s_sc2", "SELECT *, row_number() OVER w AS rnk, count(*) OVER (PARTITION BY method, score_name) AS nn, sum(kl) OVER (PARTITION BY method, score_name ORDER BY score, label_id ROWS UNBOUNDED PRECEDING) AS ck FROM s_sc WINDOW w AS (PARTITION BY method, score_name ORDER BY score, label_id)")
-cte("s_sc3", f"SELECT method, score_name, bucket, coverage, ck/rnk AS risk FROM s_sc2 CROSS JOIN s_grid WHERE rnk = {_K}")
-cte("s_sc4", "SELECT method, score_name, sum(a) AS aurc FROM (SELECT method, score_name, (coverage - lag(coverage) OVER w)*(risk + lag(risk) OVER w)/2.0 AS a FROM s_sc3 WINDOW w AS (PARTITION BY method, score_name ORDER BY bucket)) GROUP BY ALL")
+cte("s_sc", "SELECT method, seed, label_id, kl, unnest(['entropy','one_minus_max','d_hat']) AS score_name, unnest([ent, omx, d_hat]) AS score FROM s_rows WHERE \"partition\"='tune'")
+cte("s_sc2", "SELECT *, row_number() OVER w AS rnk, count(*) OVER (PARTITION BY method, seed, score_name) AS nn, sum(kl) OVER (PARTITION BY method, seed, score_name ORDER BY score, label_id ROWS UNBOUNDED PRECEDING) AS ck FROM s_sc WINDOW w AS (PARTITION BY method, seed, score_name ORDER BY score, label_id)")
+cte("s_sc3", f"SELECT method, seed, score_name, bucket, coverage, ck/rnk AS risk FROM s_sc2 CROSS JOIN s_grid WHERE rnk = {_K}")
+cte("s_sc4", "SELECT method, seed, score_name, sum(a) AS aurc FROM (SELECT method, seed, score_name, (coverage - lag(coverage) OVER w)*(risk + lag(risk) OVER w)/2.0 AS a FROM s_sc3 WINDOW w AS (PARTITION BY method, seed, score_name ORDER BY bucket)) GROUP BY ALL")
 
 
 @query("h21_referral_score_selection", sql(
-    f"SELECT method, score_name, {r('aurc', 'aurc')}, (row_number() OVER (PARTITION BY method ORDER BY aurc, score_name) = 1) AS selected FROM s_sc4"))
+    f"SELECT {G}, score_name, {r('aurc', 'aurc')}, (row_number() OVER (PARTITION BY method, seed ORDER BY aurc, score_name) = 1) AS selected FROM s_sc4"))
 def h21(spark, d):
-    s = scored(spark, d, ("tune",), seeds=(101,))
+    s = scored(spark, d, ("tune",))
     names = ("entropy", "one_minus_max", "d_hat")
-    long = s.select("method", "label_id", "kl", F.explode(F.array(*[
+    long = s.select(*MS, "label_id", "kl", F.explode(F.array(*[
         F.struct(F.lit(n).alias("score_name"), referral_score(n).alias("score")) for n in names])).alias("z"))
-    long = long.select("method", "label_id", "kl", "z.score_name", "z.score")
-    by = ["method", "score_name"]
+    long = long.select(*MS, "label_id", "kl", "z.score_name", "z.score")
+    by = [*MS, "score_name"]
     a = cv.aurc(cv.risk_coverage(long, by, "score", "kl", "label_id"), by).select(*by, "aurc")
-    w = Window.partitionBy("method").orderBy("aurc", "score_name")
+    w = Window.partitionBy(*MS).orderBy("aurc", "score_name")  # three rows per method and seed
     return a.withColumn("selected", F.row_number().over(w) == 1)
 
 
