@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LOG_FLOOR, NORMAL_CLIP
@@ -125,6 +126,77 @@ def feature_vectors(features: DataFrame, cells: DataFrame, names: Sequence[tuple
     return wide.join(frac, keys)
 
 
+@dataclass(frozen=True)
+class ViewAxes:
+    """A view's grid: regions, frequency edges, time bins, and the central time bins [a, b).
+
+    The centre is held against the other time bins, or against all of them where ``whole``.
+    """
+
+    regions: tuple
+    f_edges: tuple
+    t_bins: int
+    centre: tuple[int, int]
+    whole: bool = False
+
+    def bands(self, bands: Sequence[tuple]) -> dict[str, tuple[int, int]]:
+        """Frequency bins [a, b) whose centres lie in each band; bands without one are left out."""
+        mids = [(a + b) / 2 for a, b in zip(self.f_edges, self.f_edges[1:])]
+        at = {n: [i for i, m in enumerate(mids) if lo <= m < hi] for n, lo, hi in bands}
+        return {n: (i[0], i[-1] + 1) for n, i in at.items() if i}
+
+
+def feature_names(views: dict[str, ViewAxes], bands: Sequence[tuple]) -> list[str]:
+    """Columns of :func:`view_features`: mean and contrast by view, region and band, then the valid fractions."""
+    return [f"{v}_{g}_{b}_{s}" for v, ax in views.items() for b in ax.bands(bands) for g in ax.regions for s in ("mean", "contrast")] + [f"{v}_valid" for v in views]
+
+
+def normalise_grids(grids: DataFrame, stats: DataFrame, by: Sequence[str] = ("view", "region")) -> DataFrame:
+    """:func:`normalise` on grids (keys, view, region, x, observed), inside their arrays."""
+    z = lambda c: F.greatest(F.lit(-NORMAL_CLIP), F.least((c["x"] - F.col("median")) / F.col("scale"), F.lit(NORMAL_CLIP)))
+    x = F.transform(F.arrays_zip("x", "observed"), lambda c: F.when(c["observed"], z(c)).otherwise(0.0))
+    return join_small(grids, stats.select(*by, "median", "scale"), by).withColumn("x", x).drop("median", "scale")
+
+
+def view_features(grids: DataFrame, views: dict[str, ViewAxes], bands: Sequence[tuple], keys: Sequence[str] = ("row",)) -> DataFrame:
+    """One row per key with :func:`feature_names`, from normalised grids (keys, view, region, x, observed).
+
+    Masked sums run over slices of the arrays, so no row per cell exists and only a few sums per
+    grid are shuffled. A mean without valid cells is 0; so are the features of a view or
+    region that a key lacks. Grids of other views or regions are passed over; repeated grids of one
+    key, view and region count as more cells of it.
+    """
+    def sums(ax: ViewAxes, span: tuple[int, int], centre: bool) -> list[Column]:
+        size = (span[1] - span[0]) * ax.t_bins
+
+        def part(c: str) -> Column:
+            x = F.slice(c, span[0] * ax.t_bins + 1, size)
+            return F.filter(x, lambda v, i: (i % ax.t_bins).between(ax.centre[0], ax.centre[1] - 1)) if centre else x
+        return [F.aggregate(part("x"), F.lit(0.0), lambda a, v: a + v), F.size(F.filter(part("observed"), lambda v: v)).cast("bigint")]
+
+    aggs = []
+    for v, ax in views.items():
+        here = F.col("view") == v
+        for b, span in ax.bands(bands).items():
+            whole, centre = sums(ax, span, False), sums(ax, span, True)
+            for g in ax.regions:
+                hit = here & (F.col("region") == g)
+                aggs += [F.coalesce(F.sum(F.when(hit, x)), F.lit(0)).alias(f"{v}_{g}_{b}_{n}") for n, x in zip(("s", "n", "cs", "cn"), whole + centre)]
+        hit = here & F.col("region").isin(*ax.regions)
+        aggs += [F.sum(F.when(hit, F.size(F.filter("observed", lambda o: o)))).alias(f"{v}_seen"), F.sum(F.when(hit, F.size("observed"))).alias(f"{v}_cells")]
+    t = grids.groupBy(*keys).agg(*aggs)
+    out = []
+    for v, ax in views.items():
+        for b in ax.bands(bands):
+            for g in ax.regions:
+                s, n, cs, cn = (F.col(f"`{v}_{g}_{b}_{k}`") for k in ("s", "n", "cs", "cn"))
+                mean, centre = s / F.greatest(n, F.lit(1)), cs / F.greatest(cn, F.lit(1))
+                rest = mean if ax.whole else (s - cs) / F.greatest(n - cn, F.lit(1))
+                out += [mean.alias(f"{v}_{g}_{b}_mean"), (centre - rest).alias(f"{v}_{g}_{b}_contrast")]
+    out += [F.coalesce(F.col(f"`{v}_seen`") / F.greatest(f"{v}_cells", F.lit(1)), F.lit(0.0)).alias(f"{v}_valid") for v in views]
+    return t.select(*keys, *out)
+
+
 def completeness(index: DataFrame, cells: DataFrame, views: Sequence[str], key: str = "row") -> DataFrame:
     """One row: windows lacking a view, and windows whose views are wholly invalid."""
     per = cells.groupBy(key).agg(*[F.max(F.when(F.col("view") == v, F.col("valid").cast("int"))).alias(f"any_{v}") for v in views],

@@ -62,9 +62,8 @@ def m02(spark, d):
     return spark.createDataFrame(rows, "class bigint, feature string, coefficient double")
 
 
-@query("m03_baseline_scoring")
-def m03(spark, d):
-    _, t, m = fitted(spark, d)
+def _against_prior(t, m):
+    """Group and row means of the divergence of the model and of the prior, per partition."""
     b = md.prior(t.where(F.col("partition") == "train"))
     both = m.score(t, "m").withColumns({f"b{k}": x for k, x in enumerate(b)})
     for pre in ("m", "b"):
@@ -73,6 +72,21 @@ def m03(spark, d):
     return gp.group_weighted(both, ["partition"], "recording_id", ["linear", "prior"], row_means=True)
 
 
+@query("m03_baseline_scoring")
+def m03(spark, d):
+    _, t, m = fitted(spark, d)
+    return _against_prior(t, m)
+
+
+@query("m03_all_views")
+def m03_views(spark, d):
+    """The same model on the features of the local and the context view."""
+    v = sv.targets(sv.window_votes(spark, d)).withColumn("partition", sv.partition_of(F.col("recording_id")))
+    x = sp.view_table(spark, d).join(sv.windows(spark, d).select("row", "recording_id"), "row")
+    t = cut_lineage(x.join(v, "recording_id"))
+    return _against_prior(t, md.fit_soft_regression(t.where(F.col("partition") == "train"), sp.VIEW_FEATURES))
+
+
 # temperature --------------------------------------------------------------------------------------
 cte("s_ct", "SELECT method, seed, group_id, " + klist("q#") + ", " + klist("c#") + ", " + klist("ln(c#) AS g#") + " FROM s_clip WHERE \"partition\" = 'calibration_t'")
 _MXG = "greatest(" + klist("g#") + ")"

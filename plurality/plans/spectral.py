@@ -289,6 +289,55 @@ def e20(spark, d):
     return features(normalised(spark, d)).drop("recording_id")
 
 
+# features of the local and the context view together
+VIEWS = {"local": cl.ViewAxes(("A", "B"), FE, len(FOV) - 1, (2, 6)),
+         "context": cl.ViewAxes(_TYPES, tuple(CONTEXT.f_edges), CONTEXT.t_bins, (3, 5), whole=True)}
+VIEW_FEATURES = cl.feature_names(VIEWS, BANDS)
+cte("s_vc", _ctx_sql("SELECT DISTINCT recording_id + 60 AS spectrogram_id, start*10.0::DOUBLE AS o FROM s_win"))
+cte("s_vg", "SELECT \"row\", view, region, fbin, tbin, value, valid FROM s_cell_local UNION ALL SELECT recording_id*100 + start AS \"row\", 'context' AS view, region, fbin, tbin, value, valid"
+    " FROM (SELECT *, recording_id + 60 AS spectrogram_id, start*10.0::DOUBLE AS o FROM s_win) w JOIN s_vc c ON c.spectrogram_id = w.spectrogram_id AND c.o = w.o")
+cte("s_vt", "SELECT g.* FROM s_vg g JOIN s_wtrain USING (\"row\") WHERE valid")
+cte("s_vm", "SELECT view, region, median(value) AS med, stddev_pop(value) AS sd FROM s_vt GROUP BY 1, 2")
+cte("s_vn", "SELECT v.view, v.region, any_value(med) AS med, CASE WHEN 1.4826::DOUBLE*median(abs(value-med)) >= 1e-3 THEN 1.4826::DOUBLE*median(abs(value-med)) WHEN any_value(sd) > 1e-3 THEN any_value(sd) ELSE 1.0 END AS scale"
+    " FROM s_vt v JOIN s_vm m ON m.view = v.view AND m.region = v.region GROUP BY 1, 2")
+cte("s_vz", "SELECT g.\"row\", g.view, g.region, fbin, tbin, valid, CASE WHEN valid THEN greatest(-8.0, least((value-med)/scale, 8.0)) ELSE 0.0 END AS z FROM s_vg g JOIN s_vn n ON n.view = g.view AND n.region = g.region")
+
+
+def _view_columns():
+    for v, ax in VIEWS.items():
+        for b, (lo, hi) in ax.bands(BANDS).items():
+            for g in ax.regions:
+                here = f"view = '{v}' AND region = '{g}' AND fbin >= {lo} AND fbin < {hi} AND valid"
+                mid = f"{here} AND tbin >= {ax.centre[0]} AND tbin < {ax.centre[1]}"
+                rest = here if ax.whole else f"{here} AND NOT (tbin >= {ax.centre[0]} AND tbin < {ax.centre[1]})"
+                yield r(_MM.format(c=here), f"{v}_{g}_{b}_mean")
+                yield r(_MM.format(c=mid) + " - " + _MM.format(c=rest), f"{v}_{g}_{b}_contrast")
+    for v in VIEWS:
+        yield r(f"coalesce(avg(CASE WHEN view = '{v}' THEN valid::INT END), 0.0)", f"{v}_valid")
+
+
+def view_grids(spark, d):
+    """Local and context grids of every window, one row per window, view and region, in the shared folder."""
+    w = sv.windows(spark, d).select("row", (F.col("recording_id") + 60).alias("spectrogram_id"), (F.col("start") * 10.0).alias("offset"))
+    columns = ["row", "view", "region", "x", "observed"]
+    context = w.join(_context(spark, d, w.select("spectrogram_id", "offset").distinct()), ["spectrogram_id", "offset"]).select(columns)
+    return cut_lineage(_stage(spark, d, "cells").where(F.col("view") == "local").select(columns).unionByName(context))
+
+
+def view_table(spark, d):
+    """Features of both views for every window; the normaliser sees training windows only."""
+    g = view_grids(spark, d)
+    seen = g.join(train_windows(spark, d).select("row"), "row", "left_semi").select("view", "region", F.explode(F.arrays_zip("x", "observed")).alias("c"))
+    stats = cl.fit_normaliser(seen.select("view", "region", F.col("c.x").alias("value"), F.col("c.observed").alias("valid")))
+    return cl.view_features(cl.normalise_grids(g, stats), VIEWS, BANDS)
+
+
+@query("e20_all_views", sql("SELECT \"row\", " + ", ".join(_view_columns()) + " FROM s_vz GROUP BY 1"))
+def e20_views(spark, d):
+    """Means and contrasts by view, region and band and the valid fractions, context view included."""
+    return view_table(spark, d)
+
+
 @query("e21_band_masks", sql(
     "SELECT band, fbin, count(*) AS n_cells, sum(valid::INT)::BIGINT AS n_valid FROM s_bz WHERE band IS NOT NULL GROUP BY 1, 2"))
 def e21(spark, d):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plurality import functions as fn
+from plurality.constants import BANDS
 from plurality.operators import calibrate as cb
 from plurality.operators import cells as cl
 from plurality.operators import curves as cv
@@ -87,6 +88,50 @@ def test_normaliser_sees_training_cells_only_and_samples_within_both_bounds(spar
     assert set(zip(s.row, s.fbin)) == set(zip(again.row, again.fbin))
 
 
+def test_view_features_at_the_published_geometry(spark):
+    """74 columns against NumPy: four regions, 64 frequency bins, five bands of one view and four of the other."""
+    rng = np.random.default_rng(4)
+    regions = ("LL", "RL", "LP", "RP")
+    bins = lambda lo, hi: tuple(np.linspace(lo, hi, 65).tolist())
+    views = {"local": cl.ViewAxes(regions, bins(0.5, 40.0), 6, (2, 4)), "context": cl.ViewAxes(regions, bins(0.59, 19.92), 8, (3, 5), whole=True)}
+    names = cl.feature_names(views, BANDS)
+    assert len(names) == len(set(names)) == 74
+    raw, rows = {}, []
+    for row in range(3):
+        for v, ax in views.items():
+            for g in regions:
+                x, ok = rng.normal(2.0, 3.0, (64, ax.t_bins)), rng.random((64, ax.t_bins)) < (0.0 if (row, g) == (1, "RL") else 0.7)
+                raw[row, v, g] = x, ok
+                if (row, v) != (2, "context"):
+                    rows.append((row, v, g, x.ravel().tolist(), ok.ravel().tolist()))
+    rows.append((0, "other", "LL", [1.0], [True]))
+    grids = spark.createDataFrame(rows, "row bigint, view string, region string, x array<double>, observed array<boolean>")
+    stats = spark.createDataFrame([(v, g, 2.0, 0.3 + k) for v in (*views, "other") for k, g in enumerate(regions)], "view string, region string, median double, scale double")
+    got = {x["row"]: x for x in cl.view_features(cl.normalise_grids(grids, stats), views, BANDS).collect()}
+    assert sorted(got) == [0, 1, 2] and got[0].asDict().keys() == {"row", *names}
+    for row in range(3):
+        for v, ax in views.items():
+            mids = (np.array(ax.f_edges[:-1]) + np.array(ax.f_edges[1:])) / 2
+            there = (row, v) != (2, "context")
+            for k, g in enumerate(regions):
+                x, ok = raw[row, v, g]
+                z, w = np.clip((x - 2.0) / (0.3 + k), -8, 8), ok & there
+                inner = np.zeros(ok.shape, bool)
+                inner[:, ax.centre[0]:ax.centre[1]] = True
+                for b, lo, hi in BANDS:
+                    band = ((mids >= lo) & (mids < hi))[:, None]
+                    if not band.any():
+                        continue
+                    mean = lambda m: z[m].sum() / max(m.sum(), 1)
+                    whole = mean(w & band)
+                    rest = whole if ax.whole else mean(w & band & ~inner)
+                    assert got[row][f"{v}_{g}_{b}_mean"] == pytest.approx(whole, abs=1e-9)
+                    assert got[row][f"{v}_{g}_{b}_contrast"] == pytest.approx(mean(w & band & inner) - rest, abs=1e-9)
+            share = np.mean([raw[row, v, g][1].mean() for g in regions]) if there else 0.0
+            assert got[row][f"{v}_valid"] == pytest.approx(share)
+    assert cl.view_features(grids.where("false"), views, BANDS).count() == 0
+
+
 def test_spearman(spark, ties):
     got = rk.spearman(spark.createDataFrame(ties), ["m"], "score", "g").toPandas().set_index("m").spearman
     for m, part in ties.groupby("m"):
