@@ -91,9 +91,9 @@ def sample_blocks(samples: DataFrame, length: int, rec: str = "recording_id") ->
 
 
 def extract_windows(blocks: DataFrame, windows: DataFrame, length: int, rec: str = "recording_id") -> DataFrame:
-    """Fixed-length windows (rec, row, start, parts): the stretches of each channel that a window covers.
+    """Fixed-length windows (rec, row, start, parts, channels): the stretches of each channel that a window covers.
 
-    ``parts`` holds (channel, pos, x): samples from position ``pos`` of the window on, NaN where
+    ``channels`` lists the channels that the recording has, in this window or elsewhere. ``parts`` holds (channel, pos, x): samples from position ``pos`` of the window on, NaN where
     the value and null where the sample is missing; positions in no part are out of range. A
     window never shifts or wraps.
 
@@ -104,15 +104,17 @@ def extract_windows(blocks: DataFrame, windows: DataFrame, length: int, rec: str
     """
     w = windows.select(rec, "row", "start", F.floor(F.col("start") / length).cast("bigint").alias("__b"))
     per = w.groupBy(rec, "__b").agg(F.ceil(F.count(F.lit(1)) / WINDOWS_PER_COPY).cast("int").alias("__copies"))
+    has = blocks.groupBy(rec).agg(F.sort_array(F.collect_set("channel")).alias("channels"))
     both = blocks.withColumn("__b", F.explode(F.array(F.col("block"), F.col("block") - 1)))
-    both = join_small(both, per, [rec, "__b"]).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    per = per.join(has, rec, "left")
+    both = join_small(both, per.drop("channels"), [rec, "__b"]).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     halo = both.groupBy(rec, "__b", "__copy").agg(F.collect_list(F.struct("channel", "block", "x")).alias("__near"))
     dealt = join_small(w, per, [rec, "__b"]).withColumn("__copy", F.pmod(F.xxhash64("row"), F.col("__copies")).cast("int"))
     near = dealt.join(halo, [rec, "__b", "__copy"], "left")
     first = f"greatest(start - p.block * {length}, 0)"
     part = f"struct(p.channel as channel, cast(p.block * {length} + {first} - start as int) as pos, slice(p.x, cast({first} + 1 as int), cast(greatest(least(start + {length} - p.block * {length}, size(p.x)) - {first}, 0) as int)) as x)"
     parts = F.expr(f"filter(transform(coalesce(__near, array()), p -> {part}), p -> size(p.x) > 0)")
-    return near.select(rec, "row", "start", parts.alias("parts"))
+    return near.select(rec, "row", "start", parts.alias("parts"), "channels")
 
 
 def select_rows(rows: DataFrame, labels: DataFrame, key: str, lo: str, hi: str, span: float, block: float) -> DataFrame:

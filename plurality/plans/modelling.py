@@ -43,7 +43,7 @@ FEATURES = [f"{v}_{g}_{b}_{s}" for v, g, b in NAMES for s in ("mean", "contrast"
 
 def window_table(spark, d, cells):
     """Feature vectors of windows with the vote shares and partition of their recording."""
-    x = cl.feature_vectors(sp.features(cells), cells, NAMES, ("local", "uniform"))
+    x = cl.feature_vectors(sp.features(cells), cells, NAMES, ("local", "uniform")).fillna(0.0, subset=FEATURES)  # a lacking region
     v = sv.targets(sv.window_votes(spark, d)).withColumn("partition", sv.partition_of(F.col("recording_id")))
     return x.join(v, "recording_id")
 

@@ -84,7 +84,7 @@ def l04(spark, d):
              "gain_mild": pt.shift_gain(0.5, F.col("scale")), "gain_strong": pt.shift_gain(1.5, F.col("scale"))}
     same = pt.fan_out(z, conds).drop("scale")
     raw = sp.kept_cells(spark, d)
-    wide = sg.encode(sample_windows(spark, d), sp.RC_WIDE)
+    wide = sg.encode(sample_windows(spark, d), sp.RC_WIDE, own=True)
     local = cl.normalise(wide.unionByName(raw.where(F.col("view") == "uniform")), sp.normaliser(spark, d, raw))
     return _audit(spark, d, same.unionByName(local.withColumn("condition", F.lit("wide_frames"))), model, "clean")
 

@@ -370,6 +370,23 @@ def test_truncated_window_is_padded_not_shifted(spark):
     assert f[5] == 45.0 and f[8] == 48.0 and f[12] == 0.0
 
 
+def test_lacking_channels_leave_no_rows(spark):
+    """Recording 1 lacks channel 2 and with it region B, recording 2 has one channel and so no lead."""
+    x = np.arange(32.0).tolist()
+    s = spark.createDataFrame([(1, 0, x), (1, 1, x[:20]), (2, 0, x)], "recording_id bigint, channel bigint, x array<double>")
+    w = spark.createDataFrame([(1, 7, 0), (1, 8, 16), (2, 9, 0)], "recording_id bigint, row bigint, start bigint")
+    rc = sg.Recipe(rate=8.0, length=16, nperseg=8, hop=8, nfft=8, f_edges=(0.5, 2.0), views={"local": [0.0, 1.0, 2.0]}, leads=(("A", 0, 0, 1), ("B", 1, 1, 2)), min_leads=1)
+    win = iv.extract_windows(iv.array_blocks(s, 16), w, 16)
+    rows = lambda stage, *keys, own=True: sorted(r[:] for r in sg.stage_rows(win, rc, stage, own=own).select("row", *keys).collect())
+    assert rows("samples", "channel") == [(7, 0), (7, 1), (8, 0), (8, 1), (9, 0)]
+    assert rows("centred", "region", "lead") == [(7, "A", 0), (8, "A", 0)]
+    assert rows("power", "lead", "frame") == [(r, 0, f) for r in (7, 8) for f in (0, 1)]
+    assert rows("bands", "region", "frame") == [(r, "A", f) for r in (7, 8) for f in (0, 1)]
+    # window 8: channel 1 ends after four samples, the lead's first frame is half seen and its last not at all
+    assert rows("cells", "region", "lead_valid", "seen", "missing") == [(7, "A", 1.0, 1.0, 0), (8, "A", 0.0, 0.625, 0)]
+    assert len(rows("samples", "channel", own=False)) == 9 and len(rows("cells", "region", own=False)) == 6
+
+
 def test_windows_of_a_hot_block_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(iv, "WINDOWS_PER_COPY", 4)
     x = np.arange(100.0)
