@@ -18,6 +18,7 @@ from plurality.operators import ranking as rk
 from plurality.operators import resample as rs
 from plurality.operators import signal as sg
 from plurality.operators import splits as sp
+from plurality.plans.registry import tidy
 
 
 @pytest.fixture(scope="module")
@@ -622,3 +623,10 @@ def test_soft_regression_equals_numpy(spark):
     assert np.allclose(m.weight, w[:, :f], atol=5e-3) and np.allclose(m.mean, x.mean(0)) and np.allclose(m.sd, x.std(0) + 1e-6)
     got = m.score(df).select(*[f"p{i}" for i in range(k)]).toPandas().to_numpy()
     assert np.allclose(np.sort(got, 0), np.sort(p, 0), atol=2e-3)
+
+
+def test_report_rounds_like_the_twins(spark):
+    """DuckDB's round of these to six decimals, on the product with a million."""
+    want = [(1292 / 2560, 0.504687), (0.0000005, 0.000001), (0.5046885, 0.504689), (-1292 / 2560, -0.504687), (-1e-9, 0.0), (1e303, 1e303), (None, None)]
+    got = tidy(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(want)], "i int, x double")).orderBy("i").collect()
+    assert [r.x for r in got] == [y for _, y in want] and str(got[4].x) == "0.0"
