@@ -260,6 +260,31 @@ def test_unpaired_arms_and_missing_seeds_raise(spark):
         make([r for r in good if (r[1], r[2]) != (2, 1)]).collect()
 
 
+def test_ranks_shuffle_rows_once(spark):
+    """Ranks come from places in the checkpoint: after it no row is shuffled or sorted again, whatever a broadcast carries."""
+    df = spark.range(0, 5000, 1, 7).selectExpr("id % 3 as m", "hash(id) % 40 as score", "id")
+    got = rk.ordered_prefix(df, ["m"], ["score", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    pdf = got.toPandas().sort_values(["m", "score", "id"])
+    assert (pdf["rank"] == pdf.groupby("m").cumcount() + 1).all() and (pdf.n_total == pdf.groupby("m").id.transform("size")).all()
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_spearman_with_few_or_many_values(spark, monkeypatch, few):
+    """Both ways to the midranks against pandas, and only the second orders pairs."""
+    monkeypatch.setattr(rk, "SMALL_ROWS", few)
+    asked = []
+    monkeypatch.setattr(rk, "_midranks", lambda *a, _f=rk._midranks: asked.append(a) or _f(*a))
+    rng = np.random.default_rng(8)
+    b = rng.integers(0, 9, 3000)
+    pdf = pd.DataFrame({"m": rng.choice(["x", "y"], 3000), "a": np.round(b / 9 + rng.normal(size=3000), 1), "b": b / 8})
+    got = rk.spearman(spark.createDataFrame(pdf), ["m"], "a", "b").toPandas().set_index("m").spearman
+    for m, p in pdf.groupby("m"):
+        assert got[m] == pytest.approx(p.a.rank().corr(p.b.rank()), abs=1e-12)
+    assert bool(asked) == (few == 0)
+
+
 def test_spearman_of_ties_without_a_value_join(spark):
     rng = np.random.default_rng(7)
     rows = [("x", float(rng.integers(0, 3)), float(rng.integers(0, 4))) for _ in range(3000)] + [("y", 1.0, float(i)) for i in range(5)] + [("z", float(i), float(-i)) for i in range(50)]
