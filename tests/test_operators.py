@@ -285,6 +285,18 @@ def test_spearman_with_few_or_many_values(spark, monkeypatch, few):
     assert bool(asked) == (few == 0)
 
 
+def test_keys_with_as_many_groups_share_draws(spark):
+    """A block of groups is one task's for all keys that draw from as many groups, and the sums are those of its draws."""
+    pdf = pd.DataFrame([(m, g, float(g * k)) for m, k in (("x", 1), ("y", 2)) for g in range(1500)], columns=["m", "g", "v"])
+    r = rs.replicate_sums(spark.createDataFrame(pdf), ["m"], "g", ["v"], replicates=5)
+    plan = r._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [n_groups" in plan
+    draws = rs.Draws(1500, 5, rs.BOOT_SEED)
+    want = np.concatenate([draws.block(0), draws.block(1)], 1) @ np.arange(1500.0)
+    got = r.toPandas().pivot(index="replicate", columns="m", values="v").sort_index()
+    assert np.allclose(got.x, want) and np.allclose(got.y, 2 * want)
+
+
 def test_spearman_of_ties_without_a_value_join(spark):
     rng = np.random.default_rng(7)
     rows = [("x", float(rng.integers(0, 3)), float(rng.integers(0, 4))) for _ in range(3000)] + [("y", 1.0, float(i)) for i in range(5)] + [("z", float(i), float(-i)) for i in range(50)]
