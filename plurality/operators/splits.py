@@ -49,24 +49,52 @@ def cohort_flow(df: DataFrame, group: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root): smallest node id of each connected component, over bigint node ids.
 
-    Alternating large-star and small-star steps; each is one aggregation for the smallest
+    Nodes with one neighbour cannot join two parts, so they are set aside first (:func:`_leaves`) and take
+    the root of their neighbour at the end; the rounds see only what is left. These are
+    alternating large-star and small-star steps; each is one aggregation for the smallest
     neighbour and one join back, so a hub node is combined map-side and split by the adaptive
     skew join, never gathered. Lineage is cut every round; rounds grow with log(diameter).
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    e = cut_lineage(e)
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null or b is not null")
+    e = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    alone = e.where("u = v").select(F.col("u").alias("node"))
+    e = e.where("u <> v")
+    leaves = cut_lineage(_leaves(e))
+    core = cut_lineage(e.join(leaves.select(F.col("leaf").alias("u")), "u", "left_anti").join(leaves.select(F.col("leaf").alias("v")), "v", "left_anti").select("u", "v"))
+    stars = _stars(core, max_rounds)  # every node of the core but the roots
+    hubs = leaves.groupBy(F.col("hub").alias("node")).agg(F.min("leaf").alias("least"))
+    inner = core.select(F.explode(F.array("u", "v")).alias("node")).unionByName(hubs.select("node")).unionByName(alone).distinct()
+    inner = inner.join(hubs, "node", "left").join(stars.select(F.col("u").alias("node"), F.col("v").alias("star")), "node", "left")
+    inner = cut_lineage(inner.select("node", F.coalesce("star", "node").alias("star"), F.least("node", "least").alias("least")))
+    inner = inner.select("node", "star").join(inner.groupBy("star").agg(F.min("least").alias("root")), "star").select("node", "root")
+    outer = leaves.join(inner.select(F.col("node").alias("hub"), "root"), "hub").select(F.col("leaf").alias("node"), "root")
+    # a leaf may also stand alone in a row of its own
+    return inner.join(leaves.select(F.col("leaf").alias("node")), "node", "left_anti").unionByName(outer)
+
+
+def _leaves(e: DataFrame) -> DataFrame:
+    """(leaf, hub): nodes with a single neighbour; of two that have only each other, the larger is the leaf."""
+    both = e.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(e.select(F.col("v").alias("node"), F.col("u").alias("near")))
+    ends = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).where("n = 1").select("node", "near")
+    pair = ends.where("node < near").select("node", F.col("near").alias("back"))
+    back = ends.where("node > near").select(F.col("near").alias("node"), F.col("node").alias("back"))
+    hubs = pair.join(back, ["node", "back"], "left_semi").select("node")
+    return ends.join(hubs, "node", "left_anti").select(F.col("node").alias("leaf"), F.col("near").alias("hub"))
+
+
+def _stars(e: DataFrame, max_rounds: int) -> DataFrame:
+    """Edges (node, root) of the stars that the edges settle into."""
     mark = _signature(e)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if mark[0] else 0):
         e = cut_lineage(_small_star(_large_star(e)))
         now = _signature(e)
         if now == mark:
             break
         mark = now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"))
+        if mark[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return e
 
 
 def _signature(e: DataFrame) -> tuple:
