@@ -214,8 +214,8 @@ _SOFT = ("kl", "ce", "sse", "brier")
     " stddev_samp(gate) AS gate_std FROM s_rows GROUP BY ALL) b JOIN (SELECT method, seed, avg(gkl) AS group_kl, count(*) AS n_groups FROM s_gm GROUP BY ALL) g"
     " ON g.method=b.method AND g.seed=b.seed JOIN s_hard h ON h.method=b.method AND h.seed=b.seed JOIN s_ece e ON e.method=b.method AND e.seed=b.seed"))
 def g16(spark, d):
-    keep = [*MS, "label_id", "group_id", "gate", "y", "yhat", *_SOFT, *[f"{x}{k}" for x in "cq" for k in range(6)]]
-    s = cut_lineage(scored(spark, d).select(*keep))  # three summaries read the same rows
+    keep = [*MS, "label_id", "group_id", "gate", "y", "yhat", *_SOFT, "confidence", "observed"]
+    s = cut_lineage(cv.confidence_rows(scored(spark, d)).select(*keep))  # three summaries read the same rows
     soft = s.groupBy(*MS, "group_id").agg(
         F.count(F.lit(1)).alias("c"), *[F.sum(m).alias(m) for m in _SOFT], F.sum("gate").alias("g1"),
         F.sum(F.col("gate") * F.col("gate")).alias("g2"))
@@ -227,7 +227,8 @@ def g16(spark, d):
         F.sqrt(var).alias("gate_std"))
     hard = hl.hard_summary(hl.per_class(hl.confusion(s, MS), MS), MS).select(
         *MS, "accuracy", "balanced_accuracy", "macro_f1", "mcc", "kappa")
-    e = cv.soft_ece(s, MS, "label_id").select(*MS, "ece")
+    binned = cv.equal_count_bins(s.select(*MS, "label_id", "confidence", "observed"), MS, "confidence", "label_id", 10)
+    e = cv.ece(cv.bin_table(binned, MS), MS).select(*MS, "ece")
     return base.join(hard, MS).join(e, MS)
 
 
