@@ -51,8 +51,13 @@ def window_table(spark, d, cells):
 def fitted(spark, d):
     """(normalised cells, feature table, model); both tables are checkpointed because they are read again."""
     z = cut_lineage(sp.normalised(spark, d))
+    return z, *fitted_on(spark, d, z)
+
+
+def fitted_on(spark, d, z):
+    """(feature table, model) of normalised cells."""
     t = cut_lineage(window_table(spark, d, z))
-    return z, t, md.fit_soft_regression(t.where(F.col("partition") == "train"), FEATURES)
+    return t, md.fit_soft_regression(t.where(F.col("partition") == "train"), FEATURES)
 
 
 @query("m02_soft_logistic_regression")

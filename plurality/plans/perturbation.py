@@ -12,7 +12,7 @@ from ..operators.splits import balanced_cases
 from ..session import cut_lineage, join_small
 from ..sources import standins as sv
 from . import spectral as sp
-from .modelling import FEATURES, NAMES, fitted
+from .modelling import FEATURES, NAMES, fitted, fitted_on
 from .registry import query
 from .sqlkit import r, sql
 from .temporal import sample_windows
@@ -52,8 +52,11 @@ def l02(spark, d):
 def scaled(spark, d):
     """Normalised cells with the scale of their (view, region)."""
     c = sp.kept_cells(spark, d)
-    s = sp.normaliser(spark, d, c)
-    return join_small(cl.normalise(c, s), s.select("view", "region", "scale"), ["view", "region"])
+    return with_scale(c, sp.normaliser(spark, d, c))
+
+
+def with_scale(cells, stats):
+    return join_small(cl.normalise(cells, stats), stats.select("view", "region", "scale"), ["view", "region"])
 
 
 @query("l03_gain_shift", _sum_sql("CASE WHEN valid THEN greatest(-8.0, least(z + 1.5/scale, 8.0)) ELSE 0.0 END", "valid"))
@@ -78,14 +81,15 @@ def _audit(spark, d, cells, model, clean):
 @query("l04_condition_suite")
 def l04(spark, d):
     """Six conditions on the same rows; only the wide-frame one needs cells of its own."""
-    _, _, model = fitted(spark, d)
-    z = cut_lineage(scaled(spark, d))
+    raw = sp.kept_cells(spark, d)
+    stats = cut_lineage(sp.normaliser(spark, d, raw))  # the fit, the conditions and the wide frames share cells and scales
+    z = cut_lineage(with_scale(raw, stats))
+    _, model = fitted_on(spark, d, z.drop("scale"))
     conds = {"clean": pt.keep(), "region_missing": pt.remove_region("A"), "time_mask": pt.mask_time(MASK),
              "gain_mild": pt.shift_gain(0.5, F.col("scale")), "gain_strong": pt.shift_gain(1.5, F.col("scale"))}
     same = pt.fan_out(z, conds).drop("scale")
-    raw = sp.kept_cells(spark, d)
     wide = sg.encode(sample_windows(spark, d), sp.RC_WIDE, own=True)
-    local = cl.normalise(wide.unionByName(raw.where(F.col("view") == "uniform")), sp.normaliser(spark, d, raw))
+    local = cl.normalise(wide.unionByName(raw.where(F.col("view") == "uniform")), stats)
     return _audit(spark, d, same.unionByName(local.withColumn("condition", F.lit("wide_frames"))), model, "clean")
 
 
