@@ -8,330 +8,520 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..session import SMALL_ROWS, cut_lineage, join_small
+from ..session import SMALL_ROWS, cut_lineage
 from .backoff import _numbers, _planes
-from .text import Memo, hash_words, mix, released, rows_of, windows, word_hash
+from .text import hash_words, mix, released, word_hash
 
 #: share of the trusted documents that is trained on; the others set the thresholds
 TRAIN_SHARE = 0.6
 #: bytes of text in a block of documents, whose n-grams ask the model's shards together
-BLOCK_BYTES = 4_000_000
-#: n-grams of the model in a shard, and characters of the documents that ask it
-SHARD_GRAMS, SHARD_CHARS = 1_000_000, 16_000_000
+BLOCK_BYTES = 16_000_000
+#: n-grams of the model in a shard, and characters of the documents that ask it; about how many characters have a new n-gram
+SHARD_GRAMS, SHARD_CHARS, CHARS_PER_WORD = 2_000_000, 64_000_000, 6
+#: words that travel as numbers; others travel as hashes
+WORDS = 1 << 21
 #: the quantile of trusted text that is the threshold
 QUANTILE = 0.99
 #: trusted rows that a threshold rests on at least, and the rank accuracy of its quantile
 LEAST_ROWS, ACCURACY = 30, 10_000
 #: the greatest length bin
 LONGEST = 40
-SHARDS = 16
-
-
-@dataclass
-class Shard:
-    """One hash range of an order's table: sorted keys and a column per value."""
-
-    keys: np.ndarray
-    values: np.ndarray
-
-
-class Table:
-    """Values of n-grams by 64-bit key, in shards by the key's upper bits."""
-
-    def __init__(self, shards: list[Shard], width: int):
-        self.shards, self.width = shards, width
-
-    @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray) -> "Table":
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        cuts = np.searchsorted(keys, np.arange(1, SHARDS, dtype=np.uint64) * np.uint64(2**64 // SHARDS))
-        return Table([Shard(k, v) for k, v in zip(np.split(keys, cuts), np.split(values, cuts))], values.shape[1])
-
-    def join(self, keys: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (0 where absent) and presence for each key where ``live``; the keys are sorted and merged shard by shard."""
-        out, found = np.zeros((len(keys), self.width), np.float32), np.zeros(len(keys), bool)
-        at = np.flatnonzero(live)
-        at = at[np.argsort(keys[at])]
-        sought = keys[at]
-        cuts = np.searchsorted(sought, np.arange(1, SHARDS, dtype=np.uint64) * np.uint64(2**64 // SHARDS))
-        for shard, k, i in zip(self.shards, np.split(sought, cuts), np.split(at, cuts)):
-            if len(shard.keys) and len(k):
-                place = np.minimum(np.searchsorted(shard.keys, k), len(shard.keys) - 1)
-                hit = shard.keys[place] == k
-                out[i[hit]], found[i[hit]] = shard.values[place[hit]], True
-        return out, found
+#: a mark that stands before a word where a bigram's first word would be: words and bigrams share one table
+_ALONE = np.uint64(0x5851F42D4C957F2D)
 
 
 def _language(lang: str | None) -> np.uint64:
     return mix(np.array([word_hash((lang or "").encode())], np.uint64))[0]
 
 
-def _sequence(texts: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of (lang, text) documents, two start marks before each; the document of every place; which places are words.
+def _sequence(lang: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the documents of one language, two start marks before each; the document of every place; which places are words.
 
     The language is part of every hash, so each language has a model of its own.
     """
     parts, sizes = [], []
-    for lang, text in texts:
+    for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        h = np.concatenate([np.zeros(2, np.uint64), hash_words(words)]) ^ _language(lang)
-        parts.append(h)
-        sizes.append(len(h))
-    seq = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    real = np.ones(len(seq), bool)
+        parts += [np.zeros(2, np.uint64), hash_words(words)]
+        sizes.append(len(words) + 2)
+    seq = np.concatenate(parts) ^ _language(lang) if parts else np.empty(0, np.uint64)
+    return seq, *_places(np.array(sizes, np.int64))
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document of every place of a sequence, and which places are words."""
+    real = np.ones(int(sizes.sum()), bool)
     starts = np.cumsum(sizes) - sizes
     real[starts] = real[starts + 1] = False
-    return seq, np.repeat(np.arange(len(sizes)), sizes), real
+    return np.repeat(np.arange(len(sizes)), sizes), real
 
 
-def _keys(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bigram and the trigram that end at each place (0 where there is none)."""
-    two, three = np.zeros(len(seq), np.uint64), np.zeros(len(seq), np.uint64)
-    if len(seq) > 2:
-        two[1:], three[2:] = windows(seq, 2), windows(seq, 3)
-    return two, three
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, byte by byte and compressed: upper bytes are mostly zeros."""
+    body = b"".join(len(c).to_bytes(8, "little") + _planes(np.asarray(c).astype(np.uint64)) for c in columns)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
-class Model:
-    """log P of a word is a sum of table values: its own, its context's and a correction per known n-gram.
+def _unpack(data: bytes) -> list[np.ndarray]:
+    body, at, out = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), 0, []
+    while at < len(body):
+        x, at = _numbers(body, int.from_bytes(body[at : at + 8], "little"), at + 8)
+        out.append(x)
+    return out
+
+
+def _steps(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Differences of numbers that rise until ``new``, where they start again."""
+    return np.where(new, x, x - np.concatenate([x[:1], x[:-1]]))
 
-    An unknown n-gram leaves only its context's back-off weight, so documents need no more
-    than a look-up per n-gram and order, and the values of a document add up.
+
+def _sums(d: np.ndarray, new: np.ndarray) -> np.ndarray:
+    total = np.cumsum(d)
+    at = np.flatnonzero(new)
+    return total - np.repeat(total[at] - d[at], np.diff(at, append=len(d)))
+
+
+class Coder:
+    """Numbers for word hashes: the trained words by falling count, so that frequent ones are short.
+
+    It is a means of writing less, not part of the model: words beyond the list are written as hashes. Only where
+    the list holds every trained word (``whole``) are others known to be new and need no asking.
     """
 
-    def __init__(self, one: Table, two: Table, three: Table, unknown: dict[str, float]):
-        self.tables, self.unknown = (one, two, three), unknown
+    def __init__(self, words: np.ndarray, whole: bool):
+        self.words, self.whole = words, whole
+        self.rank = np.argsort(words)
+        self.sorted = words[self.rank]
+
+    def numbers(self, hashes: np.ndarray, start: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each hash (-1 for words that are known to be new) and the hashes of the numbers beyond the list."""
+        distinct, which = np.unique(np.concatenate([hashes, [start, _ALONE]]), return_inverse=True)
+        out = np.full(len(distinct), -1, np.int64)
+        if len(self.words):
+            place = np.minimum(np.searchsorted(self.sorted, distinct), len(self.words) - 1)
+            hit = self.sorted[place] == distinct
+            out[hit] = self.rank[place[hit]]
+        beyond = np.flatnonzero((out < 0) & ((distinct == start) | (distinct == _ALONE) | (not self.whole)))
+        out[beyond] = len(self.words) + np.arange(len(beyond))
+        return out[which[: len(hashes)]], distinct[beyond]
+
+    def hashes(self, numbers: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        out, listed = np.empty(len(numbers), np.uint64), numbers < len(self.words)
+        out[listed] = self.words[numbers[listed]]
+        out[~listed] = beyond[numbers[~listed] - len(self.words)]
+        return out
 
-    def log_probs(self, texts: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
-        """Words and log probability of each document."""
-        seq, doc, real = _sequence(texts)
-        two, three = _keys(seq)
-        one_v, one_f = self.tables[0].join(seq, np.ones(len(seq), bool))
-        two_v, two_f = self.tables[1].join(two, one_f & _back(one_f, 1))
-        three_v, _ = self.tables[2].join(three, real & two_f & _back(two_f, 1))
-        return _log_probs(texts, doc, real, one_v, one_f, two_v, three_v, self.unknown)
 
+@dataclass
+class Grams:
+    """Distinct bigrams by number (``a, b`` ascending) and the ``n`` words ``c`` that are asked for or known after each, with a column per count.
 
-def _back(x: np.ndarray, n: int) -> np.ndarray:
-    return np.concatenate([np.zeros((n, *x.shape[1:]), x.dtype), x[: len(x) - n]])
+    A word by itself is a bigram after the mark ``_ALONE``. Columns of a bigram are its count as an n-gram and,
+    as a context, its total and how many words follow it once, twice and more often.
+    """
 
+    a: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+    c: np.ndarray
+    beyond: np.ndarray
+    two: list[np.ndarray]
+    three: list[np.ndarray]
 
-def _log_probs(texts: list, doc: np.ndarray, real: np.ndarray, one_v: np.ndarray, one_f: np.ndarray, two_v: np.ndarray, three_v: np.ndarray, unknown: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Words and log probability of each document from the values of the n-grams that end at each place."""
-    new = np.array([unknown.get(lang or "", np.log(1e-9)) for lang, _ in texts])
-    known = one_f & (one_v[:, 0] < 0)
-    value = np.where(known, one_v[:, 0], new[doc]) + _back(one_v, 1)[:, 1] + two_v[:, 0] + _back(two_v, 1)[:, 1] + three_v[:, 0]
-    n = np.bincount(doc[real], minlength=len(texts))
-    return n, np.bincount(doc[real], value[real].astype(np.float64), len(texts))
+    @staticmethod
+    def of(pairs: np.ndarray, width: int, triples: np.ndarray, beyond: np.ndarray, two: list, three: list) -> "Grams":
+        """From sorted keys: a * width + b, and number of the bigram * width + c."""
+        return Grams(pairs // width, pairs % width, np.bincount(triples // width, minlength=len(pairs)), triples % width, beyond, two, three)
+
+    def shards(self, coder: Coder, bits: int) -> np.ndarray:
+        """The shard of each bigram, by its hash."""
+        return _shard(coder.hashes(self.a, self.beyond), coder.hashes(self.b, self.beyond), bits)
+
+    def sent(self, coder: Coder, bits: int) -> list[tuple[int, bytes]]:
+        """What goes to each shard."""
+        shard = self.shards(coder, bits)
+        of_c = np.repeat(shard, self.n)
+        return [(int(s), self._written(coder, shard == s, of_c == s)) for s in np.unique(shard)]
+
+    def _written(self, coder: Coder, i: np.ndarray, j: np.ndarray) -> bytes:
+        a, b, n, c = self.a[i], self.b[i], self.n[i], self.c[j]
+        used = np.unique(np.concatenate([x[x >= len(coder.words)] for x in (a, b, c)]))
+        own = lambda x: np.where(x >= len(coder.words), len(coder.words) + np.searchsorted(used, x), x)
+        a, b, c = own(a), own(b), own(c)
+        new = np.diff(a, prepend=-1) > 0
+        first = np.zeros(len(c), bool)
+        first[(np.cumsum(n) - n)[n > 0]] = True
+        return _pack(_steps(a, np.arange(len(a)) == 0), _steps(b, new), n, _steps(c, first), self.beyond[used - len(coder.words)], *[x[i] for x in self.two], *[x[j] for x in self.three])
 
+    @staticmethod
+    def hashed(data: bytes, coder: Coder, two: int) -> tuple:
+        """Hashes of a and b, n, hashes of c, and the columns, as they were sent."""
+        a, b, n, c, beyond, *columns = _unpack(data)
+        a, n = np.cumsum(a).astype(np.int64), n.astype(np.int64)
+        first = np.zeros(len(c), bool)
+        first[(np.cumsum(n) - n)[n > 0]] = True
+        b, c = _sums(b.astype(np.int64), np.diff(a, prepend=-1) > 0), _sums(c.astype(np.int64), first)
+        columns = [x.astype(np.int64) for x in columns]
+        return coder.hashes(a, beyond), coder.hashes(b, beyond), n, coder.hashes(c, beyond), columns[:two], columns[two:]
 
-def _counts_of_counts(rows: DataFrame, c: str) -> DataFrame:
-    """Modified discounts d1, d2, d3 of an order per language, with plain ones where counts are too few for the formula."""
-    n = rows.groupBy("lang").agg(*[F.count_if(F.col(c) == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    d = [F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")) for k in (1, 2, 3)]
-    return n.select("lang", *[F.when((x > 0) & (x < k), x).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k, x in zip((1, 2, 3), d)])
+    @staticmethod
+    def merged(rows: list[bytes], coder: Coder, start: np.uint64) -> "Grams":
+        """The sum of what was sent with counts."""
+        parts = [Grams.hashed(data, coder, 5) for data in rows]
+        a, b, n, c = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        numbers, beyond = coder.numbers(np.concatenate([a, b, c]), start)
+        width = len(coder.words) + len(beyond)
+        a, b, c = np.split(numbers, [len(a), 2 * len(a)])
+        pairs, of = np.unique(a * width + b, return_inverse=True)
+        triples, at = np.unique(np.repeat(of, n) * width + c, return_inverse=True)
+        total = lambda x, where, k: np.bincount(where, np.concatenate(x), k).astype(np.int64)  # noqa: E731  sums of whole numbers below 2^53
+        two = [total([p[4][k] for p in parts], of, len(pairs)) for k in range(5)]
+        return Grams.of(pairs, width, triples, beyond, two, [total([p[5][0] for p in parts], at, len(triples))])
 
 
-def _discount(c: str):
-    return F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
+def _key(*words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams, a column per word."""
+    out = words[0]
+    for w in words[1:]:
+        out = mix(out) * np.uint64(0x9E3779B97F4A7C15) + w
+    return mix(out)
 
 
-def _contexts(rows: DataFrame, by: list[str], c: str, discounts: DataFrame) -> DataFrame:
-    """Total count of each context and its back-off weight."""
-    g = rows.groupBy(*by).agg(F.sum(c).alias("total"), F.count_if(F.col(c) == 1).alias("m1"), F.count_if(F.col(c) == 2).alias("m2"), F.count_if(F.col(c) > 2).alias("m3"), F.count(F.lit(1)).alias("kinds"))
-    g = join_small(g, discounts, ["lang"])
-    return g.select(*by, "total", "kinds", ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).alias("gamma"))
+def _shard(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return (_key(a, b) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(a), np.int64)
 
 
-def gram_tables(trusted: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """Values of all n-grams of ``trusted(lang, text)``: a table (kind, k, a, b) and the log probability of a new word per language.
+def _context(count: np.ndarray) -> list[np.ndarray]:
+    """What one follower of that count adds to its context: total, once, twice, more often."""
+    return [count, count == 1, count == 2, count > 2]
 
-    Counts, continuation counts and discounts by aggregation, whatever the size of the text. ``kind`` is the
-    order, ``k`` the key; a is the log probability of a word and the correction of longer n-grams, b the back-off
-    weight as a context, null where there is none.
-    """
-    names = ["lang", "k1", "kprev", "k2", "kctx", "k3"]
 
-    def grams(batches):
-        for batch in batches:
-            for rows in rows_of(batch):
-                seq, doc, real = _sequence(rows)
-                two, three = _keys(seq)
-                at = np.flatnonzero(real)
-                langs = np.array([lang or "" for lang, _ in rows], object)[doc[at]]
-                columns = [seq[at], seq[at - 1], two[at], two[at - 1], three[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *[pa.array(c.view(np.int64)) for c in columns]], names=names)
-
-    rows = trusted.select("lang", "text").mapInArrow(released(grams), "lang string, " + ", ".join(f"{c} bigint" for c in names[1:]))
-    tri = cut_lineage(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("c")))
-    bi = cut_lineage(tri.groupBy("lang", "k2", "kprev", "k1").agg(F.count(F.lit(1)).alias("c")))
-    uni = bi.groupBy("lang", "k1").agg(F.count(F.lit(1)).alias("c"))
-    d1, d2, d3 = (cut_lineage(_counts_of_counts(t, "c")) for t in (uni, bi, tri))
-
-    whole = cut_lineage(_contexts(uni, ["lang"], "c", d1))
-    base = join_small(join_small(uni, d1, ["lang"]), whole, ["lang"])
-    p1 = ((F.col("c") - _discount("c")) / F.col("total") + F.col("gamma") / (F.col("kinds") + 1))
-    one = cut_lineage(base.select("lang", "k1", F.log(p1).alias("u")))
-
-    ctx2 = _contexts(bi, ["lang", "kprev"], "c", d2).select("kprev", F.col("total").alias("total2"), F.log("gamma").alias("bow2"))
-    two = join_small(bi, d2, ["lang"]).join(ctx2, "kprev").join(one.select("k1", "u"), "k1")
-    low = F.col("bow2") + F.col("u")
-    two = cut_lineage(two.select("k2", (F.log((F.col("c") - _discount("c")) / F.col("total2") + F.exp(low)) - low).alias("delta2"), (F.log((F.col("c") - _discount("c")) / F.col("total2") + F.exp(low))).alias("p2")))
-
-    ctx3 = _contexts(tri, ["lang", "kctx"], "c", d3).select("kctx", F.col("total").alias("total3"), F.log("gamma").alias("bow3"))
-    three = join_small(tri, d3, ["lang"]).join(ctx3, "kctx").join(two.select("k2", "p2"), "k2")
-    low = F.col("bow3") + F.col("p2")
-    three = three.select("k3", (F.log((F.col("c") - _discount("c")) / F.col("total3") + F.exp(low)) - low).alias("delta3"))
-
-    unknown = {r["lang"]: float(np.log(r["x"])) for r in whole.select("lang", (F.col("gamma") / (F.col("kinds") + 1)).alias("x")).collect()}
-    parts = [
-        one.select(F.col("k1").alias("k"), F.col("u").alias("a")).join(ctx2.select(F.col("kprev").alias("k"), F.col("bow2").alias("b")), "k", "full"),
-        two.select(F.col("k2").alias("k"), F.col("delta2").alias("a")).join(ctx3.select(F.col("kctx").alias("k"), F.col("bow3").alias("b")), "k", "full"),
-        three.select(F.col("k3").alias("k"), F.col("delta3").alias("a"), F.lit(None).cast("double").alias("b"))]
-    kinds = [t.select(F.lit(i).alias("kind"), "k", F.col("a").cast("float"), F.col("b").cast("float")) for i, t in enumerate(parts, 1)]
-    return cut_lineage(kinds[0].unionByName(kinds[1]).unionByName(kinds[2])), unknown
+def _pairs_only(a: np.ndarray, b: np.ndarray, width: int, beyond: np.ndarray, columns: list[np.ndarray]) -> Grams:
+    """Bigrams with summed columns and nothing after them."""
+    pairs, of = np.unique(a * width + b, return_inverse=True)
+    none = np.empty(0, np.int64)
+    return Grams.of(pairs, width, none, beyond, [np.bincount(of, x, len(pairs)).astype(np.int64) for x in columns], [none])
 
 
-def train(trusted: DataFrame) -> Model:
-    """Model of ``trusted(lang, text)`` in this process, for text that is known to be small."""
-    grams, unknown = gram_tables(trusted)
+def _kinds(count: np.ndarray) -> list[int]:
+    """How many n-grams occur once to four times, more than twice, at all, and their total: what discounts and the lowest order need."""
+    return [*(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count > 2).sum()), int((count > 0).sum()), int(count.sum())]
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, ...]:
+    """Modified discounts d1, d2, d3 of an order, with plain ones where counts are too few for the formula."""
+    n, out = (n1, n2, n3, n4), []
+    for k in (1, 2, 3):
+        x = k - (k + 1) * n1 / (n1 + 2 * n2) * n[k] / n[k - 1] if n[k - 1] and n[k] and n1 + n2 else 0
+        out.append(x if 0 < x < k else 0.5 * k)
+    return tuple(out)
+
 
-    def gathered(kind: int, columns: list[str]) -> Table:
-        t = grams.where(F.col("kind") == kind).select("k", *columns).toArrow()
-        values = [t.column(c).fill_null(0).to_numpy() for c in columns]
-        return Table.of(t.column(0).to_numpy().view(np.uint64), np.stack(values, 1))
+@dataclass
+class Language:
+    """Discounts of the three orders, and the lowest order's total, back-off weight and share of a new word."""
 
-    return Model(gathered(1, ["a", "b"]), gathered(2, ["a", "b"]), gathered(3, ["a"]), unknown)
+    discounts: list[tuple[float, ...]]
+    total: float
+    new: float
 
+    @staticmethod
+    def of(kinds: dict[int, list[int]]) -> "Language":
+        d = [_discounts(*kinds[order][:4]) for order in (1, 2, 3)]
+        n1, n2, _, _, more, words, total = kinds[1]
+        return Language(d, total, (d[0][0] * n1 + d[0][1] * n2 + d[0][2] * more) / total / (words + 1))
 
-def _asked(seq: np.ndarray, doc: np.ndarray, real: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order the keys of the n-grams inside documents and the places where they end."""
-    two, three = _keys(seq)
-    inside = np.flatnonzero(np.diff(doc, prepend=-1) == 0)
-    at = np.flatnonzero(real)
-    return [(seq, np.arange(len(seq))), (two[inside], inside), (three[at], at)]
 
+def _interpolated(count: np.ndarray, context: list[np.ndarray], lower: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
+    """Probability under one order from that of the order below, which it is where the context is unknown."""
+    total, once, twice, more = context
+    kept = np.where(count > 0, count - np.array([0, *d])[np.minimum(count, 3)], 0)
+    return np.where(total > 0, (kept + (d[0] * once + d[1] * twice + d[2] * more) * lower) / np.maximum(total, 1), lower)
 
-def _cleared(run):
-    """A function over cogroups after which the worker's memo tables are empty."""
 
-    def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        try:
-            return run(left, right)
-        finally:
-            for memo in Memo.tables:
-                memo.clear()
+class Block:
+    """Documents of one language by the numbers of their words, and the n-grams that they ask for."""
 
-    return group
+    def __init__(self, numbers: np.ndarray, beyond: np.ndarray, sizes: np.ndarray, coder: Coder):
+        self.numbers, self.beyond, self.sizes, self.coder = numbers, beyond, sizes, coder
+        self.doc, self.real = _places(sizes)
+        self.at, self.width = np.flatnonzero(self.real), len(coder.words) + len(beyond)
 
+    @staticmethod
+    def of(lang: str, texts: list[str | None], coder: Coder) -> "Block":
+        seq, doc, _ = _sequence(lang, texts)
+        return Block(*coder.numbers(seq, _language(lang)), np.bincount(doc, minlength=len(texts)), coder)
+
+    def words(self) -> list[np.ndarray]:
+        """For each word the two before it and itself."""
+        return [self.numbers[self.at - k] for k in (2, 1, 0)]
+
+    def counted(self) -> Grams:
+        """All trigrams with their counts, as training sends them."""
+        a, b, c = self.words()
+        pairs, of = np.unique(a * self.width + b, return_inverse=True)
+        triples, count = np.unique(of * self.width + c, return_counts=True)
+        return Grams.of(pairs, self.width, triples, self.beyond, [np.zeros(len(pairs), np.int64)] * 5, [count])
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, Grams]:
+        """Keys of the distinct bigrams and words, of the distinct trigrams, and both as they are sent; none with a word that is known to be new."""
+        a, b, c = self.words()
+        alone = len(self.coder.words) + int(np.flatnonzero(self.beyond == _ALONE)[0])
+        single = np.unique(self.numbers)
+        keys = [alone * self.width + single[single >= 0], (a * self.width + b)[(a >= 0) & (b >= 0)], (b * self.width + c)[(b >= 0) & (c >= 0)]]
+        pairs, known = np.unique(np.concatenate(keys)), (a >= 0) & (b >= 0) & (c >= 0)
+        triples = np.unique(np.searchsorted(pairs, (a * self.width + b)[known]) * self.width + c[known])
+        return pairs, triples, Grams.of(pairs, self.width, triples, self.beyond, [], [])
+
+    def scored(self, told: dict[int, bytes], bits: int, language: Language | None) -> tuple[np.ndarray, np.ndarray]:
+        """Words and log probability of each document from the answers of the shards."""
+        pairs, triples, grams = self.asked()
+        shard = grams.shards(self.coder, bits)
+        of_c, two, three = np.repeat(shard, grams.n), [np.zeros(len(pairs) + 1, np.int64) for _ in range(5)], np.zeros(len(triples) + 1, np.int64)
+        if set(told) != set(shard.tolist()) and language:
+            raise RuntimeError("the documents of a block changed between two passes; write them to a table first")
+        for s, data in told.items():
+            *columns, counts = _unpack(data)
+            i, j = np.flatnonzero(shard == s), np.flatnonzero(of_c == s)
+            if len(i) != len(columns[0]) or len(j) != len(counts):
+                raise RuntimeError("the documents of a block changed between two passes; write them to a table first")
+            for x, y in zip(two, columns):
+                x[i] = y
+            three[j] = counts
+        a, b, c = self.words()
+        alone = len(self.coder.words) + int(np.flatnonzero(self.beyond == _ALONE)[0])
+
+        def found(keys: np.ndarray, key: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            """Places in the sorted keys; the last one, which counts nothing, for what was not asked."""
+            return np.where(ok, np.searchsorted(keys, key), len(keys))
+
+        n = np.bincount(self.doc[self.at], minlength=len(self.sizes))
+        if language is None:
+            return n, n * np.log(1e-9)
+        one_at, before = found(pairs, alone * self.width + c, c >= 0), found(pairs, alone * self.width + b, b >= 0)
+        two_at, context = found(pairs, b * self.width + c, (b >= 0) & (c >= 0)), found(pairs, a * self.width + b, (a >= 0) & (b >= 0))
+        three_at = found(triples, context * self.width + c, (a >= 0) & (b >= 0) & (c >= 0))
+        count = two[0][one_at]
+        p = language.new + np.where(count > 0, count - np.array([0, *language.discounts[0]])[np.minimum(count, 3)], 0) / language.total
+        p = _interpolated(two[0][two_at], [x[before] for x in two[1:]], p, language.discounts[1])
+        p = _interpolated(three[three_at], [x[context] for x in two[1:]], p, language.discounts[2])
+        return n, np.bincount(self.doc[self.at], np.log(p), len(self.sizes))
+
+
+def _told(asks: list[bytes], known: list[bytes], coder: Coder) -> list[bytes]:
+    """What a shard tells each block: the columns of the bigrams and the counts of the trigrams that it asks for, 0 where unknown."""
+    parts = [Grams.hashed(data, coder, 5) for data in known]
+    none, zero = np.empty(0, np.uint64), np.empty(0, np.int64)
+    two = np.concatenate([none, *[_key(a, b) for a, b, *_ in parts]])
+    three = np.concatenate([none, *[_key(np.repeat(a, n), np.repeat(b, n), c) for a, b, n, c, *_ in parts]])
+    columns = [np.concatenate([zero, *[p[4][k] for p in parts]]) for k in range(5)]
+    counts = np.concatenate([zero, *[p[5][0] for p in parts]])
+    by2, by3 = np.argsort(two), np.argsort(three)
+    two, three, columns, counts = two[by2], three[by3], [x[by2] for x in columns], counts[by3]
+
+    def looked_up(keys: np.ndarray, sought: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+        if not len(keys):
+            return [np.zeros(len(sought), np.int64) for _ in values]
+        place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+        return [np.where(keys[place] == sought, v[place], 0) for v in values]
 
-def _told(asks: pa.Table, grams: pa.Table) -> list[bytes]:
-    """What a shard of one order tells each block: which of its keys are known, and their values."""
-    keys = grams.column("k").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, values = keys[order], [grams.column(c).fill_null(0).to_numpy()[order] for c in ("a", "b")]
     out = []
-    for data in asks.column("data").to_pylist():
-        sought = np.cumsum(_numbers(data, int.from_bytes(data[:8], "little"), 8)[0], dtype=np.uint64)
-        place = np.minimum(np.searchsorted(keys, sought), max(len(keys) - 1, 0))
-        hit = keys[place] == sought if len(keys) else np.zeros(len(sought), bool)
-        out.append(len(sought).to_bytes(8, "little") + np.packbits(hit).tobytes() + b"".join(v[place[hit]].astype("<f4").tobytes() for v in (values if len(keys) else [])))
+    for data in asks:
+        a, b, n, c, _, _ = Grams.hashed(data, coder, 0)
+        out.append(_pack(*looked_up(two, _key(a, b), columns), *looked_up(three, _key(np.repeat(a, n), np.repeat(b, n), c), [counts])))
     return out
 
 
-def _answers(told: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values and presence of a block's ``n`` distinct keys of one order, from its answers in the order of the shards."""
-    values, found = [np.zeros((0, 2), np.float32)], [np.zeros(0, bool)]
-    for data in told:
-        m = int.from_bytes(data[:8], "little")
-        hit = np.unpackbits(np.frombuffer(data, np.uint8, (m + 7) // 8, 8), count=m).astype(bool)
-        v = np.zeros((m, 2), np.float32)
-        v[hit] = np.frombuffer(data, "<f4", 2 * hit.sum(), 8 + (m + 7) // 8).reshape(2, -1).T
-        values.append(v)
-        found.append(hit)
-    if sum(map(len, found)) != n:
-        raise RuntimeError("the documents of a block changed between two passes; write them to a table first")
-    return np.concatenate(values), np.concatenate(found)
-
-
-def scored(docs: DataFrame, grams: DataFrame, unknown: dict[str, float]) -> DataFrame:
-    """``docs`` with ``n_words`` and ``log_prob`` under the model of :func:`gram_tables`, whatever its size.
-
-    Each block of documents sends its distinct n-grams to the shards of the table, which hold it by hash; a
-    shard tells the blocks the values of those it knows, and the answers meet the block's documents. A
-    frequent n-gram is one row per block, so no key is hot, and a shard is bounded by ``SHARD_GRAMS`` and
-    ``SHARD_CHARS``. Blocks are numbered by input partition, so ``docs`` must be a table or another plan whose
-    partitions stay the same when it is computed again; answers that do not fit raise.
+@dataclass
+class Shards:
+    """The model: rows (lang, shard, data), 2^``bits`` shards per language, and the words that numbers stand for, broadcast."""
+
+    rows: DataFrame
+    bits: int
+    listed: Broadcast
+
+
+def _blocks(batches, lang_at: int, text_at: int):
+    """Rows of one task in blocks: (number, language, rows), of some ``BLOCK_BYTES`` of text for all languages together."""
+    from pyspark import TaskContext
+
+    number, size, held = TaskContext.get().partitionId() << 32, 0, {}
+    for batch in batches:
+        for i in range(0, batch.num_rows, 32):
+            part = batch.slice(i, 32)
+            langs = [x or "" for x in part.column(lang_at).to_pylist()]
+            for lang in dict.fromkeys(langs):
+                held.setdefault(lang, []).append(part.take([k for k, x in enumerate(langs) if x == lang]))
+            size += pc.sum(pc.binary_length(part.column(text_at))).as_py() or 0
+            if size >= BLOCK_BYTES:
+                for lang, parts in held.items():
+                    yield number, lang, pa.Table.from_batches(parts)
+                    number += 1
+                size, held = 0, {}
+    for lang, parts in held.items():
+        yield number, lang, pa.Table.from_batches(parts)
+        number += 1
+
+
+def _listed(trusted: DataFrame) -> tuple[np.ndarray, bool]:
+    """The most frequent ``WORDS`` trained words at most, by falling count, and whether these are all."""
+
+    def counts(batches):
+        for _, lang, rows in _blocks(batches, 0, 1):
+            seq, _, real = _sequence(lang, rows.column(1).to_pylist())
+            k, c = np.unique(seq[real], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["k", "c"])
+
+    words = trusted.mapInArrow(released(counts), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).persist()
+    steps = sorted(((r["c"], r["n"]) for r in words.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    n, least = 0, 1 << 62
+    for c, more in steps:
+        n += more
+        if n > WORDS:
+            break
+        least = c
+    t = words.where(F.col("c") >= least).toArrow()
+    words.unpersist()
+    k, c = t.column("k").to_numpy().view(np.uint64), t.column("c").to_numpy()
+    return k[np.lexsort((k, -c))], n <= WORDS
+
+
+def gram_tables(trusted: DataFrame, asking: int = 0) -> tuple[Shards, dict[str, Language]]:
+    """Counts of all n-grams of ``trusted(lang, text)`` in hash shards, and what a language needs besides.
+
+    Blocks of documents send their distinct trigrams with counts to the shards of their first two words. A shard
+    adds them up, which also gives what its bigrams are as contexts, and sends the continuation counts of bigrams to
+    theirs; these send those of words. Everything travels as sorted numbers of words, compressed. ``asking`` is
+    how many characters will ask the shards.
+    """
+    trusted = trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    chars = trusted.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, asking / SHARD_CHARS, chars / CHARS_PER_WORD / SHARD_GRAMS))))
+    listed = trusted.sparkSession.sparkContext.broadcast(_listed(trusted))
+    names = ["lang", "shard", "kind", "data", "kinds"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    schema = "lang string, shard int, kind int, data binary, kinds array<bigint>"
+    table = lambda rows: pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=names)
+
+    def grams(batches):
+        coder = Coder(*listed.value)
+        for _, lang, rows in _blocks(batches, 0, 1):
+            sent = Block.of(lang, rows.column(1).to_pylist(), coder).counted().sent(coder, bits)
+            yield from table([(lang, s, 3, data, None) for s, data in sent]).to_batches()
+
+    def summed(t: pa.Table) -> tuple[str, int, Coder, Grams]:
+        lang, coder = t.column("lang")[0].as_py(), Coder(*listed.value)
+        return lang, t.column("shard")[0].as_py(), coder, Grams.merged([x for x in t.column("data").to_pylist() if x], coder, _language(lang))
+
+    def trigrams(t: pa.Table) -> pa.Table:
+        lang, shard, coder, g = summed(t)
+        of, count, width = np.repeat(np.arange(len(g.a)), g.n), g.three[0], len(coder.words) + len(g.beyond)
+        g.two = [np.zeros(len(g.a), np.int64), *[np.bincount(of, x, len(g.a)).astype(np.int64) for x in _context(count)]]
+        ends = _pairs_only(g.b[of], g.c, width, g.beyond, [np.ones(len(of)), *[np.zeros(len(of))] * 4])
+        return table([(lang, s, 3, data, _kinds(count)) for s, data in g.sent(coder, bits)] + [(lang, s, 2, data, None) for s, data in ends.sent(coder, bits)])
+
+    def bigrams(t: pa.Table) -> pa.Table:
+        lang, shard, coder, g = summed(t)
+        at, alone = np.flatnonzero(g.two[0]), len(coder.words) + int(np.flatnonzero(g.beyond == _ALONE)[0])
+        count, mark, zero = g.two[0][at], np.full(2 * len(at), alone), np.zeros(len(at))
+        columns = [np.concatenate([np.ones(len(at)), zero]), *[np.concatenate([zero, x]) for x in _context(count)]]
+        words = _pairs_only(mark, np.concatenate([g.b[at], g.a[at]]), len(coder.words) + len(g.beyond), g.beyond, columns)
+        more = [(lang, -1, 3, None, x) for x in t.column("kinds").to_pylist() if x]
+        return table(more + [(lang, s, 2, data, _kinds(count)) for s, data in g.sent(coder, bits)] + [(lang, s, 1, data, None) for s, data in words.sent(coder, bits)])
+
+    def unigrams(t: pa.Table) -> pa.Table:
+        lang, shard, coder, g = summed(t)
+        return table([(lang, s, 1, data, _kinds(g.two[0])) for s, data in g.sent(coder, bits)])
+
+    rows = trusted.mapInArrow(released(grams), schema).groupBy("lang", "shard").applyInArrow(trigrams, schema)
+    rows = cut_lineage(rows.groupBy("lang", "shard").applyInArrow(bigrams, schema))
+    words = cut_lineage(rows.where("kind = 1").groupBy("lang", "shard").applyInArrow(unigrams, schema))
+    rows = rows.where("kind > 1").unionByName(words)
+    found: dict[str, dict[int, list[int]]] = {}
+    for r in rows.where("kinds is not null").groupBy("lang", "kind").agg(F.array(*[F.sum(F.col("kinds")[k]) for k in range(7)]).alias("kinds")).collect():
+        found.setdefault(r["lang"], {})[r["kind"]] = r["kinds"]
+    model = Shards(rows.where("data is not null").select("lang", "shard", "data"), bits, listed)
+    return model, {lang: Language.of(kinds) for lang, kinds in found.items()}
+
+
+class Model:
+    """The model in this process."""
+
+    def __init__(self, rows: dict[str, dict[int, list[bytes]]], coder: Coder, bits: int, languages: dict[str, Language]):
+        self.rows, self.coder, self.bits, self.languages = rows, coder, bits, languages
+
+    def log_probs(self, texts: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
+        """Words and log probability of each document."""
+        n, lp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for lang in {lang or "" for lang, _ in texts}:
+            at = [i for i, (x, _) in enumerate(texts) if (x or "") == lang]
+            block = Block.of(lang, [texts[i][1] for i in at], self.coder)
+            known = self.rows.get(lang, {})
+            told = {s: _told([data], known.get(s, []), self.coder)[0] for s, data in block.asked()[2].sent(self.coder, self.bits)}
+            n[at], lp[at] = block.scored(told, self.bits, self.languages.get(lang))
+        return n, lp
+
+
+def train(trusted: DataFrame) -> Model:
+    """Model of ``trusted(lang, text)`` in this process, for text that is known to be small."""
+    model, languages = gram_tables(trusted)
+    rows: dict[str, dict[int, list[bytes]]] = {}
+    for r in model.rows.collect():
+        rows.setdefault(r["lang"], {}).setdefault(r["shard"], []).append(bytes(r["data"]))
+    return Model(rows, Coder(*model.listed.value), model.bits, languages)
+
+
+def scored(docs: DataFrame, model: Shards, languages: dict[str, Language], without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``n_words`` and ``log_prob`` under the model of :func:`gram_tables`, whatever its size; columns ``without`` are left out.
+
+    Each block of documents sends its distinct n-grams to the shards, which hold the counts by hash; a shard
+    tells the blocks the counts of those it knows, and the answers meet the block's documents, which travel as
+    numbers of words. A frequent n-gram is one row per block, so no key is hot. Blocks are numbered by input
+    partition, so ``docs`` must be a table or another plan whose partitions stay the same when it is computed
+    again; answers that do not fit raise.
     """
     docs = docs.drop("n_words", "log_prob")
-    columns = docs.columns
-    at = [columns.index(c) for c in ("lang", "text")]
-    chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, chars / SHARD_CHARS, grams.count() / SHARD_GRAMS))))
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 32):
-                part = batch.slice(i, 32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([block] * part.num_rows, pa.int64())], names=[*columns, "__block"])
-                size += pc.sum(pc.binary_length(part.column(at[1]))).as_py() or 0
-                if size >= BLOCK_BYTES:
-                    block, size = block + 1, 0
-
-    def questions(block: int, texts: list) -> pa.RecordBatch:
-        rows = []
-        for kind, (keys, _) in enumerate(_asked(*_sequence(texts)), 1):
-            keys = np.unique(keys)
-            cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-            rows += [(shard, kind, block, len(k).to_bytes(8, "little") + _planes(np.diff(k, prepend=np.uint64(0)))) for shard, k in enumerate(np.split(keys, cuts)) if len(k)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["shard", "kind", "block", "data"])
+    lang_at, text_at = (docs.columns.index(c) for c in ("lang", "text"))
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name not in without]
+    fields = [docs.schema.fields[i] for i in kept]
+    bits, listed, none = model.bits, model.listed, lambda x: pa.array(x, pa.binary())
 
     def ask(batches):
-        now, texts = None, []
-        for batch in batches:
-            for rows in rows_of(batch):
-                for lang, text, block in rows:
-                    if block != now and texts:
-                        yield questions(now, texts)
-                        texts = []
-                    now = block
-                    texts.append((lang, text))
-        if texts:
-            yield questions(now, texts)
+        coder = Coder(*listed.value)
+        for number, lang, rows in _blocks(batches, lang_at, text_at):
+            sent = Block.of(lang, rows.column(text_at).to_pylist(), coder).asked()[2].sent(coder, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sent)), pa.array([s for s, _ in sent], pa.int32()), pa.array([number] * len(sent), pa.int64()), none([x for _, x in sent])], names=["lang", "shard", "block", "data"])
+
+    def own(batches):
+        coder = Coder(*listed.value)
+        for number, lang, rows in _blocks(batches, lang_at, text_at):
+            block = Block.of(lang, rows.column(text_at).to_pylist(), coder)
+            held = pa.StructArray.from_arrays([rows.column(i).combine_chunks() for i in kept], names=[f.name for f in fields])
+            held = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), none([_pack(block.numbers + 1, block.beyond, block.sizes)]), held], names=["own_block", "lang", "data", "rows"])
 
     def tell(asks: pa.Table, known: pa.Table) -> pa.Table:
-        keys = [asks.column(c) for c in ("block", "shard", "kind")]
-        return pa.table([*keys, pa.array(_told(asks, known), pa.binary())], names=["block", "shard", "kind", "data"])
-
-    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
-        texts = list(zip(*(rows.column(k).to_pylist() for k in at)))
-        seq, doc, real = _sequence(texts)
-        told = told.sort_by([("kind", "ascending"), ("shard", "ascending")])
-        values, found = [], []
-        for kind, (keys, places) in enumerate(_asked(seq, doc, real), 1):
-            distinct, which = np.unique(keys, return_inverse=True)
-            v, f = _answers(told.filter(pc.equal(told.column("kind"), kind)).column("data").to_pylist(), len(distinct))
-            values.append(np.zeros((len(seq), 2), np.float32))
-            found.append(np.zeros(len(seq), bool))
-            values[-1][places], found[-1][places] = v[which], f[which]
-        n, lp = _log_probs(texts, doc, real, values[0], found[0], values[1], values[2], unknown)
-        return pa.table([*rows.columns[: len(columns)], pa.array(n, pa.int64()), pa.array(lp, pa.float64())], names=[*columns, "n_words", "log_prob"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    numbered = docs.mapInArrow(number, f"{fields}, __block bigint")
-    asked = numbered.select("lang", "text", "__block").mapInArrow(released(ask), "shard int, kind int, block bigint, data binary")
-    shard = F.expr(f"cast(shiftrightunsigned(k, {64 - bits}) as int)") if bits else F.lit(0)
-    known = grams.select(shard.alias("shard"), "kind", "k", "a", "b")
-    answers = asked.groupBy("shard", "kind").cogroup(known.groupBy("shard", "kind")).applyInArrow(tell, "block bigint, shard int, kind int, data binary")
-    return numbered.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_cleared(score), f"{fields}, n_words bigint, log_prob double")
+        data = _told(asks.column("data").to_pylist(), known.column("data").to_pylist(), Coder(*listed.value))
+        return pa.table([asks.column("block"), asks.column("shard"), none(data)], names=["block", "shard", "data"])
+
+    def score(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        out, coder = [], Coder(*listed.value)
+        answers = dict(zip(told.column("shard").to_pylist(), told.column("data").to_pylist()))
+        for lang, data, rows in zip(blocks.column("lang").to_pylist(), blocks.column("data").to_pylist(), blocks.column("rows").combine_chunks()):
+            numbers, beyond, sizes = _unpack(data)
+            n, lp = Block(numbers.astype(np.int64) - 1, beyond, sizes.astype(np.int64), coder).scored(answers, bits, languages.get(lang))
+            out.append(pa.table([*rows.values.flatten(), pa.array(n, pa.int64()), pa.array(lp, pa.float64())], names=[*[f.name for f in fields], "n_words", "log_prob"]))
+        return pa.concat_tables(out)
+
+    asked = docs.mapInArrow(released(ask), "lang string, shard int, block bigint, data binary")
+    answers = asked.groupBy("lang", "shard").cogroup(model.rows.groupBy("lang", "shard")).applyInArrow(tell, "block bigint, shard int, data binary")
+    mine = docs.mapInArrow(released(own), StructType([StructField("own_block", LongType()), StructField("lang", StringType()), StructField("data", BinaryType()), StructField("rows", ArrayType(StructType(fields)))]))
+    return mine.groupBy("own_block").cogroup(answers.groupBy("block")).applyInArrow(score, StructType([*fields, StructField("n_words", LongType()), StructField("log_prob", DoubleType())]))
 
 
 def length_bin(words: Column) -> Column:
@@ -366,8 +556,8 @@ def _with_small(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, "left")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``n_words, log_prob, perplexity, threshold`` (perplexity) and ``kept``.
+def classify(docs: DataFrame, labels: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``n_words, log_prob, perplexity, threshold`` (perplexity) and ``kept``; columns ``without`` are left out.
 
     Trusted text: documents labelled quality 1 and not toxic, all of them. A seeded hash of the id deals
     ``TRAIN_SHARE`` of them to training and the others to the thresholds per language and length
@@ -388,15 +578,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = F.broadcast(good) if small else good
     trusted = docs.select(F.col("doc_id").alias("__id"), F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null").join(good, "__id", "left_semi")
     dealt = F.pmod(F.xxhash64("__id", F.lit(20)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    grams, unknown = gram_tables(trusted.where(dealt < TRAIN_SHARE))
+    chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    model, languages = gram_tables(trusted.where(dealt < TRAIN_SHARE), chars)
     held_out = trusted.where(dealt >= TRAIN_SHARE).select("lang", "text")
     held_out = held_out if small else cut_lineage(held_out)  # rows of a shuffled join come in another order each time
-    limits = cut_lineage(thresholds(scored(held_out, grams, unknown)))
-    rows = scored(docs, grams, unknown).withColumns({"__lang": F.coalesce("lang", F.lit("")), "__length": F.least(length_bin(F.col("n_words")), F.lit(LONGEST))})
+    limits = cut_lineage(thresholds(scored(held_out, model, languages, ("text",))))
+    rows = scored(docs, model, languages, without).withColumns({"__lang": F.coalesce("lang", F.lit("")), "__length": F.least(length_bin(F.col("n_words")), F.lit(LONGEST))})
     own = limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("length").alias("__length"), F.struct("rank", "threshold").alias("__own"))
     pooled = limits.where("lang is null").select(F.col("length").alias("__length"), F.struct("rank", "threshold").alias("__pooled"))
     rows = _with_small(_with_small(rows, own, ["__lang", "__length"]), pooled, ["__length"])
     limit = F.least("__own", "__pooled")["threshold"]  # nulls aside, the smaller rank
     mean = F.when(F.col("n_words") > 0, -F.col("log_prob") / F.col("n_words"))
     rows = rows.withColumns({"perplexity": F.exp(mean), "threshold": F.exp(limit), "kept": (F.col("n_words") > 0) & F.coalesce(mean <= limit, F.lit(True))})
-    return rows.select(*docs.columns, "n_words", "log_prob", "perplexity", "threshold", "kept")
+    return rows.select(*[c for c in docs.columns if c not in without], "n_words", "log_prob", "perplexity", "threshold", "kept")
