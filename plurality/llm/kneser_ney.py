@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ BLOCK_BYTES = 16_000_000
 SHARD_GRAMS, SHARD_CHARS, CHARS_PER_WORD = 2_000_000, 64_000_000, 6
 #: words that travel as numbers; others travel as hashes
 WORDS = 1 << 21
+#: distinct words of a block up to which three of them fit in one number
+WIDEST = 1 << 21
 #: the quantile of trusted text that is the threshold
 QUANTILE = 0.99
 #: trusted rows that a threshold rests on at least, and the rank accuracy of its quantile
@@ -95,17 +98,21 @@ class Coder:
 
     def __init__(self, words: np.ndarray, whole: bool):
         self.words, self.whole = words, whole
-        self.rank = np.argsort(words)
-        self.sorted = words[self.rank]
+
+    @cached_property
+    def by_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        rank = np.argsort(self.words)
+        return self.words[rank], rank
 
     def numbers(self, hashes: np.ndarray, start: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """A number for each hash (-1 for words that are known to be new) and the hashes of the numbers beyond the list."""
         distinct, which = np.unique(np.concatenate([hashes, [start, _ALONE]]), return_inverse=True)
         out = np.full(len(distinct), -1, np.int64)
         if len(self.words):
-            place = np.minimum(np.searchsorted(self.sorted, distinct), len(self.words) - 1)
-            hit = self.sorted[place] == distinct
-            out[hit] = self.rank[place[hit]]
+            known, rank = self.by_hash
+            place = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+            hit = known[place] == distinct
+            out[hit] = rank[place[hit]]
         beyond = np.flatnonzero((out < 0) & ((distinct == start) | (distinct == _ALONE) | (not self.whole)))
         out[beyond] = len(self.words) + np.arange(len(beyond))
         return out[which[: len(hashes)]], distinct[beyond]
@@ -245,45 +252,81 @@ def _interpolated(count: np.ndarray, context: list[np.ndarray], lower: np.ndarra
 
 
 class Block:
-    """Documents of one language by the numbers of their words, and the n-grams that they ask for."""
+    """Documents of one language by the numbers of their words, and the n-grams that they ask for.
+
+    A question is a key of three places in the sorted list of the block's words: the two words before a word and the
+    word, or none as the third. Every document asks for its last two words too and the block for every word by itself
+    (after a mark), so a place's bigram is the context of the place after it.
+    """
 
     def __init__(self, numbers: np.ndarray, beyond: np.ndarray, sizes: np.ndarray, coder: Coder):
         self.numbers, self.beyond, self.sizes, self.coder = numbers, beyond, sizes, coder
         self.doc, self.real = _places(sizes)
-        self.at, self.width = np.flatnonzero(self.real), len(coder.words) + len(beyond)
+        self.alone = len(coder.words) + int(np.flatnonzero(beyond == _ALONE)[0])
+        there = np.zeros(len(coder.words) + len(beyond), bool)
+        there[numbers[numbers >= 0]] = there[self.alone] = True
+        there = np.concatenate([there, [False]])  # for -1
+        self.listed = np.flatnonzero(there)
+        self.width = len(self.listed) + 1
+        self.local = np.where(there, np.cumsum(there), 0)[numbers]  # from 1, 0 for new words
+        self.mark = int(np.searchsorted(self.listed, self.alone)) + 1
+        self.single = np.delete(np.arange(1, self.width), self.mark - 1)
 
     @staticmethod
     def of(lang: str, texts: list[str | None], coder: Coder) -> "Block":
         seq, doc, _ = _sequence(lang, texts)
         return Block(*coder.numbers(seq, _language(lang)), np.bincount(doc, minlength=len(texts)), coder)
 
-    def words(self) -> list[np.ndarray]:
-        """For each word the two before it and itself."""
-        return [self.numbers[self.at - k] for k in (2, 1, 0)]
+    @cached_property
+    def contexts(self) -> list[np.ndarray]:
+        """Two words before each word, the last two of each document, and the mark and each single word; 0 for those with a new word."""
+        x, at, ends = np.concatenate([self.local, [0, 0]]), np.flatnonzero(self.real), np.cumsum(self.sizes)
+        before = lambda i: np.where((x[i - 2] > 0) & (x[i - 1] > 0), x[i - 2] * self.width + x[i - 1], 0)
+        return [before(at), before(ends), self.mark * self.width + self.single]
+
+    @cached_property
+    def dense(self) -> np.ndarray | None:
+        """The distinct contexts, where three words do not fit in 63 bits."""
+        return np.unique(np.concatenate([[0], *self.contexts])) if self.width >= WIDEST else None
+
+    def keys(self) -> list[np.ndarray]:
+        """Questions of the words' places, of the documents' ends and of the single words, below ``width`` where the context has a new word."""
+        words, *others = self.contexts if self.dense is None else [np.searchsorted(self.dense, x) for x in self.contexts]
+        return [words * self.width + self.local[self.real], *[x * self.width for x in others]]
+
+    def grams(self, keys: np.ndarray, two: list, three: list) -> Grams:
+        """Distinct keys in order as they are sent."""
+        context, c = keys // self.width, keys % self.width
+        first = np.diff(context, prepend=-1) > 0
+        pairs = context[first] if self.dense is None else self.dense[context[first]]
+        n = np.add.reduceat((c > 0).astype(np.int64), np.flatnonzero(first)) if len(keys) else np.empty(0, np.int64)
+        return Grams(self.listed[pairs // self.width - 1], self.listed[pairs % self.width - 1], n, self.listed[c[c > 0] - 1], self.beyond, two, three)
 
     def counted(self) -> Grams:
-        """All trigrams with their counts, as training sends them."""
-        a, b, c = self.words()
-        pairs, of = np.unique(a * self.width + b, return_inverse=True)
-        triples, count = np.unique(of * self.width + c, return_counts=True)
-        return Grams.of(pairs, self.width, triples, self.beyond, [np.zeros(len(pairs), np.int64)] * 5, [count])
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray, Grams]:
-        """Keys of the distinct bigrams and words, of the distinct trigrams, and both as they are sent; none with a word that is known to be new."""
-        a, b, c = self.words()
-        alone = len(self.coder.words) + int(np.flatnonzero(self.beyond == _ALONE)[0])
-        single = np.unique(self.numbers)
-        keys = [alone * self.width + single[single >= 0], (a * self.width + b)[(a >= 0) & (b >= 0)], (b * self.width + c)[(b >= 0) & (c >= 0)]]
-        pairs, known = np.unique(np.concatenate(keys)), (a >= 0) & (b >= 0) & (c >= 0)
-        triples = np.unique(np.searchsorted(pairs, (a * self.width + b)[known]) * self.width + c[known])
-        return pairs, triples, Grams.of(pairs, self.width, triples, self.beyond, [], [])
+        """All trigrams with their counts, as training sends them; it knows every word."""
+        keys, count = np.unique(self.keys()[0], return_counts=True)
+        g = self.grams(keys, [], [count])
+        g.two = [np.zeros(len(g.a), np.int64)] * 5
+        return g
+
+    def asked(self) -> Grams:
+        """All questions, none with a context that is known to be new."""
+        keys = np.unique(np.concatenate(self.keys()))
+        return self.grams(keys[keys >= self.width], [], [])
 
     def scored(self, told: dict[int, bytes], bits: int, language: Language | None) -> tuple[np.ndarray, np.ndarray]:
         """Words and log probability of each document from the answers of the shards."""
-        pairs, triples, grams = self.asked()
-        shard = grams.shards(self.coder, bits)
-        of_c, two, three = np.repeat(shard, grams.n), [np.zeros(len(pairs) + 1, np.int64) for _ in range(5)], np.zeros(len(triples) + 1, np.int64)
-        if set(told) != set(shard.tolist()) and language:
+        at = np.flatnonzero(self.real)
+        n = np.bincount(self.doc[at], minlength=len(self.sizes))
+        if language is None:
+            return n, n * np.log(1e-9)
+        words, ends, single = self.keys()
+        keys, which = np.unique(np.concatenate([np.zeros(1, np.int64), words, ends, single]), return_inverse=True)
+        skipped = int(np.searchsorted(keys, self.width))  # keys without a context
+        g = self.grams(keys[skipped:], [], [])
+        shard = g.shards(self.coder, bits)
+        of_c, two, three = np.repeat(shard, g.n), [np.zeros(len(g.a) + 1, np.int64) for _ in range(5)], np.zeros(len(g.c) + 1, np.int64)
+        if set(told) != set(shard.tolist()):
             raise RuntimeError("the documents of a block changed between two passes; write them to a table first")
         for s, data in told.items():
             *columns, counts = _unpack(data)
@@ -293,24 +336,23 @@ class Block:
             for x, y in zip(two, columns):
                 x[i] = y
             three[j] = counts
-        a, b, c = self.words()
-        alone = len(self.coder.words) + int(np.flatnonzero(self.beyond == _ALONE)[0])
-
-        def found(keys: np.ndarray, key: np.ndarray, ok: np.ndarray) -> np.ndarray:
-            """Places in the sorted keys; the last one, which counts nothing, for what was not asked."""
-            return np.where(ok, np.searchsorted(keys, key), len(keys))
-
-        n = np.bincount(self.doc[self.at], minlength=len(self.sizes))
-        if language is None:
-            return n, n * np.log(1e-9)
-        one_at, before = found(pairs, alone * self.width + c, c >= 0), found(pairs, alone * self.width + b, b >= 0)
-        two_at, context = found(pairs, b * self.width + c, (b >= 0) & (c >= 0)), found(pairs, a * self.width + b, (a >= 0) & (b >= 0))
-        three_at = found(triples, context * self.width + c, (a >= 0) & (b >= 0) & (c >= 0))
-        count = two[0][one_at]
+        # of each key the place of its bigram and of its trigram; the last one, which counts nothing, for none
+        asked, c = keys[skipped:], keys[skipped:] % self.width > 0
+        pair = np.concatenate([np.full(skipped, -1), np.cumsum(np.diff(asked // self.width, prepend=-1) > 0) - 1])[which[1:]]
+        triple = np.concatenate([np.full(skipped, -1), np.where(c, np.cumsum(c) - 1, -1)])[which[1 : 1 + len(words)]]
+        context, alone = np.full(len(self.numbers) + 1, -1), np.full(self.width, -1)
+        alone[self.single] = pair[len(words) + len(ends) :]
+        stop = np.cumsum(self.sizes)
+        context[at] = pair[: len(words)]
+        last = np.full(len(self.numbers), -1)
+        last[stop - 1] = pair[len(words) : len(words) + len(ends)]
+        after = np.where(np.isin(at, stop - 1, assume_unique=True), last[at], context[at + 1])
+        word, before = alone[self.local[at]], alone[self.local[at - 1]]
+        count = two[0][word]
         p = language.new + np.where(count > 0, count - np.array([0, *language.discounts[0]])[np.minimum(count, 3)], 0) / language.total
-        p = _interpolated(two[0][two_at], [x[before] for x in two[1:]], p, language.discounts[1])
-        p = _interpolated(three[three_at], [x[context] for x in two[1:]], p, language.discounts[2])
-        return n, np.bincount(self.doc[self.at], np.log(p), len(self.sizes))
+        p = _interpolated(two[0][after], [x[before] for x in two[1:]], p, language.discounts[1])
+        p = _interpolated(three[triple], [x[context[at]] for x in two[1:]], p, language.discounts[2])
+        return n, np.bincount(self.doc[at], np.log(p), len(self.sizes))
 
 
 def _told(asks: list[bytes], known: list[bytes], coder: Coder) -> list[bytes]:
@@ -462,7 +504,7 @@ class Model:
             at = [i for i, (x, _) in enumerate(texts) if (x or "") == lang]
             block = Block.of(lang, [texts[i][1] for i in at], self.coder)
             known = self.rows.get(lang, {})
-            told = {s: _told([data], known.get(s, []), self.coder)[0] for s, data in block.asked()[2].sent(self.coder, self.bits)}
+            told = {s: _told([data], known.get(s, []), self.coder)[0] for s, data in block.asked().sent(self.coder, self.bits)}
             n[at], lp[at] = block.scored(told, self.bits, self.languages.get(lang))
         return n, lp
 
@@ -494,7 +536,7 @@ def scored(docs: DataFrame, model: Shards, languages: dict[str, Language], witho
     def ask(batches):
         coder = Coder(*listed.value)
         for number, lang, rows in _blocks(batches, lang_at, text_at):
-            sent = Block.of(lang, rows.column(text_at).to_pylist(), coder).asked()[2].sent(coder, bits)
+            sent = Block.of(lang, rows.column(text_at).to_pylist(), coder).asked().sent(coder, bits)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sent)), pa.array([s for s, _ in sent], pa.int32()), pa.array([number] * len(sent), pa.int64()), none([x for _, x in sent])], names=["lang", "shard", "block", "data"])
 
     def own(batches):
@@ -580,10 +622,16 @@ def classify(docs: DataFrame, labels: DataFrame, without: tuple[str, ...] = ())
     dealt = F.pmod(F.xxhash64("__id", F.lit(20)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     model, languages = gram_tables(trusted.where(dealt < TRAIN_SHARE), chars)
-    held_out = trusted.where(dealt >= TRAIN_SHARE).select("lang", "text")
-    held_out = held_out if small else cut_lineage(held_out)  # rows of a shuffled join come in another order each time
-    limits = cut_lineage(thresholds(scored(held_out, model, languages, ("text",))))
-    rows = scored(docs, model, languages, without).withColumns({"__lang": F.coalesce("lang", F.lit("")), "__length": F.least(length_bin(F.col("n_words")), F.lit(LONGEST))})
+    rows = scored(docs, model, languages, without)
+    if "text" in without:  # small rows: scored once
+        rows = cut_lineage(rows)
+        held_out = rows.withColumns({"__id": F.col("doc_id"), "lang": F.coalesce("lang", F.lit(""))}).join(good, "__id", "left_semi").where(dealt >= TRAIN_SHARE)
+    else:
+        held_out = trusted.where(dealt >= TRAIN_SHARE).select("lang", "text")
+        held_out = held_out if small else cut_lineage(held_out)  # rows of a shuffled join come in another order each time
+        held_out = scored(held_out, model, languages, ("text",))
+    limits = cut_lineage(thresholds(held_out))
+    rows = rows.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__length": F.least(length_bin(F.col("n_words")), F.lit(LONGEST))})
     own = limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("length").alias("__length"), F.struct("rank", "threshold").alias("__own"))
     pooled = limits.where("lang is null").select(F.col("length").alias("__length"), F.struct("rank", "threshold").alias("__pooled"))
     rows = _with_small(_with_small(rows, own, ["__lang", "__length"]), pooled, ["__length"])

@@ -265,3 +265,33 @@ def test_classifier_trains_on_all_trusted_text(spark):
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     trained = {r.doc_id for r in table.select("doc_id").where(dealt < kneser_ney.TRAIN_SHARE).collect()}
     assert 40 < len(trained) < 70 and {i for i, p in got.items() if p < 100} == trained
+
+
+@pytest.mark.parametrize("words, widest", [(1 << 21, 1 << 21), (50, 1 << 21), (50, 2)])
+def test_classifier_model_with_few_listed_words(spark, docs, monkeypatch, words, widest):
+    """Words beyond the list travel as hashes, wide blocks number their contexts: the scores stay the same; a question is a few bytes."""
+    own = random.Random(32)
+    texts = [" ".join(own.choices([f"w{i}" for i in range(3000)], [1 / (i + 1) for i in range(3000)], k=own.randint(0, 300))) for _ in range(200)]
+    trusted = spark.createDataFrame([("en", t) for t in texts[:120]] + [("fr", t) for t in texts[100:]], "lang string, text string")
+    asking = [(lang, t) for lang in ("en", "fr", "xx", None) for t in [*texts[90:110], "w0", "new", "new w1", "w1 new w2", "w0 w1 new", "", None]]
+    n, want = kneser_ney.train(trusted).log_probs(asking)
+    monkeypatch.setattr(kneser_ney, "WORDS", words)
+    monkeypatch.setattr(kneser_ney, "WIDEST", widest)
+    monkeypatch.setattr(kneser_ney, "SHARD_GRAMS", 5000)
+    model, languages = kneser_ney.gram_tables(trusted)
+    known, whole = model.listed.value
+    assert whole == (words > 50) and len(known) <= words and model.bits > 0
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(asking)], "i bigint, lang string, text string")
+    got = {r.i: r for r in kneser_ney.scored(rows, model, languages, ("text",)).collect()}
+    assert [got[i].n_words for i in range(len(asking))] == n.tolist() and "text" not in got[0]
+    assert np.allclose([got[i].log_prob for i in range(len(asking))], want, rtol=1e-9)
+    if whole:
+        block = kneser_ney.Block.of("en", texts, kneser_ney.Coder(known, whole))
+        sent, asked = block.asked().sent(kneser_ney.Coder(known, whole), 0), block.asked()
+        assert sum(len(data) for _, data in sent) < 5 * (len(asked.a) + len(asked.c))
+
+
+def test_classifier_without_texts_judges_alike(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{data}/labels.parquet")
+    rows = [sorted((r.doc_id, r.n_words, round(r.log_prob, 6), r.kept) for r in kneser_ney.classify(docs, labels, without).collect()) for without in ((), ("text",))]
+    assert rows[0] == rows[1] and len(rows[0]) == docs.count()
