@@ -21,9 +21,9 @@ from .text import hash_words, mix, released, word_hash
 #: share of the trusted documents that is trained on; the others set the thresholds
 TRAIN_SHARE = 0.6
 #: bytes of text in a block of documents, whose n-grams ask the model's shards together
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: n-grams of the model in a shard, and characters of the documents that ask it; about how many characters have a new n-gram
-SHARD_GRAMS, SHARD_CHARS, CHARS_PER_WORD = 2_000_000, 64_000_000, 6
+SHARD_GRAMS, SHARD_CHARS, CHARS_PER_WORD = 1_000_000, 32_000_000, 6
 #: words that travel as numbers; others travel as hashes
 WORDS = 1 << 21
 #: distinct words of a block up to which three of them fit in one number
@@ -166,29 +166,40 @@ class Grams:
         return _pack(_steps(a, np.arange(len(a)) == 0), _steps(b, new), n, _steps(c, first), self.beyond[used - len(coder.words)], *[x[i] for x in self.two], *[x[j] for x in self.three])
 
     @staticmethod
-    def hashed(data: bytes, coder: Coder, two: int) -> tuple:
-        """Hashes of a and b, n, hashes of c, and the columns, as they were sent."""
+    def read(data: bytes, two: int) -> "Grams":
+        """What was sent, with ``two`` columns of bigrams."""
         a, b, n, c, beyond, *columns = _unpack(data)
         a, n = np.cumsum(a).astype(np.int64), n.astype(np.int64)
         first = np.zeros(len(c), bool)
         first[(np.cumsum(n) - n)[n > 0]] = True
         b, c = _sums(b.astype(np.int64), np.diff(a, prepend=-1) > 0), _sums(c.astype(np.int64), first)
         columns = [x.astype(np.int64) for x in columns]
-        return coder.hashes(a, beyond), coder.hashes(b, beyond), n, coder.hashes(c, beyond), columns[:two], columns[two:]
+        return Grams(a, b, n, c, beyond, columns[:two], columns[two:])
+
+    def hashes(self, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the bigrams and of the trigrams."""
+        a, b = coder.hashes(self.a, self.beyond), coder.hashes(self.b, self.beyond)
+        return _key(a, b), _key(np.repeat(a, self.n), np.repeat(b, self.n), coder.hashes(self.c, self.beyond))
 
     @staticmethod
     def merged(rows: list[bytes], coder: Coder, start: np.uint64) -> "Grams":
         """The sum of what was sent with counts."""
-        parts = [Grams.hashed(data, coder, 5) for data in rows]
-        a, b, n, c = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        numbers, beyond = coder.numbers(np.concatenate([a, b, c]), start)
-        width = len(coder.words) + len(beyond)
-        a, b, c = np.split(numbers, [len(a), 2 * len(a)])
-        pairs, of = np.unique(a * width + b, return_inverse=True)
-        triples, at = np.unique(np.repeat(of, n) * width + c, return_inverse=True)
+        parts, listed = [Grams.read(data, 5) for data in rows], len(coder.words)
+        beyond = np.unique(np.concatenate([[start, _ALONE], *[g.beyond for g in parts]]))
+
+        def numbers(x: np.ndarray, g: Grams) -> np.ndarray:
+            own = np.searchsorted(beyond, g.beyond)
+            at = np.flatnonzero(x >= listed)
+            x[at] = listed + own[x[at] - listed]
+            return x
+
+        width = listed + len(beyond)
+        pairs, of = np.unique(np.concatenate([numbers(g.a, g) * width + numbers(g.b, g) for g in parts]), return_inverse=True)
+        triples = np.repeat(of, np.concatenate([g.n for g in parts])) * width + np.concatenate([numbers(g.c, g) for g in parts])
+        triples, at = np.unique(triples, return_inverse=True)
         total = lambda x, where, k: np.bincount(where, np.concatenate(x), k).astype(np.int64)  # noqa: E731  sums of whole numbers below 2^53
-        two = [total([p[4][k] for p in parts], of, len(pairs)) for k in range(5)]
-        return Grams.of(pairs, width, triples, beyond, two, [total([p[5][0] for p in parts], at, len(triples))])
+        two = [total([g.two[k] for g in parts], of, len(pairs)) for k in range(5)]
+        return Grams.of(pairs, width, triples, beyond, two, [total([g.three[0] for g in parts], at, len(triples))])
 
 
 def _key(*words: np.ndarray) -> np.ndarray:
@@ -357,12 +368,11 @@ class Block:
 
 def _told(asks: list[bytes], known: list[bytes], coder: Coder) -> list[bytes]:
     """What a shard tells each block: the columns of the bigrams and the counts of the trigrams that it asks for, 0 where unknown."""
-    parts = [Grams.hashed(data, coder, 5) for data in known]
-    none, zero = np.empty(0, np.uint64), np.empty(0, np.int64)
-    two = np.concatenate([none, *[_key(a, b) for a, b, *_ in parts]])
-    three = np.concatenate([none, *[_key(np.repeat(a, n), np.repeat(b, n), c) for a, b, n, c, *_ in parts]])
-    columns = [np.concatenate([zero, *[p[4][k] for p in parts]]) for k in range(5)]
-    counts = np.concatenate([zero, *[p[5][0] for p in parts]])
+    parts = [Grams.read(data, 5) for data in known]
+    keys, none, zero = [g.hashes(coder) for g in parts], np.empty(0, np.uint64), np.empty(0, np.int64)
+    two, three = np.concatenate([none, *[k for k, _ in keys]]), np.concatenate([none, *[k for _, k in keys]])
+    columns = [np.concatenate([zero, *[g.two[k] for g in parts]]) for k in range(5)]
+    counts = np.concatenate([zero, *[g.three[0] for g in parts]])
     by2, by3 = np.argsort(two), np.argsort(three)
     two, three, columns, counts = two[by2], three[by3], [x[by2] for x in columns], counts[by3]
 
@@ -374,8 +384,8 @@ def _told(asks: list[bytes], known: list[bytes], coder: Coder) -> list[bytes]:
 
     out = []
     for data in asks:
-        a, b, n, c, _, _ = Grams.hashed(data, coder, 0)
-        out.append(_pack(*looked_up(two, _key(a, b), columns), *looked_up(three, _key(np.repeat(a, n), np.repeat(b, n), c), [counts])))
+        pairs, triples = Grams.read(data, 0).hashes(coder)
+        out.append(_pack(*looked_up(two, pairs, columns), *looked_up(three, triples, [counts])))
     return out
 
 
