@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import curves as cv
 from ..operators import ranking as rk
-from ..operators.scoring import referral_score
+from ..operators.scorecells import running_counts
+from ..operators.scoring import referral_score, score_rows
+from ..session import stored
 from ..sources import standins as sv
 from .registry import query
 from .sqlkit import big, cte, pick, r, sql
@@ -144,33 +146,35 @@ cte("s_auc", "SELECT method, seed, class, max(ap)::BIGINT AS n_pos, (max(an)-max
     " CASE WHEN max(ap) > 0 AND max(an) > max(ap) THEN sum(pos_at/nullif(ap,0)::DOUBLE*(cp/cn::DOUBLE)) END AS average_precision FROM s_ovc GROUP BY ALL")
 
 
-def _counts(spark, d, **kw):
-    return cv.one_vs_rest(scored(spark, d, **kw), MS)
+def _running(spark, d):
+    """Running counts per distinct score; the votes are stored once for the passes over them."""
+    votes = stored(sv.labels(spark, d).select("label_id", "n", *[f"v{k}" for k in range(6)]), "votes")
+    return running_counts(score_rows(sv.predictions_of(sv.spread(votes))), MS, "label_id")
 
 
 @query("h11_auroc_one_vs_rest", sql(
     f"SELECT {G}, class, n_pos, n_neg, {r('auroc', 'auroc')}, {r('avg(auroc) OVER (PARTITION BY method, seed)', 'macro_auroc')} FROM s_auc"))
 def h11(spark, d):
-    a = cv.auroc_ap(_counts(spark, d), MS).drop("average_precision")
+    a = cv.auroc_ap(_running(spark, d), MS).drop("average_precision")
     return a.withColumn("macro_auroc", F.avg("auroc").over(Window.partitionBy(*MS)))
 
 
 @query("h13_average_precision", sql(
     f"SELECT {G}, class, {r('average_precision', 'average_precision')}, {r('avg(average_precision) OVER (PARTITION BY method, seed)', 'macro_ap')} FROM s_auc"))
 def h13(spark, d):
-    a = cv.auroc_ap(_counts(spark, d), MS).select(*MS, "class", "average_precision")
+    a = cv.auroc_ap(_running(spark, d), MS).select(*MS, "class", "average_precision")
     return a.withColumn("macro_ap", F.avg("average_precision").over(Window.partitionBy(*MS)))
 
 
 @query("h14_roc_points", sql(f"SELECT {G}, class, {r('score', 'score')}, {r('(cn-cp)/nullif(an-ap,0)', 'fpr')}, {r('cp/nullif(ap,0)', 'tpr')} FROM s_ovc"))
 def h14(spark, d):
-    return cv.roc_points(_counts(spark, d), MS)
+    return cv.roc_points(_running(spark, d), MS)
 
 
 @query("h15_precision_recall_points", sql(
     f"SELECT {G}, class, {r('score', 'score')}, {r('cp/cn', 'precision')}, {r('cp/nullif(ap,0)', 'recall')} FROM s_ovc"))
 def h15(spark, d):
-    return cv.pr_points(_counts(spark, d), MS)
+    return cv.pr_points(_running(spark, d), MS)
 
 
 # Spearman -------------------------------------------------------------------------------
