@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plurality.operators import curves as cv
+from plurality.operators import resample as rs
 from plurality.operators import scorecells as sc
+from plurality.plans import resampling
 from plurality.session import shared_dir
 
 _ODD = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.5, 1e-300, -1.5]
@@ -84,3 +86,31 @@ def test_passes_that_differ_are_told(spark, monkeypatch):
     monkeypatch.setattr(sc, "_parts", lambda rows, *a: parts(rows if a[-1] else rows.where("c0 < 0.5"), *a))
     with pytest.raises(Exception, match="differ between two passes"):
         sc.running_counts(df, ["m"], "id", 1).count()
+
+
+def test_listed_draws_are_multinomial():
+    """Every replicate has as many draws as groups, the counts have the moments of a multinomial, and sums are those of the counts."""
+    n, replicates = 2500, 400
+    d = rs.ListedDraws(n, replicates, rs.BOOT_SEED)
+    m = np.concatenate([d.block(k) for k in range(3)], 1)
+    assert m.shape == (replicates, n) and (m.sum(1) == n).all()
+    assert abs(m.var() - (1 - 1 / n)) < 0.01 and (np.bincount(m.ravel(), minlength=2)[:2] / m.size == pytest.approx([math.exp(-1)] * 2, abs=2e-3))
+    assert abs(np.corrcoef(m[:, :900].sum(1), m[:, 900:].sum(1))[0, 1] + 1) < 1e-9
+    values = np.random.default_rng(7).random((1024, 3))
+    values[:, 1] = 1.0
+    for draws in (d, rs.ListedDraws(1, 5, 1), rs.ListedDraws(1025, 70, 1)):
+        size = draws.block(0).shape[1]
+        assert draws.sums(0, values[:size]) == pytest.approx(draws.block(0).astype(float) @ values[:size])
+    last = rs.ListedDraws(1025, 70, 1)  # a block of one group: some replicates draw nothing of it
+    assert (last.block(1).sum(1) == 0).any() and last.sums(1, values[:1]) == pytest.approx(last.block(1).astype(float) @ values[:1])
+
+
+def test_i05_lists_its_draws_and_scores_rows_once(spark, data, monkeypatch):
+    """The table per stratum and group is stored: nothing after it plans the scores again."""
+    plans, draws = [], []
+    monkeypatch.setattr(resampling.rs, "paired_bootstrap", lambda dl, *a, real=rs.paired_bootstrap, **kw: (plans.append(dl), draws.append(kw["draws_of"]), real(dl, *a, **kw))[-1])
+    out = resampling.i05(spark, data)
+    assert out.count() == out.select("stratum").distinct().count() > 8
+    assert draws == [rs.ListedDraws] and "Join" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.where("status = 'PASS'").collect():
+        assert r.ci_low <= r.point <= r.ci_high
