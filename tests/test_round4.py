@@ -114,3 +114,11 @@ def test_i05_lists_its_draws_and_scores_rows_once(spark, data, monkeypatch):
     assert draws == [rs.ListedDraws] and "Join" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
     for r in out.where("status = 'PASS'").collect():
         assert r.ci_low <= r.point <= r.ci_high
+
+
+def test_draws_are_not_broadcast(spark):
+    """A row per replicate and drawn group goes to the groups by a shuffle, however few rows Spark expects."""
+    index = rs.group_index(spark.range(5000).withColumnRenamed("id", "g"), [], "g")
+    m = rs.multiplicities(index, [], "g", 8)
+    assert m.agg(F.sum("m")).first()[0] == 8 * 5000
+    assert "SortMergeJoin [g_index" in m._jdf.queryExecution().executedPlan().toString()
