@@ -1,5 +1,7 @@
 """Tests of round 4's changes: orders from packed cells."""
 
+import gzip
+import hashlib
 import math
 import os
 import random
@@ -15,6 +17,7 @@ from plurality.operators import resample as rs
 from plurality.operators import scorecells as sc
 from plurality.plans import resampling
 from plurality.session import shared_dir
+from plurality.sources import sinks
 
 _ODD = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.5, 1e-300, -1.5]
 
@@ -122,3 +125,25 @@ def test_draws_are_not_broadcast(spark):
     m = rs.multiplicities(index, [], "g", 8)
     assert m.agg(F.sum("m")).first()[0] == 8 * 5000
     assert "SortMergeJoin [g_index" in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checksums_of_files_beyond_the_limit_of_a_row(spark, tmp_path, monkeypatch):
+    """Files that may not be a row, with and without a last line end, marks, carriage returns, blanks in names and a compressed one."""
+    rng = random.Random(8)
+    many = bytes(rng.randrange(256) for _ in range(300_000))
+    files = {"noise.bin": many, "ends.bin": many + b"\n", "mark.bin": b"\xef\xbb\xbf" + many, "only lines.bin": b"\n" * 5000, "returns.txt": b"a\r\nb\r" * 2000,
+             "no_line.bin": many.replace(b"\n", b""), "mark_ends.bin": b"\xef\xbb\xbf\n" * 900, "small.bin": b"abc"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(sinks, "WHOLE_BYTES", 1000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        got = {r.path.rpartition("/")[2]: (r.bytes, r.sha256) for r in sinks.checksums(spark, f"{tmp_path}/*").collect()}
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+    (tmp_path / "packed.gz").write_bytes(gzip.compress(many))
+    got = {r.path.rpartition("/")[2]: r.sha256 for r in sinks.checksums(spark, f"{tmp_path}/*").collect()}
+    assert got["packed.gz"] == hashlib.sha256((tmp_path / "packed.gz").read_bytes()).hexdigest() and len(got) == len(files) + 1
