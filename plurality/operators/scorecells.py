@@ -12,15 +12,16 @@ shuffled once. Nothing else is written, whatever the number of scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import join_small
+from ..session import cut_lineage, join_small
+from .ranking import ordered_prefix
 
 #: scores a cell is meant to hold, cells a key and class may have, scores a task holds before it packs them
 CELL_SCORES, MOST_CELLS, HELD_SCORES = 250_000, 1024, 4_000_000
@@ -185,3 +186,67 @@ def running_counts(df: DataFrame, by: Sequence[str], unit: str, k: int = 6) -> D
                          same("all_n"), same("all_pos")], names=names)
 
     return parts.groupBy(*keys).applyInArrow(merge, schema)
+
+
+def cut_rows(df: DataFrame, by: Sequence[str], score: str, risk: str, key: str, unit: str, cut: Callable[[Column, Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Order only the cells that a cut goes through: (whole cells, ranked rows of the others).
+
+    Cells of equal shares of a sample are counted first: (by, n, s, top, before, n_total), rows, sum of ``risk``, greatest
+    score and rows of lower cells. ``cut(first, last, n_total)`` tells from the ranks of a cell's ends whether its rows must be told apart; these
+    come back as (by, score, risk, rank, n_total), in the order of (score, key) over all rows. ``df`` is read three times.
+    """
+    by = list(by)
+    kinds = dict(df.dtypes)
+    rows = df.select(*by, F.col(score).cast("double").alias("__v"), F.col(risk).cast("double").alias("__r"), F.col(key).alias("__k"), F.col(unit).alias("__u"))
+    rows = rows.dropna(subset=by) if by else rows
+    steps = F.array(*[F.lit(i / MOST_CELLS) for i in range(1, MOST_CELLS)])
+    sample = rows.where(F.pmod(F.xxhash64("__u"), F.lit(SAMPLE)) == 0).groupBy(*by).agg(F.percentile_approx("__v", steps, 10 * MOST_CELLS).alias("q"))
+    edges = {tuple(r[c] for c in by): np.unique(to_keys(pa.array(r["q"], pa.float64()))) for r in sample.collect() if r["q"]}
+    n_by, none = len(by), np.empty(0, np.uint64)
+    fields = "".join(f"`{c}` {kinds[c]}, " for c in by)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, list[np.ndarray]] = {}  # per key and cell: rows, risk, rows with a risk, greatest score as a key
+        for batch in batches:
+            types = [*[f.type for f in batch.schema][:n_by], pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            v, r = to_keys(batch.column(n_by)), batch.column(n_by + 1)
+            known, r = r.is_valid().to_numpy(zero_copy_only=False), r.fill_null(0.0).to_numpy(zero_copy_only=False)
+            for key, at in _groups(batch, n_by):
+                e = edges.get(key, none)
+                if key not in kept:
+                    kept[key] = [np.zeros(len(e) + 1, np.int64), np.zeros(len(e) + 1), np.zeros(len(e) + 1, np.int64), np.zeros(len(e) + 1, np.uint64)]
+                n, s, have, top = kept[key]
+                cell = np.searchsorted(e, v[at], "left")
+                n += np.bincount(cell, minlength=len(n))
+                s += np.bincount(cell, r[at], len(n))
+                have += np.bincount(cell, known[at], len(n)).astype(np.int64)
+                np.maximum.at(top, cell, v[at])
+        for key, (n, s, have, top) in kept.items():
+            some = np.flatnonzero(n)
+            columns = [*[pa.array([x] * len(some), t) for x, t in zip(key, types)], pa.array(some), pa.array(n[some]), pa.array(s[some], mask=have[some] == 0), to_scores(top[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, "cell", "n", "s", "top"])
+
+    per = rows.drop("__k", "__u").mapInArrow(sums, fields + "cell bigint, n bigint, s double, top double")
+    per = per.groupBy(*by, "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("top").alias("top"))
+    whole = Window.partitionBy(*by)  # a row per cell
+    per = per.withColumns({"before": F.coalesce(F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n_total": F.sum("n").over(whole)})
+    per = cut_lineage(per.withColumn("__cut", cut(F.col("before") + 1, F.col("before") + F.col("n"), F.col("n_total"))))
+    wanted: dict = {}
+    for r in per.where("__cut").select(*by, "cell").collect():  # a few per cut and key
+        wanted.setdefault(tuple(r[c] for c in by), set()).add(r["cell"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, cells, keep = to_keys(batch.column(n_by)), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for key, at in _groups(batch, n_by):
+                if key in wanted:
+                    e = edges.get(key, none)
+                    cells[at] = np.searchsorted(e, v[at], "left")
+                    keep[at] = wanted[key][cells[at]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"]).filter(pa.array(keep))
+
+    wanted = {k: np.isin(np.arange(len(edges.get(k, none)) + 1), list(x)) for k, x in wanted.items()}
+    inner = cut_lineage(rows.drop("__u").mapInArrow(told, fields + f"__v double, __r double, __k {kinds[key]}, cell bigint"))  # few rows, read again for their range
+    ranked = ordered_prefix(inner, [*by, "cell"], ["__v", "__k"]).drop("n_total").withColumnRenamed("rank", "__rank")
+    ranked = join_small(ranked, per.where("__cut").select(*by, "cell", "before", "n_total"), [*by, "cell"])
+    return per.where("not __cut").drop("__cut", "cell"), ranked.select(*by, F.col("__v").alias(score), F.col("__r").alias(risk), (F.col("before") + F.col("__rank")).alias("rank"), "n_total")

@@ -9,8 +9,8 @@ from ..operators import hardlabels as hl
 from ..operators import ranking as rk
 from ..operators import runs as rn
 from ..operators import splits as sp
-from ..operators.scoring import strata_rows, target_entropy, vote_band
-from ..session import cut_lineage
+from ..operators.scoring import score_rows, strata_rows, target_entropy, vote_band
+from ..session import cut_lineage, stored
 from ..sources import standins as sv
 from ..sources.tables import table
 from .gates import STRATA_SQL, tertiles
@@ -342,7 +342,8 @@ cte("s_dha", "SELECT method, seed, sum(a) AS aurc_d FROM (SELECT method, seed, (
     " JOIN (SELECT * FROM s_spear WHERE band='overall') p ON p.method=s.method AND p.seed=s.seed JOIN (SELECT * FROM s_dm WHERE band='overall') m ON m.method=s.method AND m.seed=s.seed"
     " JOIN s_aurc a ON a.method=s.method AND a.seed=s.seed JOIN s_dha h ON h.method=s.method AND h.seed=s.seed GROUP BY 1"))
 def g25(spark, d):
-    s = cut_lineage(scored(spark, d).select(*MS, "label_id", "group_id", "band", "kl", "ent", "d_hat", "d_obs"))
+    votes = stored(sv.labels(spark, d).select("label_id", "group_id", "n", *[f"v{k}" for k in range(6)]), "votes")
+    s = score_rows(sv.predictions_of(sv.spread(votes))).select(*MS, "label_id", "group_id", "kl", "ent", "d_hat", "d_obs")
     gap = F.col("d_hat") - F.col("d_obs")
     k = gp.group_weighted(s.withColumn("mse", gap * gap), MS, "group_id", ["kl", "mse"], row_means=True)
     seen = s.where(F.col("d_obs").isNotNull()).withColumn("d_obs", F.round("d_obs", 9))
@@ -351,7 +352,7 @@ def g25(spark, d):
         F.struct(F.lit("aurc_entropy").alias("nm"), F.col("ent").alias("score")),
         F.struct(F.lit("aurc_d_hat").alias("nm"), F.col("d_hat").alias("score")))).alias("z")).select(
         *MS, "label_id", "kl", "z.nm", "z.score")
-    area = cv.aurc(cv.risk_coverage(long, [*MS, "nm"], "score", "kl", "label_id"), [*MS, "nm"])
+    area = cv.aurc(cv.risk_coverage_of_cuts(long, [*MS, "nm"], "score", "kl", "label_id"), [*MS, "nm"])
     wide = area.groupBy(*MS).pivot("nm", ["aurc_entropy", "aurc_d_hat"]).agg(F.first("aurc"))
     j = k.join(rho, MS).join(wide, MS)
     return j.groupBy("method").agg(

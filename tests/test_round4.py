@@ -147,3 +147,25 @@ def test_checksums_of_files_beyond_the_limit_of_a_row(spark, tmp_path, monkeypat
     (tmp_path / "packed.gz").write_bytes(gzip.compress(many))
     got = {r.path.rpartition("/")[2]: r.sha256 for r in sinks.checksums(spark, f"{tmp_path}/*").collect()}
     assert got["packed.gz"] == hashlib.sha256((tmp_path / "packed.gz").read_bytes()).hexdigest() and len(got) == len(files) + 1
+
+
+@pytest.mark.parametrize("most", [8, 1024])
+def test_risk_coverage_of_cuts_is_that_of_all_rows(spark, monkeypatch, most):
+    """Ties over many rows, nulls, NaN, both zeros and null risks; few and many cells, against the order of all rows."""
+    monkeypatch.setattr(sc, "MOST_CELLS", most)
+    monkeypatch.setattr(sc, "SAMPLE", 2)
+    rng = random.Random(9)
+    data = [(m, i, s, rng.random() if rng.random() < 0.95 else None) for m, n in (("a", 3000), ("b", 900), ("c", 110)) for i, (_, _, _, _, s, _, _) in enumerate(_rows(n, n))]
+    df = spark.createDataFrame(data, "m string, id bigint, score double, kl double").repartition(3)
+    shown = lambda c: sorted([tuple(round(x, 9) if isinstance(x, float) and math.isfinite(x) else str(x) for x in r) for r in c.collect()], key=str)
+    order = ["m", "bucket", "coverage", "n_total", "n_accepted", "risk", "threshold"]
+    want = shown(cv.risk_coverage(df, ["m"], "score", "kl", "id").select(order))
+    assert len(want) == 153 and shown(cv.risk_coverage_of_cuts(df, ["m"], "score", "kl", "id").select(order)) == want
+
+
+def test_only_rows_near_a_cut_are_ordered(spark, monkeypatch):
+    df = spark.range(0, 40000, 1, 4).select(F.lit("a").alias("m"), "id", F.rand(3).alias("score"), F.rand(4).alias("kl"))
+    ordered = []
+    monkeypatch.setattr(sc, "ordered_prefix", lambda rows, *a, real=sc.ordered_prefix: (ordered.append(rows.count()), real(rows, *a))[-1])
+    assert cv.risk_coverage_of_cuts(df, ["m"], "score", "kl", "id").count() == 51
+    assert 0 < ordered[0] < 12000  # 51 of some 600 cells, uneven as the sample is small
